@@ -1,0 +1,10 @@
+"""Training-data operators: dedup, extraction, language, search, chat, tokens, mixing.
+
+Workers need no copy of this package: its functions travel to them by value.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
