@@ -1,10 +1,10 @@
 """The operN queries of this subpackage and the SQL that checks them."""
 
-from . import exact_dedup
+from . import exact_dedup, ngram_join
 
 
 def queries() -> dict:
-    found = [exact_dedup.op1_exact_dedup]
+    found = [exact_dedup.op1_exact_dedup, ngram_join.op10_ngram_join]
     return {f.__name__: f for f in found}
 
 
