@@ -222,7 +222,7 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     sizes = written(sizes, "members", folder)
     blocks = sizes.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     dealt = sizes.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = dealt.join(texts.select(F.col("id").alias("node"), F.col("row.text").alias("text")), "node")
+    dealt = dealt.join(texts.select(F.col("id").alias("node"), F.col("row.text").alias("text")).hint("merge"), "node")  # the same plan at every size
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("root", "blocks", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "copies", "text")
     dealt = dealt.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b", "node")
