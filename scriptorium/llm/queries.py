@@ -1,10 +1,10 @@
 """The operN queries of this subpackage and the SQL that checks them."""
 
-from . import exact_dedup, ngram_join
+from . import byte_bpe, exact_dedup, language_id, mixing, ngram_join
 
 
 def queries() -> dict:
-    found = [exact_dedup.op1_exact_dedup, ngram_join.op10_ngram_join]
+    found = [exact_dedup.op1_exact_dedup, language_id.op3_language_id, byte_bpe.op7_byte_bpe, mixing.op8_mixing, ngram_join.op10_ngram_join]
     return {f.__name__: f for f in found}
 
 
