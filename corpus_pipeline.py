@@ -3,18 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptorium.llm import exact_dedup
+from scriptorium.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join
 from scriptorium.llm.common import table, work_dir, written
 
+#: A document goes if no language is recognised with at least this share of the evidence.
+LEAST_SCORE = 0.3
+
+
+def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a recognised language; lang becomes the recognised one."""
+    found = language_id.identified(docs).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return found.select("row.*", "lang_pred").withColumn("lang", F.col("lang_pred")).drop("lang_pred")
+
 
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each set of equal texts."""
     return exact_dedup.deduplicated(docs)
 
 
-STAGES = [("exact dedup", stage_exact_dedup)]
+def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each class of texts linked by five-word shingles at 0.8 or more."""
+    return ngram_join.one_of_each(docs)
+
+
+def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each source up to its target; a document taken k times gives k rows."""
+    return mixing.mixed(docs, mixing.quality_of(table(spark, sf_dir, "labels")))
+
+
+def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each whole text, with the digests of a round trip."""
+    out = byte_bpe.encoded(docs, *byte_bpe.public_vocabulary(), with_ids=True)
+    return out.select("row.doc_id", "row.lang", "row.source", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+
+
+STAGES = [
+    ("language ID", stage_language),
+    ("exact dedup", stage_exact_dedup),
+    ("n-gram Jaccard join", stage_near_dedup),
+    ("mixing sources", stage_mixing),
+    ("byte-level BPE", stage_encode),
+]
 
-#: SQL cannot express every stage; tests compare run() with a brute-force version.
+#: SQL cannot express the language, mixing and encoding stages; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
