@@ -1,12 +1,12 @@
 """The operN queries of this subpackage and the SQL that checks them."""
 
-from . import byte_bpe, exact_dedup, language_id, mixing, ngram_join
+from . import byte_bpe, chat_format, cross_polytope, exact_dedup, language_id, mixing, ngram_join
 
 
 def queries() -> dict:
-    found = [exact_dedup.op1_exact_dedup, language_id.op3_language_id, byte_bpe.op7_byte_bpe, mixing.op8_mixing, ngram_join.op10_ngram_join]
+    found = [exact_dedup.op1_exact_dedup, language_id.op3_language_id, cross_polytope.op4_cross_polytope, chat_format.op6_chat_format, byte_bpe.op7_byte_bpe, mixing.op8_mixing, ngram_join.op10_ngram_join]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op6_chat_format": chat_format.ORACLE}
