@@ -1,11 +1,23 @@
-"""The operN queries of this subpackage and the SQL that checks them."""
+"""The opN queries of this subpackage and the SQL that checks them."""
 
-from . import byte_bpe, chat_format, cross_polytope, exact_dedup, language_id, mixing, ngram_join
+from . import byte_bpe, chat_format, cross_polytope, exact_dedup, html_extract, language_id, license_scan, mixing, ngram_join, unigram_counts
+
+_QUERIES = [
+    exact_dedup.op1_exact_dedup,
+    html_extract.op2_html_extract,
+    language_id.op3_language_id,
+    cross_polytope.op4_cross_polytope,
+    license_scan.op5_license_scan,
+    chat_format.op6_chat_format,
+    byte_bpe.op7_byte_bpe,
+    mixing.op8_mixing,
+    unigram_counts.op9_unigram_counts,
+    ngram_join.op10_ngram_join,
+]
 
 
 def queries() -> dict:
-    found = [exact_dedup.op1_exact_dedup, language_id.op3_language_id, cross_polytope.op4_cross_polytope, chat_format.op6_chat_format, byte_bpe.op7_byte_bpe, mixing.op8_mixing, ngram_join.op10_ngram_join]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
