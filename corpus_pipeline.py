@@ -2,37 +2,63 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join
-from scriptorium.llm.common import table, work_dir, written
+from scriptorium.llm.common import folders_made, release, table, work_dir, written
 
 #: A document goes if no language is recognised with at least this share of the evidence.
 LEAST_SCORE = 0.3
 
 
+#: The work folders (first, end) of the stage that ran last.
+_last = (0, 0)
+
+
+def _stage(operator):
+    """When a stage begins, the one before it has been written and reread: its work folders go."""
+
+    @functools.wraps(operator)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _last
+        release(spark, *_last)
+        first = folders_made()
+        out = operator(spark, docs, sf_dir)
+        _last = (first, folders_made())
+        return out
+
+    return run_stage
+
+
+@_stage
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a recognised language; lang becomes the recognised one."""
     found = language_id.identified(docs).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return found.select("row.*", "lang_pred").withColumn("lang", F.col("lang_pred")).drop("lang_pred")
 
 
+@_stage
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each set of equal texts."""
     return exact_dedup.deduplicated(docs)
 
 
+@_stage
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each class of texts linked by five-word shingles at 0.8 or more."""
     return ngram_join.one_of_each(docs)
 
 
+@_stage
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each source up to its target; a document taken k times gives k rows."""
     return mixing.mixed(docs, mixing.quality_of(table(spark, sf_dir, "labels")))
 
 
+@_stage
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each whole text, with the digests of a round trip."""
     out = byte_bpe.encoded(docs, *byte_bpe.public_vocabulary(), with_ids=True)

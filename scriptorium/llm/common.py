@@ -32,8 +32,23 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders made by work_dir() so far.
+_made: list[str] = []
+
+
 def work_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/scriptorium-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/scriptorium-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def folders_made() -> int:
+    return len(_made)
+
+
+def release(spark: SparkSession, first: int, end: int) -> None:
+    """Deletes the work folders number first to end; nothing may read them any more."""
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, _made[first:end]):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -206,8 +206,8 @@ def _verified(width: int, similarity: float):
     return run
 
 
-def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """Every row of docs (needs doc_id long, text) as struct `row`, with id, node, label, copies, links."""
+def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs (needs doc_id long, text) as (id, struct row), and (id, doc_id, label of the class, links)."""
     spark, folder = docs.sparkSession, work_dir(docs.sparkSession)
     kinds = T.StructType.fromDDL("id long, k1 long, k2 long, n int, values binary, short binary")
     texts = written(docs.mapInArrow(_signed(width), T.StructType([*kinds.fields, T.StructField("row", docs.schema)])), "texts", folder)
@@ -232,29 +232,28 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
         whole = connected_components(checked.filter("parted").select(F.col("node").alias("u"), F.col("label").alias("v")))
         found = found.join(whole.select("node", "root"), "node", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
     by_set = some.select("k1", "k2", "n", "node", "copies").join(found, "node", "left").select("k1", "k2", "n", "node", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
-    every = texts.select("id", "k1", "k2", "n", "row").join(by_set, ["k1", "k2", "n"], "left")
-    return every.select("id", "row", F.coalesce("label", "id").alias("label"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0).cast("long")).alias("links"))
+    every = texts.select("id", "k1", "k2", "n", F.col("row.doc_id").alias("doc_id")).join(by_set, ["k1", "k2", "n"], "left")
+    return texts.select("id", "row"), every.select("id", "doc_id", F.coalesce("label", "id").alias("label"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0).cast("long")).alias("links"))
 
 
-def _with_keep(every: DataFrame, extra: list) -> DataFrame:
-    """Adds keep: the struct of the row that stays in each class."""
-    rank = F.struct(F.col("row.doc_id").isNotNull().alias("known"), F.col("row.doc_id").alias("doc_id"), (-F.col("id")).alias("last"))
-    light = every.select("id", "label", rank.alias("rank"), *extra)
-    keep = light.groupBy("label").agg(F.max("rank").alias("keep"), F.count("*").alias("class_size"))
-    return light.join(keep, "label")
+def _with_keep(every: DataFrame) -> DataFrame:
+    """Adds keep: which row of each class stays."""
+    rank = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", (-F.col("id")).alias("last"))
+    ranked = every.withColumn("rank", rank)
+    keep = ranked.groupBy("label").agg(F.max("rank").alias("keep"), F.count("*").alias("class_size"))
+    return ranked.join(keep, "label").withColumn("kept", F.col("rank.last") == F.col("keep.last"))
 
 
 def ngram_join(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, class_id (doc_id of the row that stays), class_size, n_links, kept."""
-    every = _with_keep(similar_classes(docs.select("doc_id", "text"), width, similarity), ["links"])
-    return every.select(F.col("rank.doc_id").alias("doc_id"), F.col("keep.doc_id").alias("class_id"), "class_size", F.col("links").alias("n_links"), (F.col("rank.last") == F.col("keep.last")).alias("kept"))
+    _, every = similar_classes(docs.select("doc_id", "text"), width, similarity)
+    return _with_keep(every).select("doc_id", F.col("keep.doc_id").alias("class_id"), "class_size", F.col("links").alias("n_links"), "kept")
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that stay, one of each class, all their columns as they were."""
-    every = written(similar_classes(docs, width, similarity), "every")
-    stay = _with_keep(every, []).filter(F.col("rank.last") == F.col("keep.last")).select("id")
-    return every.join(stay, "id", "left_semi").select("row.*")
+    texts, every = similar_classes(docs, width, similarity)
+    return texts.join(_with_keep(every).filter("kept").select("id").hint("merge"), "id", "left_semi").select("row.*")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
