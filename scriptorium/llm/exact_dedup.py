@@ -32,7 +32,7 @@ from .common import table, work_dir, written
 #: Deepest directory (2**16 slots bound what the driver holds) and entries that fill a bucket.
 MAX_DEPTH, BUCKET_ENTRIES = 16, 2048
 #: A map task closes its groups and starts anew when it holds so many bytes of text.
-HELD_BYTES = 64 << 20
+HELD_BYTES = 16 << 20
 
 
 def _entries_of(id_col: str, text_col: str):
