@@ -148,7 +148,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for grams in _grams(text or ""):
                 seen.setdefault(lang, []).append(grams)
                 held += len(grams)
-            if held > 8_000_000:
+            if held > 3_000_000:
                 yield from flush()
                 held = 0
     yield from flush()
