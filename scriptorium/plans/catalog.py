@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scriptorium.plans import reporting
+from scriptorium.plans import reporting, texts
 
-_MODULES = [reporting]
+_MODULES = [reporting, texts]
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
