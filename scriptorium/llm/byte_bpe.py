@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import struct
 import sys
 from collections.abc import Iterable, Iterator
 from itertools import islice, takewhile
@@ -34,10 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small_batches, table
 
-#: Bounds of what a worker keeps: pieces with their ids, states, pairs; pieces of a text, and bytes of a piece, handled at a time.
-KEPT_PIECES, KEPT_STATES, KEPT_PAIRS, RUN_PIECES, RUN_BYTES = 400_000, 200_000, 500_000, 65_536, 1024
+#: Bounds of what a worker keeps: pieces with their ids (and the generation before), states, pairs; pieces of a text, and bytes of a piece, handled at a time.
+KEPT_PIECES, KEPT_STATES, KEPT_PAIRS, RUN_PIECES, RUN_BYTES = 400_000, 200_000, 200_000, 65_536, 1024
 
 
 class MergeTransducer:
@@ -57,13 +58,13 @@ class MergeTransducer:
                     self.token.append(-1)
                     self.depth.append(depth)
             self.token[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self._forget()
 
     def _forget(self) -> None:
-        #: A state: (last token before, node) of all tokens being read, oldest first; -1 before the first token.
-        self.states: list[tuple[tuple[int, int], ...]] = [((-1, 0),)]
+        #: A state: last token before and node of each token being read, oldest first; -1 before the first token.
+        self.states: list[tuple[int, ...]] = [(-1, 0)]
         self.number = {self.states[0]: 0}
         self.moves: list[dict[int, tuple[int, int]]] = [{}]
 
@@ -93,7 +94,7 @@ class MergeTransducer:
         """
         if a < 0:
             return len(self.texts[b]) == 1 or self.merged(self.texts[b]) == [b]
-        if (found := self.pairs.get((a, b))) is not None:
+        if (found := self.pairs.get(a << 24 | b)) is not None:
             return found
         if len(self.pairs) > KEPT_PAIRS:
             self.pairs.clear()
@@ -110,24 +111,21 @@ class MergeTransducer:
                 before, y = y + 1, self._halves(y)[0]
             else:
                 break
-        self.pairs[a, b] = found
+        self.pairs[a << 24 | b] = found
         return found
 
     def _move(self, state: int, byte: int) -> tuple[int, int]:
         """Next state, and the last token of what has been read."""
-        after, last, child, token = [], -1, self.child, self.token
-        for before, node in self.states[state]:
+        after, last, child, token, alive = [], -1, self.child, self.token, self.states[state]
+        for before, node in zip(alive[::2], alive[1::2]):
             if reached := child.get(node << 8 | byte):
-                after.append((before, reached))
-                if last < 0 and (t := token[reached]) >= 0:
-                    found = self.pairs.get((before, t))
-                    if self.agrees(before, t) if found is None else found:
-                        last = t
+                after += (before, reached)
+                if last < 0 and (t := token[reached]) >= 0 and self.agrees(before, t):
+                    last = t
         if last < 0:
             raise ValueError("the vocabulary lacks a byte")
-        after.append((last, 0))
-        made = tuple(after)
-        number = self._numbered(made)
+        after += (last, 0)
+        number = self._numbered(tuple(after))
         self.moves[state][byte] = number, last
         return number, last
 
@@ -170,7 +168,7 @@ class MergeTransducer:
 
     def _settled(self, state: int, lasts: list[int]) -> list[int]:
         """The tokens on which all ways to go on agree."""
-        ways = [self._back(lasts, len(lasts) - self.depth[node]) for _, node in self.states[state]]
+        ways = [self._back(lasts, len(lasts) - self.depth[node]) for node in self.states[state][1::2]]
         return [tokens[0] for tokens in takewhile(lambda x: len(set(x)) == 1, zip(*ways))]
 
 
@@ -178,14 +176,25 @@ class _Pieces(dict):
     """piece -> its ids as little-endian 32-bit integers."""
 
     def __init__(self, transducer: MergeTransducer):
-        self.transducer = transducer
+        self.transducer, self.older = transducer, {}
+
+    def age(self) -> None:
+        """When full: what was not asked for since the last time goes."""
+        if len(self) > KEPT_PIECES // 2:
+            self.older = dict(self)
+            self.clear()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.transducer.encode(piece.encode("utf-8")), "<u4").tobytes()
+        if (ids := self.older.get(piece)) is None:
+            ids = self.pack(self.transducer.encode(piece.encode("utf-8")))
         if len(piece) <= 64:
             self[piece] = ids
         return ids
 
+    @staticmethod
+    def pack(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
 
 class Utf8Machine:
     """Incremental UTF-8 decoding: feed() gives the text that is complete so far.
@@ -237,8 +246,7 @@ class Codec:
             found = (m.group() for m in self.pattern.finditer(text))
             runs = iter(lambda: list(islice(found, RUN_PIECES)), [])
         for run in runs:
-            if len(self.pieces) > KEPT_PIECES:
-                self.pieces.clear()
+            self.pieces.age()
             yield b"".join(map(self.pieces.__getitem__, run))
 
     def decoded(self, ids: bytes) -> bytes:
@@ -270,7 +278,7 @@ def _encoding(name: str, pattern: str, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, pattern)
         gc.disable()  # what is kept holds no cycles and would be walked again and again
-        for batch in batches:
+        for batch in (whole_batch.slice(i, 512) for whole_batch in batches for i in range(0, whole_batch.num_rows, 512)):
             n, ids, back, all_ids = [], [], [], []
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
                 count, h, d, parts = 0, hashlib.sha256(), hashlib.sha256(), []
@@ -297,6 +305,7 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = Fal
     vocabulary: a file of ranks, sent to each executor once; pattern: what a piece is.
     ids: little-endian 32-bit integers.
     """
+    small_batches(docs.sparkSession)
     docs.sparkSession.sparkContext.addFile(vocabulary)
     schema = T.StructType([T.StructField("row", docs.schema), *T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids).fields])
     return docs.mapInArrow(_encoding(vocabulary.rpartition("/")[2], pattern, with_ids), schema)

@@ -51,5 +51,9 @@ def release(spark: SparkSession, first: int, end: int) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Long texts go to Python in batches of fewer rows, unless the session asks for other sizes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, work_dir, written
+from .common import small_batches, table, work_dir, written
 
 #: Deepest directory (2**16 slots bound what the driver holds) and entries that fill a bucket.
 MAX_DEPTH, BUCKET_ENTRIES = 16, 2048
@@ -145,6 +145,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_entries: int = BUCKET_ENTRIES) -> tuple[DataFrame, DataFrame]:
     """(entries with members and the row that stays, entry -> keep_id, group_size, best_entry)."""
     spark, folder = docs.sparkSession, work_dir(docs.sparkSession)
+    small_batches(spark)
     schema = T.StructType.fromDDL("tag long, entry long, text_sha256 string, n long, best_id long, best_pos int, members array<long>")
     schema = T.StructType([*schema.fields, T.StructField("row", docs.schema)])
     docs = docs.withColumn(id_col, F.col(f"`{id_col}`").cast("long")) if docs.schema[id_col].dataType != T.LongType() else docs

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small_batches, table
 
 #: Bounds of what is learned: labelled rows and n-grams kept, per language.
 SAMPLE_ROWS, KEPT_GRAMS = 1500, 60_000
@@ -191,6 +191,7 @@ def _predicted(model):
 
 def identified(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """(row, lang_pred, score) of each document; row has the carried columns, all by default."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(vars(fit(docs)))  # of fixed size
     rows = docs.select(*carry) if carry else docs
     schema = T.StructType([T.StructField("row", rows.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small_batches, table
 from .license_templates import templates
 
 DICE = 0.8
@@ -107,6 +107,7 @@ def _scanned(threshold: float):
 
 def license_scan(docs: DataFrame, threshold: float = DICE) -> DataFrame:
     """doc_id, license, score, licenses, n_matches of each document (doc_id, text)."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("license string, score double, licenses array<string>, n_matches long").fields])
     return docs.mapInArrow(_scanned(threshold), schema)

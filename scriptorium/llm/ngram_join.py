@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, work_dir, written
+from .common import small_batches, table, work_dir, written
 from .components import connected_components
 from .shingles import SIMILARITY, WIDTH, Shingler
 
@@ -209,6 +209,7 @@ def _verified(width: int, similarity: float):
 def similar_classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """The rows of docs (needs doc_id long, text) as (id, struct row), and (id, doc_id, label of the class, links)."""
     spark, folder = docs.sparkSession, work_dir(docs.sparkSession)
+    small_batches(spark)
     kinds = T.StructType.fromDDL("id long, k1 long, k2 long, n int, values binary, short binary")
     texts = written(docs.mapInArrow(_signed(width), T.StructType([*kinds.fields, T.StructField("row", docs.schema)])), "texts", folder)
     some = texts.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.min_by("values", "id").alias("values"), F.min_by("short", "id").alias("short"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .byte_bpe import public_vocabulary, read_ranks
-from .common import table
+from .common import small_batches, table
 
 #: Nodes of a full trie, pre-tokens with stored counts, longest pre-token put into the trie, pre-tokens per run.
 KEPT_NODES, KEPT_COUNTS, LONGEST, RUN = 400_000, 400_000, 256, 65_536
@@ -127,6 +127,7 @@ def _counted(name: str, pattern: str):
 def token_counts(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, n_pretokens, n_tokens of each document (doc_id, text)."""
     docs = docs.select("doc_id", "text")
+    small_batches(docs.sparkSession)
     docs.sparkSession.sparkContext.addFile(vocabulary)
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_pretokens long, n_tokens long").fields])
     return docs.mapInArrow(_counted(vocabulary.rpartition("/")[2], pattern), schema)
