@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scriptorium.plans import reporting, texts
+from scriptorium.plans import jobs, reporting, texts, vocabularies
 
-_MODULES = [reporting, texts]
+_MODULES = [reporting, jobs, texts, vocabularies]
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -138,12 +138,15 @@ WITH p AS (
   SELECT e.doc_id // 2 AS pair_id, {duck_tokens('e.text')} AS l,
     CASE WHEN (e.doc_id // 2) % 5 = 0 THEN {duck_tokens("substr(e.text, 1, (length(e.text) * 0.9)::INTEGER - CASE WHEN (length(e.text) * 0.9)::INTEGER > length(e.text) * 0.9 THEN 1 ELSE 0 END)")} ELSE {duck_tokens('o.text')} END AS r
   FROM documents e JOIN documents o ON o.doc_id = e.doc_id + 1 WHERE e.doc_id % 2 = 0
+), w AS (
+  SELECT pair_id, 1 AS l, 0 AS r, unnest(l) AS item, generate_subscripts(l, 1) AS k, len(l) AS n FROM p
+  UNION ALL SELECT pair_id, 0, 1, unnest(r), generate_subscripts(r, 1), len(r) FROM p
 ), i AS (
-  SELECT pair_id, 't' AS kind, unnest(l) AS item, 1 AS l, 0 AS r FROM p UNION ALL SELECT pair_id, 't', unnest(r), 0, 1 FROM p
-  UNION ALL SELECT pair_id, 's', unnest(CASE WHEN len(l) >= 3 THEN list_transform(range(1, len(l) - 1), lambda k: '3 ' || array_to_string(l[k:k+2], ' ')) ELSE list_transform(l, lambda x: '1 ' || x) END), 1, 0 FROM p
-  UNION ALL SELECT pair_id, 's', unnest(CASE WHEN len(r) >= 3 THEN list_transform(range(1, len(r) - 1), lambda k: '3 ' || array_to_string(r[k:k+2], ' ')) ELSE list_transform(r, lambda x: '1 ' || x) END), 0, 1 FROM p
-  UNION ALL SELECT pair_id, 'n', unnest(list_filter(l, lambda x: regexp_matches(x, '[1-9]'))), 1, 0 FROM p
-  UNION ALL SELECT pair_id, 'n', unnest(list_filter(r, lambda x: regexp_matches(x, '[1-9]'))), 0, 1 FROM p
+  SELECT pair_id, 't' AS kind, item, l, r FROM w
+  UNION ALL SELECT pair_id, 'n', item, l, r FROM w WHERE regexp_matches(item, '[1-9]')
+  UNION ALL SELECT pair_id, 's', '1 ' || item, l, r FROM w WHERE n < 3
+  UNION ALL SELECT pair_id, 's', x, l, r FROM (
+    SELECT pair_id, l, r, '3 ' || item || ' ' || lead(item) OVER v || ' ' || lead(item, 2) OVER v AS x FROM w WHERE n >= 3 WINDOW v AS (PARTITION BY pair_id, l ORDER BY k)) WHERE x IS NOT NULL
 ), c AS (SELECT pair_id, kind, item, sum(l) AS l, sum(r) AS r FROM i GROUP BY ALL),
 s AS (SELECT pair_id,
     coalesce(sum(least(l, r)) FILTER (kind = 't'), 0) tb, coalesce(sum(l) FILTER (kind = 't'), 0) tl, coalesce(sum(r) FILTER (kind = 't'), 0) tr,
