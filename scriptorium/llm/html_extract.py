@@ -310,7 +310,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page (page_id, url, html)."""
     pages = pages.select("page_id", "url", "html")
     found = written(templates(pages), "templates")
-    hosts = F.udf(host_of, T.StringType())
+    hosts = F.udf(host_of, T.StringType(), useArrow=True)
     small = (found.agg(F.sum(F.length("template") + F.length("host"))).first()[0] or 0) <= BROADCAST_BYTES
     found = F.broadcast(found) if small else found.hint("merge")
     both = pages.withColumn("host", hosts("url")).join(found, "host", "left").select("page_id", "url", "html", "template")
