@@ -132,12 +132,12 @@ def custom_values(proposed: DataFrame, definitions: DataFrame, min_confidence: f
 
     -> one row a document and field, the last valid one at the place of the first; rejected rows have a note.
     """
-    rows = values.with_normalized(proposed.join(definitions, "field_id", "left"), "currency")
+    rows = values.with_normalized(proposed.withColumn("proposed", F.col("value")).join(definitions, "field_id", "left"), "currency")
     note = F.when(F.col("data_type").isNull(), "unknown field ID").when(F.col("confidence") < min_confidence, LOW).otherwise(F.col("error"))
     rows = rows.withColumn("note", note)
     ok = rows.filter("note is null").groupBy("document_id", "field_id").agg(F.min("pos").alias("pos"), F.max_by(F.struct("value", "name"), "pos").alias("x"))
     ok = ok.select("document_id", "field_id", "pos", F.col("x.name").alias("name"), F.col("x.value").alias("value"), F.lit(None).cast("string").alias("note"))
-    return ok.unionByName(rows.filter("note is not null").select(*ok.columns))
+    return ok.unionByName(rows.filter("note is not null").withColumn("value", F.col("proposed")).select(*ok.columns))
 
 
 def usable_tag(tags: DataFrame, candidate_ids: Column, growth: bool, watch: str = "", min_confidence: float = MIN_CONFIDENCE) -> Column:
