@@ -25,20 +25,20 @@ import hashlib
 import struct
 import sys
 from collections.abc import Iterable, Iterator
-from itertools import islice, takewhile
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import small_batches, table
+from .pieces import Cutter
 
-#: Bounds of what a worker keeps: pieces with their ids (and the generation before), states, pairs; pieces of a text, and bytes of a piece, handled at a time.
-KEPT_PIECES, KEPT_STATES, KEPT_PAIRS, RUN_PIECES, RUN_BYTES = 400_000, 200_000, 200_000, 65_536, 1024
+#: Bounds of what a worker keeps: pieces with their ids (and the generation before), states, pairs; bytes of a piece handled at a time.
+KEPT_PIECES, KEPT_STATES, KEPT_PAIRS, RUN_BYTES = 400_000, 200_000, 200_000, 1024
 
 
 class MergeTransducer:
@@ -132,9 +132,16 @@ class MergeTransducer:
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        state, moves = 0, self.moves
         out: list[int] = []
         lasts: list[int] = []  # the last token at each byte, without what is settled
+        if len(self.states) > KEPT_STATES:
+            self._forget()
+        state, moves = 0, self.moves
+        if len(piece) <= RUN_BYTES:
+            for byte in piece:
+                state, last = moves[state].get(byte) or self._move(state, byte)
+                lasts.append(last)
+            return self._back(lasts, len(lasts))
         for start in range(0, len(piece), RUN_BYTES):
             if start:
                 settled = self._settled(state, lasts)
@@ -233,19 +240,14 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = MergeTransducer(ranks)
         self.pieces = _Pieces(self.transducer)
-        self.pattern = regex.compile(pattern)
+        self.cutter = Cutter(pattern)
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for text, rank in ranks.items():
             self.bytes_of[rank] = text
 
     def encoded(self, text: str) -> Iterator[bytes]:
         """Ids of a text as little-endian 32-bit integers, a run of pieces at a time."""
-        if len(text) <= RUN_PIECES:
-            runs = iter([self.pattern.findall(text)])
-        else:
-            found = (m.group() for m in self.pattern.finditer(text))
-            runs = iter(lambda: list(islice(found, RUN_PIECES)), [])
-        for run in runs:
+        for run in self.cutter.runs(text):
             self.pieces.age()
             yield b"".join(map(self.pieces.__getitem__, run))
 

@@ -19,19 +19,18 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Iterator
-from itertools import islice
 
 import pyarrow as pa
-import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .byte_bpe import public_vocabulary, read_ranks
 from .common import small_batches, table
+from .pieces import Cutter
 
-#: Nodes of a full trie, pre-tokens with stored counts, longest pre-token put into the trie, pre-tokens per run.
-KEPT_NODES, KEPT_COUNTS, LONGEST, RUN = 400_000, 400_000, 256, 65_536
+#: Nodes of a full trie, pre-tokens with stored counts, longest pre-token put into the trie.
+KEPT_NODES, KEPT_COUNTS, LONGEST = 400_000, 400_000, 256
 #: Units of cost in one nat.
 UNITS = 1 << 20
 
@@ -90,17 +89,12 @@ class PretokenTrie(dict):
 
 
 def counter(ranks: dict[bytes, int], pattern: str):
-    trie, pieces = PretokenTrie(zipf_costs(ranks)), regex.compile(pattern)
+    trie, cutter = PretokenTrie(zipf_costs(ranks)), Cutter(pattern)
 
     def count(text: str) -> tuple[int, int]:
         """Pre-tokens and tokens of a text."""
         n = total = 0
-        if len(text) <= RUN:
-            runs = iter([pieces.findall(text)])
-        else:
-            found = (m.group() for m in pieces.finditer(text))
-            runs = iter(lambda: list(islice(found, RUN)), [])
-        for run in runs:
+        for run in cutter.runs(text):
             if len(trie) > KEPT_COUNTS:
                 trie.clear()
             n += len(run)

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from scriptorium.llm import byte_bpe, chat_format, common, components, cross_polytope, exact_dedup, html_extract, language_id, license_scan, mixing, ngram_join, shingles, unigram_counts
+from scriptorium.llm import byte_bpe, chat_format, common, components, cross_polytope, exact_dedup, html_extract, language_id, license_scan, mixing, ngram_join, pieces, shingles, unigram_counts
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names clash with those that operators make on the way.
@@ -349,9 +349,17 @@ def test_bpe_equals_tiktoken(codecs, parts):
     assert own.decoded(ids) == text.encode() and "".join(own.decode_stream(np.frombuffer(ids, "<u4").tolist())) == text
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=255), max_size=80))
+def test_latin_pieces_equal_those_of_the_general_engine(codecs, text):
+    cutter = codecs[0].cutter
+    assert cutter.latin.findall(text) == cutter.pattern.findall(text)
+
+
 def test_bpe_small_runs_and_full_stores_change_nothing(vocabulary, codecs, monkeypatch):
-    for name, value in (("RUN_BYTES", 7), ("RUN_PIECES", 50), ("KEPT_STATES", 30), ("KEPT_PAIRS", 40), ("KEPT_PIECES", 20)):
+    for name, value in (("RUN_BYTES", 7), ("KEPT_STATES", 30), ("KEPT_PAIRS", 40), ("KEPT_PIECES", 20)):
         monkeypatch.setattr(byte_bpe, name, value)
+    monkeypatch.setattr(pieces, "RUN_PIECES", 50)
     own, text = byte_bpe.Codec(*vocabulary), prose(9, 400) + "supercalifragilistic" * 50 + " " * 300 + "-" * 200
     assert np.frombuffer(b"".join(own.encoded(text)), "<u4").tolist() == codecs[1].encode_ordinary(text)
 
@@ -399,8 +407,9 @@ def test_unigram_full_trie_and_cases(spark, vocabulary, monkeypatch):
     want = unigram_counts.counter(*vocabulary)(BASE)
     found = {r.doc_id: r for r in unigram_counts.token_counts(docs(spark, ODD_ROWS, True), *byte_bpe.public_vocabulary()).collect()}
     assert (found[1].n_tokens, found[2].n_pretokens) == (0, 0) and (found[4].n_pretokens, found[4].n_tokens) == want and found[9].n_tokens > 60_000
-    for name, value in (("KEPT_NODES", 50), ("KEPT_COUNTS", 10), ("LONGEST", 4), ("RUN", 30)):
+    for name, value in (("KEPT_NODES", 50), ("KEPT_COUNTS", 10), ("LONGEST", 4)):
         monkeypatch.setattr(unigram_counts, name, value)
+    monkeypatch.setattr(pieces, "RUN_PIECES", 30)
     assert unigram_counts.counter(*vocabulary)(BASE) == want
     assert unigram_counts.token_counts(docs(spark, []), *byte_bpe.public_vocabulary()).count() == 0
 
