@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scriptorium.plans import jobs, metadata, reporting, texts, vocabularies
+from scriptorium.plans import jobs, metadata, records, reporting, texts, vocabularies
 
-_MODULES = [reporting, jobs, texts, vocabularies, metadata]
+_MODULES = [reporting, jobs, records, texts, vocabularies, metadata]
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -40,33 +42,29 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-class PagedResource(DataSource):
-    """A resource read page by page, one partition a page.
+def paged_resource(spark: SparkSession, fetch: Callable[[int], Iterable[tuple]], pages: int, schema: str = "id long, name string, document_count long") -> DataFrame:
+    """A resource read page by page: fetch gives the rows of a page (from 1); one partition a page.
 
-    Options: pages (their number) and fetch (name of a module-level function,
-    module:function, from page number to rows of the schema).
+    fetch runs on the executors and travels to them by value.
     """
 
-    @classmethod
-    def name(cls) -> str:
-        return "paged_resource"
-
-    def schema(self) -> str:
-        return self.options.get("schema", "id long, name string, document_count long")
-
-    def reader(self, schema) -> DataSourceReader:
-        return _PagedReader(self.options)
+    class Reader(DataSourceReader):
+        def partitions(self):
+            return [InputPartition(k) for k in range(1, pages + 1)]
 
+        def read(self, partition):
+            yield from (tuple(r) for r in fetch(partition.value))
 
-class _PagedReader(DataSourceReader):
-    def __init__(self, options):
-        self.options = options
+    class Paged(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "scriptorium_paged"
 
-    def partitions(self):
-        return [InputPartition(k) for k in range(1, int(self.options.get("pages", "1")) + 1)]
+        def schema(self) -> str:
+            return schema
 
-    def read(self, partition):
-        import importlib
+        def reader(self, schema) -> DataSourceReader:
+            return Reader()
 
-        module, _, name = self.options["fetch"].partition(":")
-        yield from (tuple(r) for r in getattr(importlib.import_module(module), name)(partition.value))
+    spark.dataSource.register(Paged)
+    return spark.read.format("scriptorium_paged").load()

@@ -9,8 +9,9 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from scriptorium import settings as config
 from scriptorium.functions import text as tx
-from scriptorium.operators import jobs, models, pages, planning, similarity, values, vocabulary
+from scriptorium.operators import jobs, models, pages, planning, records, similarity, values, vocabulary
 from scriptorium.sources import documents as sources
 from scriptorium.streaming import discovery
 
@@ -342,6 +343,38 @@ def test_sources(spark, tmp_path):
     assert {r.kind for r in both.collect()} == {"tag", "correspondent"}
 
 
+def test_paged_resource(spark):
+    found = sources.paged_resource(spark, lambda page: [(page * 10 + k, f"n{k}", None) for k in range(3)], 2)
+    assert sorted(r.id for r in vocabulary.entities(found).collect()) == [10, 11, 12, 20, 21, 22]
+
+
+def test_records(spark):
+    c = spark.createDataFrame([(1, 10, "open", "a"), (2, 11, "closed", "b")], "id long, document_id long, status string, text string")
+    new = spark.createDataFrame([(5, 10, "open", "c"), (6, 11, "open", "d")], c.schema)
+    assert sorted((r.id, r.text) for r in records.open_conflicts(c, new).collect()) == [(1, "c"), (2, "b"), (6, "d")]
+    df = spark.createDataFrame([(k, p, f"e{p}") for k, n in ((1, 60), (2, 50)) for p in range(n)], "key long, pos int, entry string")
+    found = {}
+    for r in records.bounded(df).orderBy("key", "pos").collect():
+        found.setdefault(r.key, []).append(r.entry)
+    assert len(found[1]) == len(found[2]) == 50 and found[1][-1] == "diagnostic_limit: 11 omitted" and found[2][-1] == "e49"
+    parts = '{"choices":[{"message":{"content":[{"type":"text","text":"a"},{"text":"b"}]}}]}'
+    assert one(spark, parts, records.content) == "ab" and one(spark, '{"choices":[{"message":{"content":"x"}}]}', records.content) == "x" and one(spark, '{"choices":[]}', records.content) is None
+    r = spark.createDataFrame([(0.9, "why", "", [1], None)], "c double, r string, e string, p array<int>, n string").select(records.rationale(F.col("c"), F.col("r"), F.col("e"), F.col("p"), F.col("n")).alias("j")).first()
+    assert json.loads(r.j) == {"confidence": 0.9, "reason": "why", "source_pages": [1]}
+    assert spark.range(1).select(records.render_scale(F.lit(612.0), F.lit(792.0), 300, 1_000_000).alias("s")).first().s == pytest.approx((1_000_000 / (612 * 792)) ** 0.5)
+
+
+def test_settings():
+    s = config.load('{"old": 50, "gone": 1, "hidden_tags": "a,, b  c,a"}', {"SCRIPTORIUM_MAX_ATTEMPTS": "5", "SCRIPTORIUM_MODEL_KEY": "k"}, {"old": "candidate_limit"})
+    assert (s.candidate_limit, s.max_attempts, s.hidden_tags) == (50, 5, "a, b c") and s.public()["model_key_configured"] and "model_key" not in s.public()
+    assert s.updated({"max_attempts": 2}, {"SCRIPTORIUM_MAX_ATTEMPTS": "5"}).max_attempts == 5 and config.Settings(context_tokens=8192, chunk_chars=50_000).chunk_chars == 9288
+    for bad in ({"store_url": "ftp://x"}, {"notify_topic": "a b"}, {"notifications": True}, {"context_tokens": 5000}, {"reduce_batch": 1}, {"apply_mode": "x"}):
+        with pytest.raises(ValueError):
+            config.Settings(**bad)
+    with pytest.raises(ValueError):
+        s.updated({"nope": 1})
+
+
 def test_discovery(spark, tmp_path):
     feed, out = str(tmp_path / "feed"), []
     kinds = "id long, modified string"
