@@ -11,7 +11,7 @@
    classes are template text. Repeated elements are no boundary; they lie in the slot
    of the next template element above them.
 3. The slots that remain hold the data. Kept are the text blocks below an article or main
-   element; on hosts without one, those below the deepest template element that holds
+   element, else below one whose class says content; else those below the deepest template element that holds
    most of the text outside links. Elements whose tag, role, class or id says menu, header,
    footer, sidebar, notice, advert, form or comments are never kept, nor is template text.
 
@@ -63,7 +63,9 @@ LEFT_OUT_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset("header masthead topbar".split())
 LEFT_OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
-MAIN_WORDS = frozenset("article articlebody".split())
+MAIN_WORDS, LIKELY_WORDS = frozenset("article articlebody".split()), frozenset("body content entry main post story text".split())
+#: Parts of class names and ids that say the same wherever they stand.
+LEFT_OUT_PARTS = re.compile("sidebar|comment|advert|cookie|newsletter|breadcrumb|footer|navbar|disqus|discussion|reactions")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -79,19 +81,25 @@ def host_of(url: str | None) -> str:
     return re.sub(r"^[a-z][a-z0-9+.-]*://|[/?#].*$|^[^/@]*@", "", (url or "").strip().lower().split("/", 3)[2] if "://" in (url or "") else (url or "").strip().lower())
 
 
-def _described(tag: str) -> tuple[str, str, bool, bool, bool]:
-    """Of a start tag: name, key, whether it is left out, is main, is a header (left out outside of main)."""
+def _described(tag: str) -> tuple[str, str, bool, int, bool]:
+    """Of a start tag: name, key, whether it is left out, is main (2), maybe main (1), is a header.
+
+    Headers are left out where nothing around them is main.
+    """
     name = _NAME.match(tag)[1].lower()
     if name == "a" or len(tag) == len(name) + 2:
-        return name, name, name in LEFT_OUT, name in MAIN, name == "header"
+        return name, name, name in LEFT_OUT, 2 * (name in MAIN), name == "header"
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(tag)}
     named = re.sub(r"\d+", "#", f"{found.get('class', '')}.{found.get('id', '')}".lower())
     role = found.get("role", "").lower()
-    words = set(re.split(r"[\s_.#-]+", named))
+    words = set(re.split(r"[\s_.#-]+", named)) if name not in ("html", "body") else set()
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    out = hidden or role in LEFT_OUT_ROLES or name in LEFT_OUT
+    if name not in MAIN and words:
+        out = out or bool(words & LEFT_OUT_WORDS or LEFT_OUT_PARTS.search(named))
     main = name in MAIN or role == "main" or found.get("itemprop", "").lower() == "articlebody" or bool(words & MAIN_WORDS)
-    out = name in LEFT_OUT or hidden or role in LEFT_OUT_ROLES or bool(words & LEFT_OUT_WORDS) and name not in ("html", "body")
-    return name, f"{name}.{named}" if named != "." else name, out, main and not out, name == "header" or bool(words & HEADER_WORDS)
+    level = 0 if out else 2 if main else 1 if words & LIKELY_WORDS else 0
+    return name, f"{name}.{named}" if named != "." else name, out, level, name == "header" or bool(words & HEADER_WORDS)
 
 
 class Parser:
@@ -116,7 +124,7 @@ class Parser:
         blocks: list[tuple] = []
         elements: dict[int, list] = {}
         #: name, path, left out, main, inline
-        stack: list[tuple] = [("", 0, False, False, False)]
+        stack: list[tuple] = [("", 0, False, 0, False)]
         parts: list[str] = []
         linked, in_link, page = 0, 0, page or ""
 
@@ -189,14 +197,15 @@ class Parser:
                 if first < len(stack):
                     pop(first)
             _, path, was_out, was_main, _ = stack[-1]
-            out = out or was_out or header and not (was_main or main)
+            main = max(main, was_main)
+            out = out or was_out or header and main < 2
             if not inline:
                 path = self._path(path, key)
                 if not out:
-                    e = elements.setdefault(path, [0, next((x[1] for x in reversed(stack) if not x[4]), 0), main or was_main, 0, 0])
+                    e = elements.setdefault(path, [0, next((x[1] for x in reversed(stack) if not x[4]), 0), main > 0, 0, 0])
                     e[0] += 1
             in_link += name == "a"
-            stack.append((name, path, out, was_main or main, inline))
+            stack.append((name, path, out, main, inline))
         if at < len(page) and not stack[-1][2]:
             parts.append(page[at:])
         flush()
@@ -278,11 +287,12 @@ class Template:
             self.slot = next(iter(sorted(t for t in inner if not any(elements[u]["p"] == t for u in inner))))
 
     def extract(self, blocks: list[tuple]) -> str:
-        has_main = any(main for _, _, main, _, _ in blocks)
+        level = max((main for _, _, main, _, _ in blocks), default=0)
+        has_main = level > 0
         in_slot = not has_main and any(self.slot in above for _, above, _, _, _ in blocks)
         kept = []
         for path, above, main, text, link_chars in blocks:
-            if has_main and not main or in_slot and self.slot not in above:
+            if main < level or in_slot and self.slot not in above:
                 continue
             if not main and link_chars > 0.5 * len(text):
                 continue
