@@ -121,7 +121,7 @@ def resolution(conflicts: DataFrame, requests: DataFrame, live: DataFrame) -> Da
         F.when(F.coalesce(F.col("status") != "open", F.lit(True)), "conflict_not_open")
         .when(F.col("resolution").isNotNull(), "conflict_claimed")
         .when((F.col("choice") == "keep_existing") & ~F.coalesce("meaningful", F.lit(False)), "no_existing_ocr")
-        .when((F.col("choice") == "use_clerk") & ~F.coalesce(F.col("text") == F.col("existing_text"), F.lit(False)), "conflict_source_changed")
+        .when((F.col("choice") == "use_generated") & ~F.coalesce(F.col("text") == F.col("existing_text"), F.lit(False)), "conflict_source_changed")
     )
     r = r.withColumn("error", error)
     return r.select("id", "choice", "error", F.when(F.col("error").isNull(), "resolved").otherwise(F.coalesce("status", F.lit("missing"))).alias("new_status"), F.when(F.col("error").isNull(), F.filter("tags", lambda t: ~F.coalesce(t == F.col("conflict_tag_id"), F.lit(False)))).alias("new_tags"))

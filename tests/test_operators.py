@@ -132,7 +132,7 @@ def vocabulary_of(spark, rows):
     return spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "kind string, id long, name string, document_count long, is_inbox_tag boolean, position int")
 
 
-CATALOG = [("tag", 1, "Taxes", 6, None), ("tag", 2, "Income Taxes", 1, None), ("tag", 3, "Optical", 2, None), ("tag", 4, "Optometry", 1, None), ("tag", 5, "Inbox", 0, True), ("tag", 6, "paperless-gpt-failed", 0, None), ("correspondent", 10, "New Jersey Motor Vehicle Commission", 1, None), ("correspondent", 11, "NJMVC", 0, None), ("document_type", 20, "Invoice", 3, None)]
+CATALOG = [("tag", 1, "Taxes", 6, None), ("tag", 2, "Income Taxes", 1, None), ("tag", 3, "Optical", 2, None), ("tag", 4, "Optometry", 1, None), ("tag", 5, "Inbox", 0, True), ("tag", 6, "robot-failed", 0, None), ("correspondent", 10, "New Jersey Motor Vehicle Commission", 1, None), ("correspondent", 11, "NJMVC", 0, None), ("document_type", 20, "Invoice", 3, None)]
 
 
 def test_vocabulary_review(spark):
@@ -227,11 +227,11 @@ def test_plan_rules(spark):
     v = vocabulary_of(spark, [("tag", 1, "Medical", 42, None), ("tag", 2, "Taxes", 31, None), ("document_type", 20, "Invoice", 50, None), ("correspondent", 10, "IRS", 12, None)])
     long = "distinct from Taxes because it only holds income tax returns"
     rows = [
-        (1, "correspondent", 0, 20, None, 0.9, "x" * 20), (2, "tag", 0, 9999, None, 0.9, "x" * 20), (3, "tag", 0, 1, None, 0.2, "x" * 20), (4, "tag", 0, None, " clerk   inbox ", 0.9, "x" * 20), (5, "tag", 0, None, "Clerk Inbox", 0.9, "x" * 20), (6, "tag", 0, None, "Income Taxes", 0.96, long),
+        (1, "correspondent", 0, 20, None, 0.9, "x" * 20), (2, "tag", 0, 9999, None, 0.9, "x" * 20), (3, "tag", 0, 1, None, 0.2, "x" * 20), (4, "tag", 0, None, " robot   inbox ", 0.9, "x" * 20), (5, "tag", 0, None, "Robot Inbox", 0.9, "x" * 20), (6, "tag", 0, None, "Income Taxes", 0.96, long),
         (7, "tag", 0, None, "Income Taxes", 0.96, "x" * 40), (8, "tag", 0, None, "Tax Documents", 0.9, "x" * 20), (9, "tag", 0, None, "Aetna", 0.9, "short"), (10, "tag", 0, None, "Aetna", 0.9, "names the insurer"), (11, "correspondent", 0, None, "Internal Revenue Service", 0.9, "x" * 20), (12, "tag", 0, 1, None, 0.9, "x" * 20), (13, "document_type", 0, None, "Letter", 0.9, "x" * 20),
     ]
     c = spark.createDataFrame(rows, "document_id long, kind string, pos int, existing_id long, new_name string, confidence double, reason string")
-    found = {r.document_id: (r.action, r.id, r.note) for r in planning.validate_choices(c, v, watch="Clerk Inbox", closed_kinds=["document_type"]).collect()}
+    found = {r.document_id: (r.action, r.id, r.note) for r in planning.validate_choices(c, v, watch="Robot Inbox", closed_kinds=["document_type"]).collect()}
     R = "reject"
     assert found == {
         1: (R, None, planning.UNKNOWN), 2: (R, None, planning.UNKNOWN), 3: (R, None, planning.LOW), 4: (R, None, planning.HIDDEN), 5: (R, None, planning.WATCH), 6: ("create", None, None), 7: ("reuse", 2, None), 8: ("reuse", 2, None), 9: (R, None, planning.VAGUE), 10: ("create", None, None), 11: ("reuse", 10, None), 12: ("reuse", 1, None), 13: (R, None, planning.CLOSED),
@@ -299,8 +299,8 @@ def test_conflict_resolution(spark):
     c = spark.createDataFrame([(1, 10, "open", None, "old", 9), (2, 11, "open", "pending", "old", 9), (3, 12, "closed", None, "old", 9)], "id long, document_id long, status string, resolution string, existing_text string, conflict_tag_id long")
     live = spark.createDataFrame([(10, "old", True, [5, 9]), (11, "old", True, [9]), (12, "old", True, [9])], "document_id long, text string, meaningful boolean, tags array<long>")
     ask = lambda choice, text=live: {r.id: (r.error, r.new_tags) for r in jobs.resolution(c, spark.createDataFrame([(1, choice), (2, choice), (3, choice), (4, choice)], "id long, choice string"), text).collect()}
-    assert ask("use_clerk") == {1: (None, [5]), 2: ("conflict_claimed", None), 3: ("conflict_not_open", None), 4: ("conflict_not_open", None)}
-    assert ask("use_clerk", live.withColumn("text", F.lit("new")))[1][0] == "conflict_source_changed"
+    assert ask("use_generated") == {1: (None, [5]), 2: ("conflict_claimed", None), 3: ("conflict_not_open", None), 4: ("conflict_not_open", None)}
+    assert ask("use_generated", live.withColumn("text", F.lit("new")))[1][0] == "conflict_source_changed"
     assert ask("keep_existing", live.withColumn("meaningful", F.lit(False)))[1][0] == "no_existing_ocr"
 
 
