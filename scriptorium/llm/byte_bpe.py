@@ -23,7 +23,6 @@ import base64
 import gc
 import hashlib
 import struct
-import sys
 from collections.abc import Iterable, Iterator
 from itertools import takewhile
 
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import small_batches, table, worker_cache
 from .pieces import Cutter
 
 #: Bounds of what a worker keeps: pieces with their ids (and the generation before), states, pairs; bytes of a piece handled at a time.
@@ -269,7 +268,7 @@ def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
 
 def _codec(name: str, pattern: str) -> Codec:
     """One codec a worker process, from the vocabulary that Spark has sent to it."""
-    held = sys.__dict__.setdefault("_scriptorium_codecs", {})
+    held = worker_cache("byte_bpe")
     if (name, pattern) not in held:
         with open(SparkFiles.get(name), "rb") as file:
             held[name, pattern] = Codec(read_ranks(file), pattern)

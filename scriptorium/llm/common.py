@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Only used where the session names no spark.checkpoint.dir (tests, one machine).
@@ -57,3 +60,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(rows))
 
+
+def worker_cache(owner: str) -> dict:
+    """What this Python worker keeps for one operator from task to task; what it kept for another goes."""
+    held = sys.__dict__.setdefault("_scriptorium_kept", {})
+    if list(held) != [owner]:
+        held.clear()
+        gc.enable()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return held.setdefault(owner, {})

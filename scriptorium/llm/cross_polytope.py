@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, work_dir, written
+from .common import table, work_dir, worker_cache, written
 
 TABLES, AXES, PROBES, BLOCK, SEED = 20, 2, 14, 20_000, 11
 
@@ -89,6 +89,7 @@ def _coded(all_codes: bool):
     """(kind 0: query, 1: candidate; ids; vec) -> (size, tbl, code, kind, ids, vec)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("cross_polytope")
         made: dict[int, CrossPolytope] = {}
         for whole in batches:
             for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
@@ -121,6 +122,7 @@ def _searched(k: int):
     """Rows ordered by bucket, queries first -> the best k of each query in this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("cross_polytope")
         best: dict[int, dict[int, float]] = {}
         held, at = 0, None
         queries: list[tuple[int, np.ndarray]] = []

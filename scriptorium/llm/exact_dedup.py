@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table, work_dir, written
+from .common import small_batches, table, work_dir, worker_cache, written
 
 #: Deepest directory (2**16 slots bound what the driver holds) and entries that fill a bucket.
 MAX_DEPTH, BUCKET_ENTRIES = 16, 2048
@@ -37,6 +37,7 @@ HELD_BYTES = 16 << 20
 
 def _entries_of(id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("exact_dedup")
         base, made = TaskContext.get().partitionId() << 33, 0
         held: list[pa.RecordBatch] = []
         tags: dict[bytes, list] = {}
@@ -127,6 +128,7 @@ def split_directory(counts: dict[int, int], capacity: int, max_depth: int = MAX_
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries ordered by tag -> (tag, chain, entry, n, best_id); holds the heads of one tag."""
+    worker_cache("exact_dedup")
     tag, heads = None, []
     for batch in batches:
         tags, texts = batch.column(0).to_pylist(), batch.column(4).to_pylist()

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, work_dir, written
+from .common import table, work_dir, worker_cache, written
 
 #: Pages of a host from which its vectors count, for elements and for text inside an article; share of pages that makes a class frequent.
 LEAST_PAGES, LEAST_PAGES_TEXT, FREQUENT = 3, 10, 0.5
@@ -218,6 +218,7 @@ def _text_token(path: int, text: str) -> int:
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(url, html) -> per host and token: pages, occurrences, fingerprint, what the element is and holds."""
+    worker_cache("html_extract")
     parser, seq, part = Parser(), 0, TaskContext.get().partitionId()
     seen: dict[tuple[str, int], list] = {}
     names = ["host", "token", "kind", "pages", "occurrences", "vector", "parent", "main", "chars", "link_chars"]
@@ -303,6 +304,7 @@ class Template:
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache("html_extract")
     parser = Parser()
     made: dict[str, Template] = {}
     for batch in batches:

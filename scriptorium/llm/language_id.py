@@ -18,7 +18,6 @@ An empty table gives an empty result. Very long texts are read in blocks.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import small_batches, table, worker_cache
 
 #: Bounds of what is learned: labelled rows and n-grams kept, per language.
 SAMPLE_ROWS, KEPT_GRAMS = 1500, 60_000
@@ -41,10 +40,10 @@ _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 def _letters() -> np.ndarray:
     """Whether each code point is a letter; built once in a worker."""
-    held = sys.__dict__.setdefault("_scriptorium_letters", [])
-    if not held:
-        held.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
-    return held[0]
+    held = worker_cache("language_id")
+    if "letters" not in held:
+        held["letters"] = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    return held["letters"]
 
 
 def _grams(text: str) -> Iterator[np.ndarray]:

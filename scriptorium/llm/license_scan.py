@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import small_batches, table, worker_cache
 from .license_templates import templates
 
 DICE = 0.8
@@ -95,6 +95,7 @@ class Scanner:
 
 def _scanned(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("license_scan")
         scanner = Scanner(threshold)
         for batch in batches:
             found = [scanner.scan(x or "") for x in batch.column(1).to_pylist()]

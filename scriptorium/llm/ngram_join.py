@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table, work_dir, written
+from .common import small_batches, table, work_dir, worker_cache, written
 from .components import connected_components
 from .shingles import SIMILARITY, WIDTH, Shingler
 
@@ -49,6 +49,7 @@ def shortest_prefix(similarity: float, trees: int = TREES, depth: int = DEPTH, r
 
 def _signed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("ngram_join")
         rng = np.random.default_rng(7)
         times = (rng.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
         plus = rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)[:, None]
@@ -101,6 +102,7 @@ def link_prefixes(keys: list[bytes], short: np.ndarray, shortest: int, depth: in
 
 def _candidates(shortest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("ngram_join")
         keys: list[bytes] = []
         nodes: list[int] = []
         short: list[bytes] = []
@@ -171,6 +173,7 @@ def _labels(links: np.ndarray) -> np.ndarray:
 
 def _verified(width: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("ngram_join")
         shingler, at = Shingler(width), None
         nodes: list[int] = []
         sides: list[bool] = []

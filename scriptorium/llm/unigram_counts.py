@@ -17,7 +17,6 @@ is emptied when it is full, which changes no result. An empty table gives an emp
 from __future__ import annotations
 
 import math
-import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .byte_bpe import public_vocabulary, read_ranks
-from .common import small_batches, table
+from .common import small_batches, table, worker_cache
 from .pieces import Cutter
 
 #: Nodes of a full trie, pre-tokens with stored counts, longest pre-token put into the trie.
@@ -106,7 +105,7 @@ def counter(ranks: dict[bytes, int], pattern: str):
 
 def _counted(name: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sys.__dict__.setdefault("_scriptorium_counters", {})
+        held = worker_cache("unigram_counts")
         if (name, pattern) not in held:
             with open(SparkFiles.get(name), "rb") as file:
                 held[name, pattern] = counter(read_ranks(file), pattern)
