@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from scriptorium.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join
 from scriptorium.llm.common import folders_made, release, table, work_dir, written
 
-#: A document goes if no language is recognised with at least this share of the evidence.
-LEAST_SCORE = 0.3
-
 
 #: The work folders (first, end) of the stage that ran last.
 _last = (0, 0)
@@ -35,8 +32,8 @@ def _stage(operator):
 
 @_stage
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a recognised language; lang becomes the recognised one."""
-    found = language_id.identified(docs).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    """Drops documents without letters and those of which no n-gram is known in any language; lang becomes the recognised one."""
+    found = language_id.identified(docs).filter((F.col("lang_pred") != "und") & (F.col("score") > 0))
     return found.select("row.*", "lang_pred").withColumn("lang", F.col("lang_pred")).drop("lang_pred")
 
 
