@@ -165,4 +165,8 @@ ORACLES = {
     "filled_custom_values": """SELECT o_orderkey AS document_id, 1 AS field_id, CASE WHEN o_orderkey % 5 <> 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 2 = 0) THEN o_orderpriority WHEN o_orderkey % 2 = 0 THEN '' ELSE o_orderstatus END AS value FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 5 <> 0""",
 }
 ORACLES["decision_summary"] = f"SELECT CASE WHEN patch_fields <> '' THEN 'applied' ELSE 'no_change' END AS status, patch_fields, count(*) AS n FROM ({ORACLES['apply_patch']}) GROUP BY 1, 2"
-QUERIES = {n: f for n, f in globals().items() if n in ORACLES} | {"generic_titles": generic_titles}
+ORACLES["generic_titles"] = r"""WITH p AS (SELECT page_id, regexp_extract(url, '([^/]+)$', 1) AS file FROM pages),
+ t AS (SELECT page_id, file, trim(CASE WHEN page_id % 3 = 0 THEN 'Untitled ' ELSE regexp_replace(file, '\.[^.]*$', ' ') END) AS title, regexp_replace(file, '(.)\.[^.]*$', '\1') AS stem FROM p)
+ SELECT page_id, title = '' OR lower(title) IN ('untitled', 'document', 'scan', 'scanned document') OR (stem <> '' AND regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') = regexp_replace(lower(stem), '[^a-z0-9]+', '', 'g')) AS generic,
+ CASE WHEN file <> '' THEN file ELSE 'document-' || page_id END AS download FROM t"""
+QUERIES = {n: f for n, f in globals().items() if n in ORACLES}

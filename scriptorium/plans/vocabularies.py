@@ -129,4 +129,8 @@ ORACLES = {
  SELECT doc_id AS document_id, name, round(score, 4) AS score, (row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 12) DESC, n DESC, name))::INTEGER AS rank FROM s QUALIFY rank <= 20""",
     "best_duplicates": f"SELECT id, id AS matched_id, 1.0::DOUBLE AS score, 'same normalized name' AS reason FROM ({NAMES})",
 }
+ORACLES["reviewed_suggestions"] = f"""WITH x AS (SELECT key, keep_id, merge_id, reason, 'lexical' AS source FROM ({ORACLES['lexical_duplicates']})),
+ n AS ({NAMES}), m AS (SELECT 'tag:' || a.id || ':' || b.id AS key, a.id AS keep_id, b.id AS merge_id, 'same subject' AS reason, 'model' AS source FROM n a JOIN n b ON b.id = a.id + 1),
+ u AS (SELECT * FROM x UNION ALL SELECT * FROM m WHERE key NOT IN (SELECT key FROM x))
+ SELECT * FROM u WHERE key NOT IN (SELECT 'tag:' || id || ':' || (id + 1) FROM n WHERE id % 3 = 0)"""
 QUERIES = {f.__name__: f for f in (vocabulary_tokens, vocabulary_listing, hidden_vocabulary_filter, visible_document_tags, lexical_duplicates, lexical_variants, canonical_pair_order, merge_entities_effect, reviewed_suggestions, candidate_ranking, best_duplicates)}
