@@ -71,11 +71,11 @@ def heartbeat(jobs: DataFrame, alive: DataFrame, now: float, lease: float = 900.
     return j.withColumn("lease_until", F.when(on, F.lit(now + lease)).otherwise(F.col("lease_until"))).drop("beat")
 
 
-def updated(jobs: DataFrame, changes: DataFrame) -> DataFrame:
-    """changes (job_id, some columns): values that are not null replace those of the job."""
-    names = [c for c in changes.columns if c != "job_id"]
-    j = jobs.join(changes.select("job_id", *(F.col(c).alias(f"_{c}") for c in names)), "job_id", "left")
-    return j.withColumns({c: F.coalesce(f"_{c}", c) for c in names}).select(jobs.columns)
+def updated(rows: DataFrame, changes: DataFrame, key: str = "job_id") -> DataFrame:
+    """changes (key, some columns): values that are not null replace those of the row."""
+    names = [c for c in changes.columns if c != key]
+    j = rows.join(changes.select(key, *(F.col(c).alias(f"_{c}") for c in names)), key, "left")
+    return j.withColumns({c: F.coalesce(f"_{c}", c) for c in names}).select(rows.columns)
 
 
 def enqueue(jobs: DataFrame, requests: DataFrame) -> DataFrame:

@@ -140,6 +140,29 @@ def custom_values(proposed: DataFrame, definitions: DataFrame, min_confidence: f
     return ok.unionByName(rows.filter("note is not null").withColumn("value", F.col("proposed")).select(*ok.columns))
 
 
+def new_custom_fields(proposed: DataFrame, definitions: DataFrame, enabled: bool, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """proposed (document_id, pos, name, data_type, value, confidence, reason), definitions (id, name, data_type, currency)
+
+    -> action (reuse, create, reject), field_id, value in normal form, note. A name that repeats a
+    definition reuses it, with that definition's type.
+    """
+    entries = definitions.select(F.lit("custom_field").alias("kind"), "id", "name", F.lit(0).alias("document_count"), F.col("id").alias("position"))
+    names = proposed.select(F.lit("custom_field").alias("kind"), F.xxhash64("name").alias("id"), "name").distinct()
+    found = vocabulary.best_duplicate(names, entries).select("name", F.col("matched_id").alias("field_id"))
+    known = definitions.select(F.col("id").alias("field_id"), F.col("data_type").alias("known_type"), "currency")
+    p = proposed.join(found, "name", "left").join(known, "field_id", "left")
+    p = p.withColumn("n", values.normalized(F.col("value"), F.coalesce("known_type", "data_type"), F.col("currency")))
+    note = (
+        F.when(F.lit(not enabled), "new definitions disabled")
+        .when(F.col("confidence") < min_confidence, LOW)
+        .when(F.length(tx.strip(F.col("reason"))) < MIN_REASON, "new field definitions require a specific justification")
+        .otherwise(F.col("n.error"))
+    )
+    p = p.withColumn("note", note)
+    action = F.when(F.col("note").isNotNull(), "reject").when(F.col("field_id").isNotNull(), "reuse").otherwise("create")
+    return p.select("document_id", "pos", "name", action.alias("action"), F.when(F.col("note").isNull(), F.col("field_id")).alias("field_id"), F.when(F.col("note").isNull(), F.col("n.value")).alias("value"), "note")
+
+
 def usable_tag(tags: DataFrame, candidate_ids: Column, growth: bool, watch: str = "", min_confidence: float = MIN_CONFIDENCE) -> Column:
     """Whether a proposed tag could be applied: a candidate, or a justified new name."""
     new = F.col("new_name").isNotNull() & F.lit(growth) & (F.length(tx.strip(F.col("reason"))) >= MIN_REASON) & (F.size(tx.name_tokens(F.col("new_name"), "tag")) > 0) & (tx.fold(F.col("new_name")) != " ".join(watch.split()).casefold())

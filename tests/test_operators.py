@@ -263,6 +263,23 @@ def test_custom_values_and_verdicts(spark):
     assert sorted((r.pos, r.existing_id, r.new_name) for r in planning.apply_verdicts(q, v).collect()) == [(0, 13, None), (1, 62, None), (4, None, "Health")]
 
 
+def test_new_custom_fields(spark):
+    d = spark.createDataFrame([(5, "Invoice Total", "monetary", "EUR")], "id long, name string, data_type string, currency string")
+    rows = [(1, 0, "Invoice totals", "string", "3", 0.9, "x" * 12), (1, 1, "Due date", "date", "2024-01-02", 0.9, "x" * 12), (1, 2, "Due date", "date", "soon", 0.9, "x" * 12), (1, 3, "Other", "string", "v", 0.1, "x" * 12), (1, 4, "Other", "string", "v", 0.9, "x")]
+    p = spark.createDataFrame(rows, "document_id long, pos int, name string, data_type string, value string, confidence double, reason string")
+    found = {r.pos: (r.action, r.field_id, r.value) for r in planning.new_custom_fields(p, d, True).collect()}
+    assert found == {0: ("reuse", 5, "EUR3.00"), 1: ("create", None, "2024-01-02"), 2: ("reject", None, None), 3: ("reject", None, None), 4: ("reject", None, None)}
+    assert {r.note for r in planning.new_custom_fields(p, d, False).collect()} == {"new definitions disabled"}
+
+
+def test_truncation_and_pending_pages(spark):
+    df = spark.createDataFrame([(7800, 390), (100, 512)], "p int, c int").select(tx.truncation(F.col("p"), F.col("c"), 512).alias("t"))
+    assert [r.t for r in df.collect()] == ["context window reached after 8190 tokens", "output cap of 512 tokens reached, likely repetition"]
+    p = spark.createDataFrame([(1, k) for k in range(1, 6)], "job_id long, page_number int")
+    done = spark.createDataFrame([(1, 1, "complete"), (1, 2, "failed")], "job_id long, page_number int, status string")
+    assert sorted(r.page_number for r in models.pending_pages(p, done).collect()) == [2, 3, 4, 5]
+
+
 # jobs
 
 JOB = "job_id long, document_id long, status string, phase string, attempt int, max_attempts int, next_run_at double, lease_until double, completed_at double, error_code string, error_message string, created_at double"
