@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table, work_dir, worker_cache, written
 
@@ -51,6 +52,7 @@ class CrossPolytope:
         return x
 
     def _signed_axes(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        x = x.astype(np.float64)
         unit = np.zeros((len(x), self.width))
         unit[:, : x.shape[1]] = x / np.abs(x).max(axis=1, keepdims=True)
         unit /= np.sqrt((unit**2).sum(axis=1, keepdims=True))
@@ -160,7 +162,7 @@ def _searched(k: int):
                 if not kind[i]:
                     queries += [(q[0], np.array(v, np.float64)) for q, v in zip(ids.slice(i, j - i).to_pylist(), vec.slice(i, j - i).to_pylist(), strict=True)]
                 elif queries:
-                    x = vec.slice(i, j - i).flatten().to_numpy(zero_copy_only=False).reshape(j - i, -1)
+                    x = vec.slice(i, j - i).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(j - i, -1)
                     search(ids.slice(i, j - i).to_pylist(), x)
                 i = j
             if held > 50_000:
@@ -173,7 +175,7 @@ def _searched(k: int):
 
 def _found(rows: DataFrame, k: int, all_codes: bool = False) -> DataFrame:
     bucket = ["size", "tbl", "code"]
-    coded = written(rows.mapInArrow(_coded(all_codes), "size int, tbl int, code int, kind int, ids array<long>, vec array<double>"), "coded")
+    coded = written(rows.mapInArrow(_coded(all_codes), f"size int, tbl int, code int, kind int, ids array<long>, vec {rows.schema['vec'].dataType.simpleString()}"), "coded")
     large = coded.filter("kind = 1").groupBy(bucket).count().filter(F.col("count") > BLOCK).select(*bucket, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     dealt = coded.join(large, bucket, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64(F.col("ids")[0]), F.col("blocks")).cast("int")
@@ -187,7 +189,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """vectors, queries: (vec_id, embedding) -> query_id, rank, vec_id, score (Euclidean distance)."""
 
     def usable(df: DataFrame) -> DataFrame:
-        v = F.col("embedding").cast("array<double>")
+        v = F.col("embedding") if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else F.col("embedding").cast("array<double>")
         df = df.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vec"))
         finite = F.forall("vec", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
         return df.filter(finite & F.exists("vec", lambda x: x != 0))
