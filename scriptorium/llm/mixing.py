@@ -4,10 +4,10 @@ Every source has a target in words. Whole epochs of a source come first; what is
 left of its target is filled by a weighted sample without replacement: documents in
 the order of exponential keys -ln(u)/quality, as far as their prefix sum goes.
 
-u comes from a hash of the row, so reruns agree. The order is never sorted as a
+u comes from a hash of the id (of the text, where there is none), so reruns agree. The order is never sorted as a
 whole: keys fall into ranges, range sums say in which range the budget ends, and only
 that range is sorted. A document that straddles the budget is taken if that comes
-nearer to the target. Equal rows (same id and text) are taken or left together.
+nearer to the target. Rows of equal id and size are taken or left together.
 
 Cases: null or blank text has size 0 and takes nothing; a null source is a source
 of its own and comes last; a null or non-positive quality counts as 1; an empty
@@ -36,7 +36,8 @@ def keyed(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
         docs = docs.join(best, docs["doc_id"] == best["_id"], "left").drop("_id")
     else:
         docs = docs.withColumn("_weight", F.lit(1.0))
-    u = (F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    digits = F.substring(F.md5(F.concat(F.lit(f"{SEED} "), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))).cast("binary")), 1, 13)
+    u = (F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 52)
     weight = F.when(F.col("_weight") > 0, F.col("_weight")).otherwise(F.lit(1.0))
     return docs.withColumn("_weight", weight).withColumns({"_size": words(), "_key": -F.ln(u) / F.col("_weight")})
 
@@ -139,3 +140,29 @@ def quality_of(labels: DataFrame) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), quality_of(table(spark, sf_dir, "labels"))).drop("source")
+
+
+ORACLE = r"""
+WITH q AS (SELECT doc_id, max(CASE quality WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE END) AS q FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (
+  SELECT d.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    -ln((('0x' || substr(md5('17 ' || coalesce(d.doc_id::VARCHAR, text, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / coalesce(q, 1.0::DOUBLE) AS key
+  FROM documents d LEFT JOIN q ON q.doc_id = d.doc_id
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w FROM d GROUP BY source
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY 3 * source_size / w, source IS NULL, source) AS k FROM s
+), l AS (
+  SELECT *, ((SELECT sum(source_size) FROM s)::DOUBLE - coalesce(sum(3 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM o
+), t AS (
+  SELECT source, source_size, least((3 * source_size)::DOUBLE, (SELECT arg_min(level, k) FROM l WHERE level * w <= 3 * source_size) * w) AS target FROM l
+), r AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t
+), c AS (
+  SELECT d.doc_id, size, source_size, target, epochs, target - epochs * source_size AS rest,
+    sum(size) OVER (PARTITION BY d.source ORDER BY key, coalesce(d.doc_id, -1), size) AS upto
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+)
+SELECT doc_id, size, source_size, target, (size * least(3, epochs + CASE WHEN rest > 0 AND upto - size / 2 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
+"""
