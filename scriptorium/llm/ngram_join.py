@@ -149,8 +149,10 @@ def linked(sets: list[np.ndarray], similarity: float, other: np.ndarray | None =
         part = np.zeros((n, step), np.float32)
         part[row[i:j], column[i:j] - start] = 1
         both += part @ part.T
-    union = size[:, None] + size[None, :] - both
-    out = both >= similarity * union - 1e-9
+    out = np.empty((n, n), bool)
+    for i in range(0, n, 256):  # a few rows at a time; the sums are in double precision
+        union = size[i : i + 256, None] + size[None, :] - both[i : i + 256]
+        out[i : i + 256] = both[i : i + 256] >= similarity * union - 1e-9
     np.fill_diagonal(out, False)
     if other is not None:
         out &= other[:, None] != other[None, :]
@@ -185,7 +187,8 @@ def _verified(width: int, similarity: float):
                 return [(x, 0, x, at[1] > 0) for x in nodes]
             whole = at[2] == at[3]
             m = linked(sets, similarity, None if whole else np.array(sides))
-            label, links = _labels(m), m @ np.array(copies, np.float64)
+            weight = np.array(copies, np.float64)
+            label, links = _labels(m), np.concatenate([m[i : i + 256] @ weight for i in range(0, len(m), 256)])
             return [(x, int(links[i]), nodes[label[i]], at[1] > 1) for i, x in enumerate(nodes)]
 
         def batch_of(out):
