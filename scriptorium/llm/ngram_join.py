@@ -5,9 +5,9 @@
 2. Forest: tree t orders the nodes by their t-th run of values, which is a prefix
    trie in sorted order. In each trie the longest matched prefixes are joined first
    and prefixes shorten level by level until a pair at the threshold would be met
-   with the target recall. At a level, nodes whose signatures agree well enough with
-   the first node of their prefix join it, and only the others go on: a tight
-   group costs one comparison a member, not one a pair.
+   with the target recall. Nodes of a prefix whose signatures agree well enough are
+   joined, over other nodes or directly: a member of a group is compared with the nodes
+   that no group has reached yet, so a tight group costs few comparisons a member.
 3. The components of these candidate edges are verified exactly: tasks hold one
    pair of blocks of one component, intersect the shingle sets with a
    matrix product, and return link counts and labels, never pairs.
@@ -78,24 +78,37 @@ def _signed(width: int):
 
 
 def link_prefixes(keys: list[bytes], short: np.ndarray, shortest: int, depth: int = DEPTH, agree: float = AGREE) -> list[tuple[int, int]]:
-    """Joins nodes of one bucket of a sorted trie: (node, head) positions, longest prefixes first."""
-    joined, heads = [], np.arange(len(keys))
+    """Joins nodes of one bucket of a sorted trie, longest prefixes first: (node, other) positions.
+
+    Any two nodes of a bucket whose signatures agree end in one component: each member
+    of a group, not only its first, is compared with all nodes that no group has reached.
+    """
+    joined, group, least, done = [], np.arange(len(keys)), agree * short.shape[1] - 1e-9, set()
     for level in range(depth, shortest - 1, -1):
-        left, i = [], 0
-        while i < len(heads):
-            prefix, j = keys[heads[i]][: 4 * level], i + 1
-            while j < len(heads) and keys[heads[j]][: 4 * level] == prefix:
+        j = 0
+        while j < len(keys):
+            i, prefix = j, keys[j][: 4 * level]
+            while j < len(keys) and keys[j][: 4 * level] == prefix:
                 j += 1
-            rest, i = heads[i:j], j
+            if j - i < 2 or (i, j) in done:
+                continue
+            done.add((i, j))
+            rest = np.arange(i, j)
             while len(rest):
-                head, rest = rest[0], rest[1:]
-                left.append(head)
-                if len(rest):
-                    near = (short[rest] == short[head]).mean(axis=1) >= agree
-                    joined += [(int(x), int(head)) for x in rest[near]]
-                    rest = rest[~near]
-        heads = np.array(sorted(left))
-        if len(heads) == 1:
+                mine = group[rest] == group[rest[0]]  # joined at a longer prefix
+                todo, rest = rest[mine].tolist(), rest[~mine]
+                signed = short[rest]
+                while todo and len(rest):
+                    x = todo.pop()
+                    near = np.count_nonzero(signed == short[x], axis=1) >= least
+                    if near.any():
+                        found, first = np.unique(group[rest[near]], return_index=True)
+                        joined += [(int(y), x) for y in rest[near][first]]
+                        near = np.isin(group[rest], found)
+                        group[rest[near]] = group[x]
+                        todo += rest[near].tolist()
+                        rest, signed = rest[~near], signed[~near]
+        if (group == group[0]).all():
             break
     return joined
 

@@ -162,6 +162,41 @@ def test_shortest_prefix_reaches_recall():
     assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
 
 
+def test_link_prefixes_reaches_over_nodes_that_joined_a_head():
+    short = np.array([[0] * 10, [0] * 6 + [1] * 4, [0] * 2 + [1] * 8, [2] * 10], np.uint8)  # 0-1 agree in 6, 1-2 in 6, 0-2 in 2 of 10
+    for keys in ([b"aaaabbbb"] * 4, [b"aaaabbbb", b"aaaabbbb", b"aaaacccc", b"aaaadddd"]):
+        assert sorted(tuple(sorted(x)) for x in ngram_join.link_prefixes(keys, short, 1, 2)) == [(0, 1), (1, 2)]
+
+
+def test_link_prefixes_connects_all_that_agree():
+    rng = np.random.default_rng(3)
+    short = rng.integers(0, 2, (200, 20)).astype(np.uint8)
+    keys = sorted(b"head" + bytes(rng.integers(0, 2, 8).astype(np.uint8)) for _ in short)
+    for least in (0.6, 0.75, 0.9):
+        labels = []
+        for edges in ([(a, b) for a in range(200) for b in range(a) if (short[a] == short[b]).mean() >= least], ngram_join.link_prefixes(keys, short, 1, 3, least)):
+            label, before = list(range(200)), None
+            while label != before:
+                before = list(label)
+                for a, b in edges:
+                    label[a] = label[b] = min(label[a], label[b])
+            labels.append(label)
+        assert labels[0] == labels[1]
+
+
+def test_ngram_join_finds_a_pair_among_many_siblings_below_the_threshold(spark):
+    rng = random.Random(11)
+    base = [f"w11x{i}" for i in range(504)]
+    texts = [" ".join(base), " ".join(base[:404])]  # 500 and 400 shingles: Jaccard 0.8
+    for m in range(300):  # Jaccard about 0.65 to the first, less to the second
+        w = list(base)
+        for i in range(21):
+            w[i * 19 + rng.randrange(19)] = f"s{m}y{i}"
+        texts.append(" ".join(w))
+    found = {r.doc_id: r for r in ngram_join.ngram_join(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert found[0].n_links == found[1].n_links == 1 and found[0].class_id == found[1].class_id == 1
+
+
 # op2
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x="</p>";</script></head><body>
