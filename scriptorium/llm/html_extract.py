@@ -3,8 +3,10 @@
 1. Each page becomes tokens: its block elements, as paths from the root that carry
    tag, class and id, and its text blocks, as the path and the text. A token's occurrence
    vector over the pages of its host is kept as a fingerprint: the xor of a hash of
-   (page, count) over all pages, added up per map task before the shuffle. Tokens of
-   one host with equal fingerprints are an equivalence class.
+   (page, count) over all pages, added up per task before the shuffle. Pages of a host
+   with the same text (that of the article where there is one) are one page here, so copies
+   do not make their text a template. Tokens of one host with equal fingerprints are an
+   equivalence class.
 2. A class is valid for the template of its host if it is large or frequent enough:
    the class of what occurs once on every page is the root; classes of elements that occur
    once on most pages nest below it, each under its parent path. Text tokens of such
@@ -13,11 +15,12 @@
 3. The slots that remain hold the data. Kept are the text blocks below an article or main
    element, else below one whose class says content; else those below the deepest template element that holds
    most of the text outside links. Elements whose tag, role, class or id says menu, header,
-   footer, sidebar, notice, advert, form or comments are never kept, nor is template text.
+   footer, sidebar, notice, advert, form or comments are never kept, nor is template text
+   outside an article or main element. Text inside one stays even if all articles share it.
 
 A host with few pages has no reliable vectors; there the roles alone decide. Null html is
 empty; an empty page, or one without main text, gives the empty string. A null or
-unusual url is a host like any other. Repeated pages count as pages. Unclosed and
+unusual url is a host like any other. Every repeated page gets its text. Unclosed and
 misnested tags close as browsers close them. An empty table gives an empty result.
 """
 
@@ -26,18 +29,18 @@ from __future__ import annotations
 import html
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table, work_dir, worker_cache, written
 
-#: Pages of a host from which its vectors count, for elements and for text inside an article; share of pages that makes a class frequent.
+#: Pages of a host from which its vectors count, for elements and for text that a class calls content; share of pages that makes a class frequent.
 LEAST_PAGES, LEAST_PAGES_TEXT, FREQUENT = 3, 10, 0.5
 #: Total bytes of templates up to which they are broadcast; a merge join beyond.
 BROADCAST_BYTES = 32 << 20
@@ -216,10 +219,33 @@ def _text_token(path: int, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{path}\n{text}") >> 1
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(url, html) -> per host and token: pages, occurrences, fingerprint, what the element is and holds."""
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(url, html) -> host, hash of the page's text, elements and text tokens with their counts."""
     worker_cache("html_extract")
-    parser, seq, part = Parser(), 0, TaskContext.get().partitionId()
+    parser = Parser()
+    for batch in batches:
+        rows = []
+        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            blocks, elements = parser.parse(page)
+            level = max((main for _, _, main, _, _ in blocks), default=0)
+            same, texts = xxhash.xxh3_128(), {}
+            for path, _, main, text, _ in blocks:
+                if main == level:
+                    same.update(f"{path}\n{text}\n\n".encode("utf-8", "surrogatepass"))
+                if main < 2:  # text of an article is never a template's
+                    token = _text_token(path, text)
+                    texts[token] = texts.get(token, 0) + 1
+            found = array("q", [len(elements)])
+            for path, element in elements.items():
+                found.extend((path, *map(int, element)))
+            for token in texts.items():
+                found.extend(token)
+            rows.append((host_of(url), same.digest(), found.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.binary(), pa.binary()))], names=["host", "same", "found"])
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages -> per host and token: pages, occurrences, fingerprint, what the element is and holds."""
     seen: dict[tuple[str, int], list] = {}
     names = ["host", "token", "kind", "pages", "occurrences", "vector", "parent", "main", "chars", "link_chars"]
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
@@ -229,8 +255,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    def add(host, token, kind, count, parent=0, main=False, chars=0, link_chars=0):
-        vector = xxhash.xxh64_intdigest(f"{part} {seq} {count}") >> 1
+    def add(host, same, token, kind, count, parent=0, main=False, chars=0, link_chars=0):
+        vector = xxhash.xxh64_intdigest(same, count & 0xFFFFFFFF) >> 1
         if (v := seen.get((host, token))) is None:
             seen[host, token] = [kind, 1, count, vector, parent, main, chars, link_chars]
         else:
@@ -242,18 +268,15 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v[7] += link_chars
 
     for batch in batches:
-        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            host, seq = host_of(url), seq + 1
-            blocks, elements = parser.parse(page)
-            add(host, 0, 0, 1)  # the page itself, whose vector is that of the root class
-            for path, (count, parent, main, chars, link_chars) in elements.items():
-                add(host, path, 1, count, parent, main, chars, link_chars)
-            texts: dict[int, int] = {}
-            for path, _, _, text, _ in blocks:
-                token = _text_token(path, text)
-                texts[token] = texts.get(token, 0) + 1
-            for token, count in texts.items():
-                add(host, token, 2, count)
+        for host, same, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            x = array("q", found)
+            add(host, same, 0, 0, 1)  # the page itself, whose vector is that of the root class
+            end = 1 + 6 * x[0]
+            for i in range(1, end, 6):
+                path, count, parent, main, chars, link_chars = x[i : i + 6]
+                add(host, same, path, 1, count, parent, bool(main), chars, link_chars)
+            for i in range(end, len(x), 2):
+                add(host, same, x[i], 2, x[i + 1])
         if len(seen) > 200_000:
             yield flush()
     yield flush()
@@ -262,7 +285,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template): the valid classes of each host as JSON."""
     kinds = "host string, token long, kind int, pages long, occurrences long, vector long, parent long, main boolean, chars long, link_chars long"
-    tokens = pages.select("url", "html").mapInArrow(_tokens, kinds)
+    apart = pages.select("url", "html").mapInArrow(_pages, "host string, same binary, found binary").groupBy("host", "same").agg(F.min("found").alias("found"))
+    tokens = apart.mapInArrow(_tokens, kinds)
     sums = {c: F.sum(c).alias(c) for c in ("pages", "occurrences", "chars", "link_chars")}
     tokens = tokens.groupBy("host", "token", "kind").agg(sums["pages"], sums["occurrences"], F.bit_xor("vector").alias("vector"), F.min("parent").alias("parent"), F.bool_or("main").alias("main"), sums["chars"], sums["link_chars"])
     tokens = written(tokens, "tokens", work_dir(pages.sparkSession))
@@ -297,7 +321,7 @@ class Template:
                 continue
             if not main and link_chars > 0.5 * len(text):
                 continue
-            if self.texts and self.pages >= (LEAST_PAGES_TEXT if main else LEAST_PAGES) and _text_token(path, text) in self.texts:
+            if main < 2 and self.texts and self.pages >= (LEAST_PAGES_TEXT if main else LEAST_PAGES) and _text_token(path, text) in self.texts:
                 continue
             kept.append(text)
         return "\n\n".join(kept)

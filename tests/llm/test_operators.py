@@ -222,6 +222,23 @@ def test_html_template_text_goes_without_roles(spark):
         assert r.text == f"{prose(r.page_id, 40)}\n\n{prose(100 + r.page_id, 40)}"
 
 
+@pytest.mark.parametrize("area", ["article", "div class=text", "div"])
+def test_html_copies_keep_their_text(spark, area):
+    page = f"<html><body><p>{{}}</p><{area}><h1>Weekly letter</h1><p>{{}}</p></{area.split()[0]}></body></html>"
+    shared, rows = "" if area == "div" else "Good morning", []
+    rows += [(k, "http://copies.example/", page.format(shared, prose(1, 40))) for k in range(20)]
+    rows += [(100 + k, "http://few.example/", page.format(shared, prose(k % 2, 40))) for k in range(30)]
+    for r in html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text == "Weekly letter\n\n" + (prose(1, 40) if r.page_id < 100 else prose(r.page_id % 2, 40))
+
+
+def test_html_text_that_all_articles_share_stays(spark):
+    page = "<html><body><p>Good morning</p><article><h1>Weekly letter</h1><p>{}</p></article></body></html>"
+    rows = [(k, "http://letters.example/", page.format(prose(k, 40))) for k in range(20)]
+    for r in html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text == f"Weekly letter\n\n{prose(r.page_id, 40)}"
+
+
 # op3
 
 
