@@ -1,16 +1,18 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
 Text is normalised to lower-case words of letters and digits, `licence` read as
-`license`. Compared are the whole text, its paragraphs, its lines and their
-sentences, each as a set of word bigrams. A unit matches a template if
+`license`. Compared are all runs of consecutive paragraphs (one, several, the whole
+text), the lines and their sentences, each as a set of word bigrams. A unit matches a template if
 2 |A and B| / (|A| + |B|) reaches the threshold. A unit of n bigrams can only reach it
 for templates of t/(2-t) n to (2-t)/t n bigrams, and must share one of the few
-rarest bigrams of such a template; other templates are not compared. Both bounds are
-exact, so nothing that matches is lost.
+rarest bigrams of such a template; other templates are not compared. Nor are those of
+which the whole text shares too little, and runs in a stretch that does. The bounds are
+exact, so no unit that matches is lost.
 
 A row of the result is a document: its best licence (highest score, then the
 licence that sorts first), that score, all licences found, and the number of
-matching units, where a unit that lies in a matching smaller one counts too. Null
+matching units, where a unit that holds or lies in another matching one counts too, so
+a long licence of many paragraphs counts for each of its runs that match. Null
 or empty text has none: null licence, score 0. Very long texts are scanned whole. An
 empty table gives an empty result.
 """
@@ -53,22 +55,60 @@ class Scanner:
         use = Counter(x for _, b in self.known for x in b)
         #: rare bigram -> templates of which a matching unit shares it or another of their rare ones
         self.rare: dict[tuple[str, str], list[int]] = {}
+        #: bigrams that a match shares with each template at least
+        self.least = [-int(-(threshold / (2 - threshold) * len(b) - 1e-9) // 1) for _, b in self.known]
         for k, (_, b) in enumerate(self.known):
-            least = -int(-(threshold / (2 - threshold) * len(b) - 1e-9) // 1)  # bigrams that a match shares at least
-            for x in sorted(b, key=lambda x: (use[x], x))[: len(b) - least + 1]:
+            for x in sorted(b, key=lambda x: (use[x], x))[: len(b) - self.least[k] + 1]:
                 self.rare.setdefault(x, []).append(k)
 
-    def unit(self, words: list[str]) -> list[tuple[float, str]]:
+    def among(self, found: set[tuple[str, str]]) -> list[int]:
+        """Templates that a unit may match whose bigrams are all among those found."""
+        candidates = sorted({k for x in found if x in self.rare for k in self.rare[x]})
+        return [k for k in candidates if len(found) >= self.least[k] and len(found & self.known[k][1]) >= self.least[k]]
+
+    def unit(self, words: list[str], among: list[int]) -> list[tuple[float, str]]:
         """(score, licence) of the templates that a unit matches."""
         found = bigrams_of(words)
         low, high = self.threshold / (2 - self.threshold) * len(found), (2 - self.threshold) / self.threshold * len(found)
-        candidates = {k for x in found if x in self.rare for k in self.rare[x]}
-        scores = ((dice(found, self.known[k][1]), self.known[k][0]) for k in candidates if low - 1e-9 <= len(self.known[k][1]) <= high + 1e-9)
+        scores = ((dice(found, self.known[k][1]), self.known[k][0]) for k in among if low - 1e-9 <= len(self.known[k][1]) <= high + 1e-9)
         return [x for x in scores if x[0] >= self.threshold - 1e-12]
 
-    def units(self, text: str) -> Iterator[list[str]]:
-        """The words of the whole text, its paragraphs, lines and sentences, each run of words once."""
-        seen, pieces, ends = set(), [], {0: [0], 1: [0], 2: [0], 3: [0]}
+    def runs(self, pairs: list[list[tuple[str, str]]], k: int) -> Iterator[tuple[int, int, float]]:
+        """(first, end, score) of the runs of paragraphs that match a template.
+
+        pairs: the bigrams of each paragraph, that with the word before it first. A window of as many
+        paragraphs as the size bound allows goes along; only where it shares enough are runs compared.
+        """
+        known = self.known[k][1]
+        high, inside, shared, j = (2 - self.threshold) / self.threshold * len(known) + 1e-9, Counter(), 0, 0
+        for i, own in enumerate(pairs):
+            j = max(i, j)
+            while j < len(pairs) and len(inside) <= high:
+                for x in pairs[j] if j > i else pairs[j][1:]:
+                    inside[x] += 1
+                    shared += inside[x] == 1 and x in known
+                j += 1
+            if shared >= self.least[k]:
+                found: set[tuple[str, str]] = set()
+                both = 0
+                for end in range(i, len(pairs)):
+                    fresh = set(pairs[end] if end > i else pairs[end][1:]) - found
+                    found |= fresh
+                    both += len(fresh & known)
+                    if len(found) > high:
+                        break
+                    if (score := 2 * both / (len(found) + len(known))) >= self.threshold - 1e-12:
+                        yield i, end + 1, score
+            # the next window begins with the next paragraph, without the bigram that leads into it
+            for x in own[1:] + (pairs[i + 1][:1] if i + 1 < j else []):
+                inside[x] -= 1
+                if not inside[x]:
+                    del inside[x]
+                    shared -= x in known
+
+    def pieces(self, text: str) -> tuple[list[str], list[tuple[int, int]], list[int]]:
+        """The words of a text, the runs of its sentences and lines, and where its paragraphs end."""
+        pieces, ends = [], {1: [0], 2: [0], 3: [0]}
         for paragraph in _PARAGRAPH.split(text):
             for line in paragraph.split("\n"):
                 for sentence in _SENTENCE.split(line):
@@ -76,21 +116,30 @@ class Scanner:
                     ends[3].append(len(pieces))
                 ends[2].append(len(pieces))
             ends[1].append(len(pieces))
-        ends[0].append(len(pieces))
-        words = [w for p in pieces for w in p]
         at = [0, *accumulate(map(len, pieces))]
-        for level in (3, 2, 1, 0):
-            for a, b in zip(ends[level], ends[level][1:]):
-                if at[b] - at[a] > 1 and (at[a], at[b]) not in seen:
-                    seen.add((at[a], at[b]))
-                    yield words[at[a] : at[b]]
+        small = dict.fromkeys((at[a], at[b]) for level in (3, 2) for a, b in zip(ends[level], ends[level][1:]) if at[b] - at[a] > 1)
+        return [w for p in pieces for w in p], list(small), sorted({at[x] for x in ends[1]})
+
+    def units(self, text: str) -> Iterator[list[str]]:
+        """The words of a text's sentences, lines and runs of paragraphs, each run of words once."""
+        words, small, at = self.pieces(text)
+        for a, b in dict.fromkeys([*small, *((a, b) for i, a in enumerate(at) for b in at[i + 1 :] if b - a > 1)]):
+            yield words[a:b]
 
     def scan(self, text: str) -> list[tuple[float, str]]:
         """The best match of each matching unit."""
         words = words_of(text)
-        if self.rare.keys().isdisjoint(zip(words, words[1:])):
+        if self.rare.keys().isdisjoint(zip(words, words[1:])) or not (among := self.among(bigrams_of(words))):
             return []
-        return [min(found, key=lambda x: (-x[0], x[1])) for unit in self.units(text) if (found := self.unit(unit))]
+        words, small, at = self.pieces(text)
+        found = {x: self.unit(words[x[0] : x[1]], among) for x in small}
+        pairs = [[(words[a - 1] if a else "", words[a]), *zip(words[a:b], words[a + 1 : b])] for a, b in zip(at, at[1:])]
+        large: dict[tuple[int, int], list] = {}
+        for k in among:
+            for i, j, score in self.runs(pairs, k):
+                if (run := (at[i], at[j])) not in found:
+                    large.setdefault(run, []).append((score, self.known[k][0]))
+        return [min(x, key=lambda y: (-y[0], y[1])) for x in [*found.values(), *(large[run] for run in sorted(large))] if x]
 
 
 def _scanned(threshold: float):

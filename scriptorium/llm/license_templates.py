@@ -1,8 +1,10 @@
 """Licence templates as plain text (fixed values: public licence and notice texts).
 
-Each licence has full texts where they are short, and the usual notices and statements.
+Each licence has full texts, but for AGPL, EPL and CC BY, and the usual notices and statements.
 """
 
+from .license_texts import FULL
+
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
 _MIT_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -77,4 +79,5 @@ TEXTS = {
 def templates() -> list[tuple[str, str]]:
     """(licence, text) of all templates, statements included."""
     found = [(name, text) for name, texts in TEXTS.items() for text in texts]
+    found += FULL.items()
     return found + [(name, s.format(x)) for name, names in NAMES.items() for x in names for s in STATEMENTS]

@@ -346,6 +346,36 @@ def test_license_scan_equals_brute_force(spark):
     assert license_scan.license_scan(docs(spark, [])).count() == 0
 
 
+def test_license_scan_finds_runs_of_paragraphs_and_full_texts():
+    s = license_scan.Scanner()
+    around = "\n\n".join(prose(k, 60) for k in range(30))
+    notice = next(t for name, t in license_scan.templates() if name == "GPL-3.0" and t.startswith("This program is free"))
+    bsd = next(t for name, t in license_scan.templates() if name == "BSD-2-Clause" and "WARRANT" not in t.upper())
+    for text, name in ((notice.replace("\n", "\n\n"), "GPL-3.0"), (bsd.replace("\n", "\n\n"), "BSD-2-Clause")):
+        assert min(s.scan(f"{around}\n\n{text}\n\n{around}"), key=lambda x: (-x[0], x[1])) == (1.0, name)
+    for name, text in license_scan.templates():
+        if len(text) > 5000:
+            assert (1.0, name) in s.scan(f"{prose(1, 60)}\n\n{text}\n\n{prose(2, 60)}")
+    assert {name for name, text in license_scan.templates() if len(text) > 5000} == {"Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"}
+
+
+def test_license_scan_runs_equal_brute_force():
+    rng = random.Random(6)
+    known = [("A", "a b c d e f g h"), ("B", "a b c d e f g h i j k l m n o p"), ("C", "h g f e d c")]
+    s = license_scan.Scanner(known=known)
+    for _ in range(300):
+        parts, letters = [], "abcdefghijklmnop"
+        for _ in range(rng.randrange(1, 9)):
+            i = rng.randrange(16)
+            parts.append(" ".join(rng.choice((letters[i : i + rng.randrange(6)], letters[:8], "hgfedc", "xyx", ""))))
+        text, want = "\n\n".join(parts), []
+        for unit in s.units(text):
+            best = [(license_scan.dice(license_scan.bigrams_of(unit), b), name) for name, b in s.known]
+            best = [x for x in best if x[0] >= license_scan.DICE - 1e-12]
+            want += [min(best, key=lambda x: (-x[0], x[1]))] if best else []
+        assert s.scan(text) == want
+
+
 # op6
 
 
