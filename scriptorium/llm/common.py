@@ -5,12 +5,18 @@ from __future__ import annotations
 import gc
 import sys
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Only used where the session names no spark.checkpoint.dir (tests, one machine).
+#: Only used on one machine, where the session names no spark.checkpoint.dir.
 LOCAL_SHARED = "/tmp/checkpoints"
+#: A key with more than this share of all rows is hot; so there are fewer hot keys than its inverse.
+HOT_SHARE = 1 / 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share, as the cluster names it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or f"file://{LOCAL_SHARED}").rstrip("/")
 
 
@@ -35,25 +43,46 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Folders made by work_dir() so far.
-_made: list[str] = []
+#: The list to which work_dir() adds folders, of this thread of control.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
-def work_dir(spark: SparkSession) -> str:
-    _made.append(f"{shared_dir(spark)}/scriptorium-{uuid.uuid4().hex}")
-    return _made[-1]
+@contextmanager
+def gathered() -> Iterator[list[str]]:
+    """The work folders made inside, for release()."""
+    found: list[str] = []
+    before = _made.set(found)
+    try:
+        yield found
+    finally:
+        _made.reset(before)
 
 
-def folders_made() -> int:
-    return len(_made)
+def work_dir(spark: SparkSession) -> str:
+    path = f"{shared_dir(spark)}/scriptorium-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
 
 
-def release(spark: SparkSession, first: int, end: int) -> None:
-    """Deletes the work folders number first to end; nothing may read them any more."""
-    for path in map(spark._jvm.org.apache.hadoop.fs.Path, _made[first:end]):
+def release(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes work folders; nothing may read them any more."""
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, folders):
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """Joins many rows to the one row of their keys, hot keys without a shuffle.
+
+    size: a column of `one`, at least the number of rows of `many` with those keys; total:
+    at least its sum. The hot keys are fewer than 1 / HOT_SHARE and are broadcast; the
+    rest meets by a shuffle in which no key holds more than that share. how: inner or left.
+    """
+    limit = max(1, int(total * HOT_SHARE))
+    hot = F.broadcast(one.filter(F.col(size) > limit))
+    return many.join(hot, keys).unionByName(many.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(one.filter(F.col(size) <= limit), keys, how))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Long texts go to Python in batches of fewer rows, unless the session asks for other sizes."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -7,7 +7,10 @@ the order of exponential keys -ln(u)/quality, as far as their prefix sum goes.
 u comes from a hash of the id (of the text, where there is none), so reruns agree. The order is never sorted as a
 whole: keys fall into ranges, range sums say in which range the budget ends, and only
 that range is sorted. A document that straddles the budget is taken if that comes
-nearer to the target. Rows of equal id and size are taken or left together.
+nearer to the target. Rows of equal id and size are taken or left together. Rows meet
+the plan of their source by a broadcast of the hot sources' rows, which are few; only
+small sources are shuffled to theirs. Texts take no part in any of this: how often
+each row is taken is joined to them by id, source and size at the end.
 
 Cases: null or blank text has size 0 and takes nothing; a null source is a source
 of its own and comes last; a null or non-positive quality counts as 1; an empty
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, work_dir, written
+from .common import spread_join, table, work_dir, written
 
 SEED, MOST_EPOCHS, RANGE_ROWS = 17, 3, 10_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,17 +32,11 @@ def words(text: str = "text") -> F.Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def keyed(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
-    """docs plus _size, _weight and _key. quality: (doc_id, quality), larger is better."""
-    if quality is not None:
-        best = quality.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").cast("double").alias("_weight"))
-        docs = docs.join(best, docs["doc_id"] == best["_id"], "left").drop("_id")
-    else:
-        docs = docs.withColumn("_weight", F.lit(1.0))
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) plus _size and _key, the exponential key at weight 1."""
     digits = F.substring(F.md5(F.concat(F.lit(f"{SEED} "), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))).cast("binary")), 1, 13)
     u = (F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 52)
-    weight = F.when(F.col("_weight") > 0, F.col("_weight")).otherwise(F.lit(1.0))
-    return docs.withColumn("_weight", weight).withColumns({"_size": words(), "_key": -F.ln(u) / F.col("_weight")})
+    return docs.withColumns({"_size": words(), "_key": -F.ln(u)})
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -70,67 +67,78 @@ def _place() -> F.Column:
     return F.struct("_key", F.coalesce(F.col("doc_id"), F.lit(-1)).alias("id"), "_size")
 
 
+def _key_of(source: str) -> F.Column:
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+
+
 def plan(light: DataFrame) -> DataFrame:
     """Per source: source_size, target, epochs, and the place up to which the rest is filled.
 
-    light: source, doc_id, _size, _weight, _key; it is read several times.
+    light: _source (never null), source, doc_id, _size, _weight, _key; it is read several times.
     """
-    sources = light.groupBy("source").agg(F.sum("_size").alias("source_size"), F.ceil(F.count("*") / RANGE_ROWS).alias("_ranges"), F.avg("_weight").alias("_mean"))
-    p = targets(sources)
+    folder = work_dir(light.sparkSession)
+    sources = light.groupBy("_source", "source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("_rows"), F.avg("_weight").alias("_mean"))
+    p = targets(sources).withColumn("_ranges", F.ceil(F.col("_rows") / RANGE_ROWS))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     p = p.withColumn("epochs", epochs).withColumn("_rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    p = written(p.withColumn("_source", F.col("source")).drop("source"), "targets", work_dir(light.sparkSession))
-    rows = light.join(p, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_at", _range())
-    sums = rows.groupBy("_source", "_at").agg(F.sum("_size").alias("_sum"), F.first("_rest").alias("_rest"))
+    p = written(p.drop("source"), "targets", folder)
+    total = p.agg(F.sum("_rows")).first()[0] or 0
+    rows = spread_join(light, p, ["_source"], "_rows", total).withColumn("_at", _range())
+    sums = written(rows.groupBy("_source", "_at").agg(F.sum("_size").alias("_sum"), F.first("_rest").alias("_rest"), F.count("*").alias("_n")), "ranges", folder)
     before = Window.partitionBy("_source").orderBy("_at")
     ends = sums.withColumn("_before", F.sum("_sum").over(before) - F.col("_sum"))
     # the range in which the budget ends; a range that starts at or past the budget starts too late
-    ends = ends.filter((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_sum") >= F.col("_rest"))).select(F.col("_source").alias("_end_source"), F.col("_at").alias("_end"), "_before")
-    ends = ends.groupBy("_end_source").agg(F.min(F.struct("_end", "_before")).alias("e")).select("_end_source", "e.*")
-    inside = rows.join(ends, F.col("_source").eqNullSafe(F.col("_end_source")) & (F.col("_at") == F.col("_end")))
+    ends = ends.filter((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_sum") >= F.col("_rest")))
+    ends = ends.groupBy("_source").agg(F.min(F.struct(F.col("_at").alias("_end"), "_before")).alias("e")).select("_source", "e.*")
+    ends = written(p.join(ends, "_source", "left"), "ends", folder)
+    inside = spread_join(light, ends, ["_source"], "_rows", total).withColumn("_at", _range()).filter(F.col("_at") == F.col("_end"))
     upto = Window.partitionBy("_source").orderBy(_place())
     inside = inside.withColumn("_middle", F.col("_before") + F.sum("_size").over(upto) - F.col("_size") / 2)
-    cut = inside.filter(F.col("_middle") <= F.col("_rest")).groupBy("_source").agg(F.max(_place()).alias("_cut")).select(F.col("_source").alias("_cut_source"), "_cut")
-    ends = ends.join(cut, F.col("_end_source").eqNullSafe(F.col("_cut_source")), "left").drop("_cut_source", "_before")
-    return p.join(ends, F.col("_source").eqNullSafe(F.col("_end_source")), "left").drop("_end_source")
+    cut = inside.filter(F.col("_middle") <= F.col("_rest")).groupBy("_source").agg(F.max(_place()).alias("_cut"))
+    return written(ends.drop("_before").join(cut, "_source", "left"), "plan", folder)
 
 
 def taken(rows: DataFrame, p: DataFrame) -> DataFrame:
-    """rows (source, doc_id, _size, _key) with their source's plan and _times, how often each is taken."""
-    both = rows.join(p, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_at", _range())
+    """rows (_source, doc_id, _size, _key) with their source's plan and _times, how often each is taken."""
+    total = p.agg(F.sum("_rows")).first()[0] or 0
+    both = spread_join(rows, p, ["_source"], "_rows", total).withColumn("_at", _range())
     chosen = (F.col("_rest") > 0) & F.col("_end").isNotNull() & ((F.col("_at") < F.col("_end")) | ((F.col("_at") == F.col("_end")) & F.coalesce(_place() <= F.col("_cut"), F.lit(False))))
     times = F.when(F.col("_size") > 0, F.col("epochs") + F.when(chosen, 1).otherwise(0)).otherwise(0)
     return both.withColumn("_times", F.least(times, F.lit(MOST_EPOCHS)))
 
 
-def _light(docs: DataFrame, quality: DataFrame | None) -> DataFrame:
-    sized = docs.select("doc_id", "source", "text")
-    return written(keyed(sized, None).select("doc_id", "source", "_size", "_key", "_weight"), "keys") if quality is None else written(_weighed(sized, quality), "keys")
+def _identity() -> F.Column:
+    """What u comes from, as a key that is never null: rows alike in it, source and size are taken alike."""
+    return F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("_identity")
 
 
-def _weighed(sized: DataFrame, quality: DataFrame) -> DataFrame:
-    """Keys with quality weights; texts do not travel to the join with the qualities."""
-    bare = keyed(sized, None).select("doc_id", "source", "_size", F.col("_key").alias("_base"))
-    best = quality.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").cast("double").alias("_q"))
-    bare = bare.join(best, bare["doc_id"] == best["_id"], "left")
-    weight = F.when(F.col("_q") > 0, F.col("_q")).otherwise(F.lit(1.0))
-    return bare.select("doc_id", "source", "_size", weight.alias("_weight"), (F.col("_base") / weight).alias("_key"))
+def _light(docs: DataFrame, quality: DataFrame | None, folder: str) -> DataFrame:
+    """doc_id, source, _identity, _source, _size, _weight and _key of each row; no texts."""
+    bare = keyed(docs.select("doc_id", "source", "text")).select("doc_id", "source", _identity(), _key_of("source").alias("_source"), "_size", F.col("_key").alias("_base"))
+    if quality is None:
+        weighed = bare.withColumn("_weight", F.lit(1.0))
+    else:
+        best = quality.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").cast("double").alias("_q"))
+        weighed = bare.join(best, bare["doc_id"] == best["_id"], "left").withColumn("_weight", F.when(F.col("_q") > 0, F.col("_q")).otherwise(F.lit(1.0))).drop("_id", "_q")
+    return written(weighed.withColumn("_key", F.col("_base") / F.col("_weight")).drop("_base"), "keys", folder)
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken."""
-    light = _light(docs, quality)
+    light = _light(docs, quality, work_dir(docs.sparkSession))
     out = taken(light, plan(light))
     return out.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", (F.col("_times") * F.col("_size")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     """The rows of the mix, as often as it takes them, with the columns of docs."""
-    light = _light(docs, quality)
-    p = plan(light).select("_source", "_ranges", "_mean", "_rest", "_end", "_cut", "epochs")
-    whole = keyed(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "source", "text"), quality)
-    out = taken(whole.drop("text"), p).filter("_times > 0")
-    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("copy")).select("row.*")
+    light = _light(docs, quality, work_dir(docs.sparkSession))
+    keys = ["_identity", "_source", "_size"]
+    times = taken(light, plan(light)).filter("_times > 0").select(*keys, F.col("_times").cast("int").alias("_times")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _identity(), _key_of("source").alias("_source"), words().alias("_size"))
+    out = rows.join(times.hint("merge"), keys)  # texts are shuffled once
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy")).select("row.*")
 
 
 def quality_of(labels: DataFrame) -> DataFrame:
