@@ -1,18 +1,25 @@
-"""Corpus pipeline over documents: each stage is written as Parquet and reread."""
+"""Corpus pipeline over documents: each stage is written as Parquet and reread.
+
+Null or empty texts, and texts without a letter, go in the first stage. Null ids rank
+below all others. Repeated rows are equal texts: one stays. Where rows tie on id and text,
+exactly one stays. A null source is a source of its own. Other columns travel with
+their rows, whatever their names, up to the last stage. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
 import functools
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import byte_bpe, exact_dedup, language_id, mixing, ngram_join
-from scriptorium.llm.common import folders_made, release, table, work_dir, written
+from scriptorium.llm.common import gathered, release, table, work_dir, written
 
 
-#: The work folders (first, end) of the stage that ran last.
-_last = (0, 0)
+#: The work folders of the stage that ran last in this thread of control.
+_last: ContextVar[tuple[str, ...]] = ContextVar("last", default=())
 
 
 def _stage(operator):
@@ -20,11 +27,10 @@ def _stage(operator):
 
     @functools.wraps(operator)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        global _last
-        release(spark, *_last)
-        first = folders_made()
-        out = operator(spark, docs, sf_dir)
-        _last = (first, folders_made())
+        release(spark, _last.get())
+        with gathered() as made:
+            out = operator(spark, docs, sf_dir)
+        _last.set(tuple(made))
         return out
 
     return run_stage
@@ -78,4 +84,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), work_dir(spark)
     for k, (_, stage) in enumerate(STAGES):
         docs = written(stage(spark, docs, sf_dir), f"stage{k}", folder)
+    release(spark, _last.get())
+    _last.set(())
     return docs
