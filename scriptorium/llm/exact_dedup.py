@@ -8,7 +8,10 @@
    reached the global depth the directory doubles first. Buckets are tag ranges.
 3. Owner tasks take the entries of whole buckets, ordered by tag, and chain
    entries of one tag: each is compared byte by byte with the heads of the chains.
-4. Entry counts are added up per chain, and the answer is joined to the entries.
+   A tag with more than HOT_SHARE of all entries is chained in SALTS parts first, of
+   which only the heads of chains go to the owner.
+4. Entry counts are added up per chain, and the answer is joined to the entries, that
+   of hot chains by a broadcast of their few rows.
 
 The tag is the leading 64 bits of SHA-256; equality is decided on bytes alone.
 Null text counts as empty. Null ids rank below all others. Of rows tied on id and
@@ -27,12 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table, work_dir, worker_cache, written
+from .common import HOT_SHARE, small_batches, spread_join, table, work_dir, worker_cache, written
 
 #: Deepest directory (2**16 slots bound what the driver holds) and entries that fill a bucket.
 MAX_DEPTH, BUCKET_ENTRIES = 16, 2048
-#: A map task closes its groups and starts anew when it holds so many bytes of text.
-HELD_BYTES = 16 << 20
+#: A map task closes its groups and starts anew when it holds so many bytes (of all columns) or rows.
+HELD_BYTES, HELD_ROWS = 16 << 20, 50_000
+#: Parts in which a hot tag is chained.
+SALTS = 64
 
 
 def _entries_of(id_col: str, text_col: str):
@@ -86,8 +91,8 @@ def _entries_of(id_col: str, text_col: str):
                 if doc is not None and (g[3] is None or doc > g[3]):
                     g[2], g[3], g[5] = rows + i, doc, len(g[4]) - 1
             rows += len(ids)
-            size += sum(len(t or b"") for t in texts)
-            if size > HELD_BYTES:
+            size += batch.nbytes
+            if size > HELD_BYTES or rows > HELD_ROWS:
                 yield from close()
         yield from close()
 
@@ -127,21 +132,27 @@ def split_directory(counts: dict[int, int], capacity: int, max_depth: int = MAX_
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries ordered by tag -> (tag, chain, entry, n, best_id); holds the heads of one tag."""
+    """(tag, entry, n, best_id, text) ordered by tag -> (tag, chain, entry, n, best_id); holds the heads of one tag.
+
+    The chain's number is the first entry met in it.
+    """
     worker_cache("exact_dedup")
     tag, heads = None, []
     for batch in batches:
-        tags, texts = batch.column(0).to_pylist(), batch.column(4).to_pylist()
+        tags, entries, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4).to_pylist()
         chain = []
-        for t, text in zip(tags, texts, strict=True):
+        for t, entry, text in zip(tags, entries, texts, strict=True):
             if t != tag:
                 tag, heads = t, []
-            k = next((k for k, head in enumerate(heads) if head == text), None)
-            if k is None:
-                k = len(heads)
-                heads.append(text)
-            chain.append(k)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chain, pa.int32()), *(batch.column(i) for i in (1, 2, 3))], names=["tag", "chain", "entry", "n", "best_id"])
+            first = next((first for first, head in heads if head == text), None)
+            if first is None:
+                first = entry
+                heads.append((entry, text))
+            chain.append(first)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chain, pa.int64()), *(batch.column(i) for i in (1, 2, 3))], names=["tag", "chain", "entry", "n", "best_id"])
+
+
+CHAINS = "tag long, chain long, entry long, n long, best_id long"
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_entries: int = BUCKET_ENTRIES) -> tuple[DataFrame, DataFrame]:
@@ -160,17 +171,30 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     depth = len(slots).bit_length() - 1
     directory = written(spark.createDataFrame(list(enumerate(slots)), "slot long, bucket int").coalesce(1), "directory", folder)
     slot = F.shiftrightunsigned("tag", 64 - depth) if depth else F.lit(0).cast("long")
-    owned = (
-        entries.select("tag", "entry", "n", "best_id", F.coalesce(F.col(f"row.`{text_col}`").cast("binary"), F.lit(b"")).alias("text"), slot.alias("slot"))
-        .join(F.broadcast(directory), "slot")  # 2**16 rows at most
-        .repartition("bucket")
-        .sortWithinPartitions("tag")
-        .select("tag", "entry", "n", "best_id", "text")
-    )
-    chains = written(owned.mapInArrow(_chains, "tag long, chain int, entry long, n long, best_id long"), "chains", folder)
+    texts = entries.select("tag", "entry", "n", "best_id", F.coalesce(F.col(f"row.`{text_col}`").cast("binary"), F.lit(b"")).alias("text"))
+    # fewer tags than 1 / HOT_SHARE; none among few entries
+    hot = written(entries.groupBy("tag").count().filter(F.col("count") > max(SALTS, int(sum(counts.values()) * HOT_SHARE))).select("tag"), "hot", folder)
+    parts = None
+    if hot.limit(1).count():
+        salted = texts.join(F.broadcast(hot), "tag").repartition("tag", F.pmod(F.xxhash64("entry"), F.lit(SALTS)))
+        salt = F.pmod(F.xxhash64("entry"), F.lit(SALTS)).alias("salt")
+        salted = salted.select("*", salt).sortWithinPartitions("tag", "salt", "entry").drop("salt")  # a head of the salt before may serve too
+        parts = written(salted.mapInArrow(_chains, CHAINS), "parts", folder)
+        heads = parts.filter("chain = entry").select("entry")
+        texts = texts.join(F.broadcast(hot), "tag", "left_anti").unionByName(texts.join(F.broadcast(hot), "tag").join(heads, "entry", "left_semi"))
+    owned = texts.withColumn("slot", slot).join(F.broadcast(directory), "slot").repartition("bucket").sortWithinPartitions("tag", "entry").select("tag", "entry", "n", "best_id", "text")  # 2**16 slots at most
+    chains = written(owned.mapInArrow(_chains, CHAINS), "chains", folder)
+    if parts is not None:  # the chain of a head is that of all entries behind it
+        of_head = chains.join(F.broadcast(hot), "tag").select(F.col("entry").alias("head"), F.col("chain").alias("whole"))
+        behind = parts.groupBy("chain").count().select(F.col("chain").alias("head"), "count").join(of_head, "head")
+        behind = written(behind, "behind", folder)
+        total = behind.agg(F.sum("count")).first()[0] or 0
+        whole = spread_join(parts.withColumnRenamed("chain", "head"), behind, ["head"], "count", total)
+        chains = chains.join(F.broadcast(hot), "tag", "left_anti").unionByName(whole.select("tag", F.col("whole").alias("chain"), "entry", "n", "best_id"))
+        chains = written(chains, "chained", folder)
     best = F.max(F.struct(F.col("best_id").isNotNull().alias("known"), "best_id", (-F.col("entry")).alias("e"))).alias("best")
-    groups = chains.groupBy("tag", "chain").agg(F.sum("n").alias("group_size"), best)
-    answer = chains.select("tag", "chain", "entry").join(groups, ["tag", "chain"])
+    groups = written(chains.groupBy("chain").agg(F.sum("n").alias("group_size"), best, F.count("*").alias("_entries")), "groups", folder)
+    answer = spread_join(chains.select("chain", "entry"), groups, ["chain"], "_entries", sum(counts.values()))
     return entries, answer.select("entry", "group_size", F.col("best.best_id").alias("keep_id"), (-F.col("best.e")).alias("best_entry"))
 
 
