@@ -1,27 +1,29 @@
 """Main text of web pages by equivalence-class template deduction.
 
-1. Each page becomes tokens: its block elements, as paths from the root that carry
-   tag, class and id, and its text blocks, as the path and the text. A token's occurrence
-   vector over the pages of its host is kept as a fingerprint: the xor of a hash of
-   (page, count) over all pages, added up per task before the shuffle. Pages of a host
-   with the same text (that of the article where there is one) are one page here, so copies
-   do not make their text a template. Tokens of one host with equal fingerprints are an
-   equivalence class.
-2. A class is valid for the template of its host if it is large or frequent enough:
-   the class of what occurs once on every page is the root; classes of elements that occur
-   once on most pages nest below it, each under its parent path. Text tokens of such
-   classes are template text. Repeated elements are no boundary; they lie in the slot
-   of the next template element above them.
-3. The slots that remain hold the data. Kept are the text blocks below an article or main
-   element, else below one whose class says content; else those below the deepest template element that holds
-   most of the text outside links. Elements whose tag, role, class or id says menu, header,
-   footer, sidebar, notice, advert, form or comments are never kept, nor is template text
-   outside an article or main element. Text inside one stays even if all articles share it.
-
-A host with few pages has no reliable vectors; there the roles alone decide. Null html is
-empty; an empty page, or one without main text, gives the empty string. A null or
-unusual url is a host like any other. Every repeated page gets its text. Unclosed and
-misnested tags close as browsers close them. An empty table gives an empty result.
+1. Each page becomes tokens: its elements, as paths from the root that carry tag, class
+   and id, and its text blocks, as the path and the text. A token's occurrence vector
+   over the pages of its host is kept as a fingerprint: the xor of a hash of (page, count)
+   over all pages, added up per task before the shuffle. Pages of a host with the same
+   text are one page here, so copies do not make their text a template.
+2. Tokens of one host with equal vectors are an equivalence class. Template tokens stand
+   once on each page that has them; repeated elements lie between them. The class of what
+   stands on every page is the root. Another class is valid if it has CLASS_SIZE tokens
+   and stands on two pages and SUPPORT of all, and if it nests: its outermost tokens lie
+   in one element, or in elements of one class.
+3. Template elements are the bounds of slots. A slot holds the data of a host if SLOT_SHARE
+   of the text that is no template's, and no link, lies in it; of these, the deepest that
+   a page has is the page's slot, and all its text is extracted, that which all pages
+   share too. Where nothing differs between the pages of a host, all text counts.
+   An article or main element around the slot belongs to it, and one inside it bounds it.
+
+Names only exclude: elements whose tag, role, class or id says menu, header, footer,
+sidebar, notice, advert, form or comments give no tokens and no text. Nothing depends on
+how many pages a host has.
+
+Null html is empty; an empty page, or one without main text, gives the empty string. A
+null or unusual url is a host like any other. Every repeated page gets its text. Unclosed
+and misnested tags close as browsers close them. Very long pages are read whole. Other
+columns do not matter, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ import html
 import json
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,12 +41,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, work_dir, worker_cache, written
+from .common import HOT_SHARE, spread_join, table, work_dir, worker_cache, written
 
-#: Pages of a host from which its vectors count, for elements and for text that a class calls content; share of pages that makes a class frequent.
-LEAST_PAGES, LEAST_PAGES_TEXT, FREQUENT = 3, 10, 0.5
-#: Total bytes of templates up to which they are broadcast; a merge join beyond.
+#: Tokens and share of a host's pages that make a class valid beside the root; share of the varying text that makes a slot.
+CLASS_SIZE, SUPPORT, SLOT_SHARE = 3, 0.1, 0.9
+#: Total bytes of hot hosts' templates up to which they are broadcast; a merge join beyond.
 BROADCAST_BYTES = 32 << 20
+#: Host of a url: what stands between scheme and user and the path.
+HOST = r"^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#]*)"
 
 # Names of HTML elements and usual words in class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,7 +71,6 @@ LEFT_OUT_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset("header masthead topbar".split())
 LEFT_OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
-MAIN_WORDS, LIKELY_WORDS = frozenset("article articlebody".split()), frozenset("body content entry main post story text".split())
 #: Parts of class names and ids that say the same wherever they stand.
 LEFT_OUT_PARTS = re.compile("sidebar|comment|advert|cookie|newsletter|breadcrumb|footer|navbar|disqus|discussion|reactions")
 
@@ -80,18 +84,14 @@ _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""\s(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>])""", re.IGNORECASE)
 
 
-def host_of(url: str | None) -> str:
-    return re.sub(r"^[a-z][a-z0-9+.-]*://|[/?#].*$|^[^/@]*@", "", (url or "").strip().lower().split("/", 3)[2] if "://" in (url or "") else (url or "").strip().lower())
+def _described(tag: str) -> tuple[str, str, bool, bool, bool]:
+    """Of a start tag: name, key, whether it is left out, is an article or main element, is a header.
 
-
-def _described(tag: str) -> tuple[str, str, bool, int, bool]:
-    """Of a start tag: name, key, whether it is left out, is main (2), maybe main (1), is a header.
-
-    Headers are left out where nothing around them is main.
+    Headers are left out where no article or main element is around them.
     """
     name = _NAME.match(tag)[1].lower()
     if name == "a" or len(tag) == len(name) + 2:
-        return name, name, name in LEFT_OUT, 2 * (name in MAIN), name == "header"
+        return name, name, name in LEFT_OUT, name in MAIN, name == "header"
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(tag)}
     named = re.sub(r"\d+", "#", f"{found.get('class', '')}.{found.get('id', '')}".lower())
     role = found.get("role", "").lower()
@@ -100,9 +100,8 @@ def _described(tag: str) -> tuple[str, str, bool, int, bool]:
     out = hidden or role in LEFT_OUT_ROLES or name in LEFT_OUT
     if name not in MAIN and words:
         out = out or bool(words & LEFT_OUT_WORDS or LEFT_OUT_PARTS.search(named))
-    main = name in MAIN or role == "main" or found.get("itemprop", "").lower() == "articlebody" or bool(words & MAIN_WORDS)
-    level = 0 if out else 2 if main else 1 if words & LIKELY_WORDS else 0
-    return name, f"{name}.{named}" if named != "." else name, out, level, name == "header" or bool(words & HEADER_WORDS)
+    main = not out and (name in MAIN or role in ("main", "article"))
+    return name, f"{name}.{named}" if named != "." else name, out, main, name == "header" or bool(words & HEADER_WORDS)
 
 
 class Parser:
@@ -120,14 +119,14 @@ class Parser:
         return found
 
     def parse(self, page: str | None) -> tuple[list[tuple], dict[int, list]]:
-        """Blocks (path, ancestors, main, text, link characters) and elements path -> [count, parent, main, characters, link characters].
+        """Blocks (path, ancestors, in main, text, plain characters) and elements path -> [count, ancestors, whether it holds elements, plain characters].
 
-        What is left out by its role gives neither.
+        Plain characters are those outside links. What is left out by its role gives neither.
         """
         blocks: list[tuple] = []
         elements: dict[int, list] = {}
         #: name, path, left out, main, inline
-        stack: list[tuple] = [("", 0, False, 0, False)]
+        stack: list[tuple] = [("", 0, False, False, False)]
         parts: list[str] = []
         linked, in_link, page = 0, 0, page or ""
 
@@ -141,11 +140,10 @@ class Parser:
                     while stack[k][4]:
                         k -= 1
                     above = [x[1] for x in stack[1 : k + 1] if not x[4]]
+                    plain = max(0, len(text) - linked)
                     for path in above:
-                        e = elements[path]
-                        e[3] += len(text)
-                        e[4] += min(linked, len(text))
-                    blocks.append((stack[k][1], above, stack[k][3], text, min(linked, len(text))))
+                        elements[path][3] += plain
+                    blocks.append((stack[k][1], above, stack[k][3], text, plain))
             linked = 0
 
         def pop(k: int):
@@ -200,13 +198,18 @@ class Parser:
                 if first < len(stack):
                     pop(first)
             _, path, was_out, was_main, _ = stack[-1]
-            main = max(main, was_main)
-            out = out or was_out or header and main < 2
+            main = main or was_main
+            out = out or was_out or header and not main
             if not inline:
                 path = self._path(path, key)
                 if not out:
-                    e = elements.setdefault(path, [0, next((x[1] for x in reversed(stack) if not x[4]), 0), main > 0, 0, 0])
-                    e[0] += 1
+                    k = len(stack) - 1
+                    while stack[k][4]:
+                        k -= 1
+                    above = stack[k][1]
+                    if above:
+                        elements[above][2] = True
+                    elements.setdefault(path, [0, above, False, 0])[0] += 1
             in_link += name == "a"
             stack.append((name, path, out, main, inline))
         if at < len(page) and not stack[-1][2]:
@@ -220,111 +223,151 @@ def _text_token(path: int, text: str) -> int:
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(url, html) -> host, hash of the page's text, elements and text tokens with their counts."""
+    """(host, html) -> host, hash of the page's text, its plain characters, elements and text tokens with their counts.
+
+    The parent of a token is the nearest element around it that stands once on the page.
+    """
     worker_cache("html_extract")
     parser = Parser()
-    for batch in batches:
-        rows = []
-        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            blocks, elements = parser.parse(page)
-            level = max((main for _, _, main, _, _ in blocks), default=0)
-            same, texts = xxhash.xxh3_128(), {}
-            for path, _, main, text, _ in blocks:
-                if main == level:
-                    same.update(f"{path}\n{text}\n\n".encode("utf-8", "surrogatepass"))
-                if main < 2:  # text of an article is never a template's
-                    token = _text_token(path, text)
-                    texts[token] = texts.get(token, 0) + 1
-            found = array("q", [len(elements)])
-            for path, element in elements.items():
-                found.extend((path, *map(int, element)))
-            for token in texts.items():
-                found.extend(token)
-            rows.append((host_of(url), same.digest(), found.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.binary(), pa.binary()))], names=["host", "same", "found"])
+    for whole in batches:
+        for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+            same, found = [], []
+            for page in batch.column(1).to_pylist():
+                blocks, elements = parser.parse(page)
+                h, texts = xxhash.xxh3_128(), {}
+
+                def around(path: int) -> int:
+                    while path and elements[path][0] > 1:
+                        path = elements[path][1]
+                    return path
+
+                for path, _, _, text, plain in blocks:
+                    h.update(f"{path}\n{text}\n\n".encode("utf-8", "surrogatepass"))
+                    t = texts.setdefault(_text_token(path, text), [0, around(path), plain])
+                    t[0] += 1
+                x = array("q", [sum(b[4] for b in blocks), len(elements)])
+                for path, (count, parent, holds, plain) in elements.items():
+                    x.extend((path, count, around(parent), holds, plain))
+                for token, (count, parent, plain) in texts.items():
+                    x.extend((token, count, parent, plain))
+                same.append(h.digest())
+                found.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(found, pa.binary())], names=["host", "same", "found"])
+
+
+TOKENS = "host string, token long, kind int, pages long, occurrences long, vector long, parent long, holds boolean, plain long, of_plain long"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages -> per host and token: pages, occurrences, fingerprint, what the element is and holds."""
+    """Pages -> per host and token: kind (0: the page, 1: element, 2: text), pages, occurrences, vector, parent, whether it holds elements, plain characters in it and on its pages."""
     seen: dict[tuple[str, int], list] = {}
-    names = ["host", "token", "kind", "pages", "occurrences", "vector", "parent", "main", "chars", "link_chars"]
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
 
     def flush():
         rows = [(h, t, *v) for (h, t), v in seen.items()]
         seen.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in TOKENS.split(", ")])
 
-    def add(host, same, token, kind, count, parent=0, main=False, chars=0, link_chars=0):
+    def add(host, same, token, kind, count, parent, holds, plain, of_plain):
         vector = xxhash.xxh64_intdigest(same, count & 0xFFFFFFFF) >> 1
         if (v := seen.get((host, token))) is None:
-            seen[host, token] = [kind, 1, count, vector, parent, main, chars, link_chars]
+            seen[host, token] = [kind, 1, count, vector, parent, holds, plain, of_plain]
         else:
             v[1] += 1
             v[2] += count
             v[3] ^= vector
-            v[5] |= main
-            v[6] += chars
-            v[7] += link_chars
+            v[4] = min(v[4], parent)
+            v[5] |= holds
+            v[6] += plain
+            v[7] += of_plain
 
     for batch in batches:
         for host, same, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             x = array("q", found)
-            add(host, same, 0, 0, 1)  # the page itself, whose vector is that of the root class
-            end = 1 + 6 * x[0]
-            for i in range(1, end, 6):
-                path, count, parent, main, chars, link_chars = x[i : i + 6]
-                add(host, same, path, 1, count, parent, bool(main), chars, link_chars)
-            for i in range(end, len(x), 2):
-                add(host, same, x[i], 2, x[i + 1])
+            add(host, same, 0, 0, 1, 0, True, x[0], x[0])  # the page itself, whose vector is that of the root class
+            end = 2 + 5 * x[1]
+            for i in range(2, end, 5):
+                path, count, parent, holds, plain = x[i : i + 5]
+                add(host, same, path, 1, count, parent, bool(holds), plain, x[0])
+            for i in range(end, len(x), 4):
+                token, count, parent, plain = x[i : i + 4]
+                add(host, same, token, 2, count, parent, False, plain, x[0])
         if len(seen) > 200_000:
             yield flush()
     yield flush()
 
 
+def vectors(pages: DataFrame) -> DataFrame:
+    """The tokens of each host (host, html) with their vectors, and of_pages and root_vector of the host."""
+    folder = work_dir(pages.sparkSession)
+    apart = pages.select("host", "html").mapInArrow(_pages, "host string, same binary, found binary").groupBy("host", "same").agg(F.min("found").alias("found"))
+    tokens = apart.mapInArrow(_tokens, TOKENS)
+    sums = {c: F.sum(c).alias(c) for c in ("pages", "occurrences", "plain", "of_plain")}
+    tokens = tokens.groupBy("host", "token", "kind").agg(sums["pages"], sums["occurrences"], F.bit_xor("vector").alias("vector"), F.min("parent").alias("parent"), F.bool_or("holds").alias("holds"), sums["plain"], sums["of_plain"])
+    # text of one page is no template's, or that of a host without differences
+    tokens = written(tokens.filter("kind < 2 or pages > 1"), "tokens", folder)
+    of_page = lambda c: F.max(F.when(F.col("kind") == 0, F.col(c)))
+    hosts = written(tokens.groupBy("host").agg(of_page("pages").alias("of_pages"), of_page("vector").alias("root_vector"), F.count("*").alias("_tokens")), "hosts", folder)
+    return spread_join(tokens, hosts, ["host"], "_tokens", hosts.agg(F.sum("_tokens")).first()[0] or 0)
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the valid classes of each host as JSON."""
-    kinds = "host string, token long, kind int, pages long, occurrences long, vector long, parent long, main boolean, chars long, link_chars long"
-    apart = pages.select("url", "html").mapInArrow(_pages, "host string, same binary, found binary").groupBy("host", "same").agg(F.min("found").alias("found"))
-    tokens = apart.mapInArrow(_tokens, kinds)
-    sums = {c: F.sum(c).alias(c) for c in ("pages", "occurrences", "chars", "link_chars")}
-    tokens = tokens.groupBy("host", "token", "kind").agg(sums["pages"], sums["occurrences"], F.bit_xor("vector").alias("vector"), F.min("parent").alias("parent"), F.bool_or("main").alias("main"), sums["chars"], sums["link_chars"])
-    tokens = written(tokens, "tokens", work_dir(pages.sparkSession))
-    root = tokens.filter("kind = 0").select("host", F.col("pages").alias("of_pages"), F.col("vector").alias("root_vector"))
-    once = (F.col("vector") == F.col("root_vector")) | ((F.col("pages") >= FREQUENT * F.col("of_pages")) & (F.col("occurrences") == F.col("pages")))
-    text = (F.col("kind") == 2) & (F.col("pages") >= 0.9 * F.col("of_pages"))
-    valid = tokens.filter("kind > 0").join(root, "host").filter((F.col("of_pages") >= LEAST_PAGES) & (((F.col("kind") == 1) & once) | text))
-    fields = F.struct("kind", F.col("token").alias("t"), F.col("parent").alias("p"), F.col("main").alias("m"), F.col("chars").alias("c"), F.col("link_chars").alias("l"))
-    made = valid.groupBy("host").agg(F.first("of_pages").alias("pages"), F.sort_array(F.collect_list(fields)).alias("tokens"))
-    return made.select("host", F.to_json(F.struct("pages", "tokens")).alias("template"))
+    """(host, template): the classes of each host that are large and frequent enough, as JSON."""
+    once = vectors(pages).filter("kind > 0 and occurrences = pages")
+    of_class = once.groupBy("host", "vector").agg(F.count("*").alias("size"), F.min(F.col("vector") == F.col("root_vector")).alias("root"), F.collect_list(F.struct("kind", F.col("token").alias("t"), F.col("parent").alias("p"), "holds", "plain", "of_plain", "pages")).alias("tokens"), F.min("pages").alias("on"), F.min("of_pages").alias("of"))
+    valid = of_class.filter(F.col("root") | ((F.col("size") >= CLASS_SIZE) & (F.col("on") >= 2) & (F.col("on") >= SUPPORT * F.col("of"))))
+    made = valid.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct((~F.col("root")).alias("inner"), F.col("vector").alias("v"), F.sort_array("tokens").alias("tokens"))))).alias("template"))
+    return made
 
 
 class Template:
+    """The classes of a host, nested, and the elements that bound its slots of data."""
+
     def __init__(self, made: str | None):
-        found = json.loads(made) if made else {"pages": 0, "tokens": []}
-        self.pages = found["pages"]
-        self.texts = {x["t"] for x in found["tokens"] if x["kind"] == 2}
-        elements = {x["t"]: x for x in found["tokens"] if x["kind"] == 1}
-        self.slot = 0  # the deepest element that holds most of the text outside links
-        whole = max((x["c"] - x["l"] for x in elements.values()), default=0)
-        inner = {x["t"] for x in elements.values() if x["c"] - x["l"] > 0.6 * whole and x["c"] > 2 * x["l"]}
-        if inner:
-            self.slot = next(iter(sorted(t for t in inner if not any(elements[u]["p"] == t for u in inner))))
+        classes = json.loads(made) if made else []
+        of: dict[int, int] = {}  # token -> number of its class; the root is 0
+        for k, c in enumerate(classes):
+            of |= {x["t"]: k for x in c["tokens"]}
+        #: class -> class it nests in, for valid classes
+        self.nested: dict[int, int] = {}
+        for k, c in enumerate(classes):
+            around = {x["p"] for x in c["tokens"] if of.get(x["p"]) != k}
+            if k == 0 and not c["inner"] or len(around) <= 1 or len({of.get(p, -1) for p in around}) == 1 and -1 not in {of.get(p, -1) for p in around}:
+                self.nested[k] = of.get(min(around, default=0), 0)
+        shared, below = 0, defaultdict(int)  # template text of the root class, in all and in each element
+        if classes and not classes[0]["inner"]:
+            parent = {x["t"]: x["p"] for x in classes[0]["tokens"]}
+            for x in classes[0]["tokens"]:
+                if x["kind"] == 2:
+                    each = x["plain"] // x["pages"]
+                    shared += each
+                    path, met = x["p"], set()
+                    while path and path not in met:
+                        met.add(path)
+                        below[path] += each
+                        path = parent.get(path, 0)
+        #: elements that hold the data of the host
+        self.slots = set()
+        for k, c in enumerate(classes):
+            for x in c["tokens"] if k in self.nested else ():
+                if x["kind"] == 1 and x["holds"]:
+                    own, every = x["plain"] - below[x["t"]] * x["pages"], x["of_plain"] - shared * x["pages"]
+                    if every <= 0:  # nothing differs
+                        own, every = x["plain"], x["of_plain"]
+                    if own >= SLOT_SHARE * every and every > 0:
+                        self.slots.add(x["t"])
 
     def extract(self, blocks: list[tuple]) -> str:
-        level = max((main for _, _, main, _, _ in blocks), default=0)
-        has_main = level > 0
-        in_slot = not has_main and any(self.slot in above for _, above, _, _, _ in blocks)
-        kept = []
-        for path, above, main, text, link_chars in blocks:
-            if main < level or in_slot and self.slot not in above:
-                continue
-            if not main and link_chars > 0.5 * len(text):
-                continue
-            if main < 2 and self.texts and self.pages >= (LEAST_PAGES_TEXT if main else LEAST_PAGES) and _text_token(path, text) in self.texts:
-                continue
-            kept.append(text)
-        return "\n\n".join(kept)
+        deepest, slot = -1, None
+        for _, above, *_ in blocks:
+            for depth in range(len(above) - 1, deepest, -1):
+                if above[depth] in self.slots:
+                    deepest, slot = depth, above[depth]
+                    break
+        inside = [b for b in blocks if slot is None or slot in b[1][deepest : deepest + 1]]
+        if any(b[2] for b in inside):
+            inside = [b for b in blocks if b[2]]
+        return "\n\n".join(b[3] for b in inside)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,12 +387,13 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page (page_id, url, html)."""
-    pages = pages.select("page_id", "url", "html")
-    found = written(templates(pages), "templates")
-    hosts = F.udf(host_of, T.StringType(), useArrow=True)
-    small = (found.agg(F.sum(F.length("template") + F.length("host"))).first()[0] or 0) <= BROADCAST_BYTES
-    found = F.broadcast(found) if small else found.hint("merge")
-    both = pages.withColumn("host", hosts("url")).join(found, "host", "left").select("page_id", "url", "html", "template")
+    host = F.regexp_extract(F.lower(F.trim(F.coalesce(F.col("url").cast("string"), F.lit("")))), HOST, 1)
+    pages = pages.select("page_id", "url", "html", host.alias("host"))
+    found = written(templates(pages).join(pages.groupBy("host").agg(F.count("*").alias("_pages")), "host", "right"), "templates")
+    total = found.agg(F.sum("_pages")).first()[0] or 0
+    hot = found.filter(F.col("_pages") > total * HOT_SHARE).agg(F.sum(F.length("template"))).first()[0] or 0
+    both = spread_join(pages, found, ["host"], "_pages", total) if hot <= BROADCAST_BYTES else pages.join(found.hint("merge"), "host")
+    both = both.select("page_id", "url", "html", "template")
     return both.mapInArrow(_extracted, T.StructType([pages.schema["page_id"], pages.schema["url"], *T.StructType.fromDDL("text string, n_chars long").fields]))
 
 

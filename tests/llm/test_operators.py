@@ -83,7 +83,30 @@ def test_exact_dedup_collisions_are_told_apart_by_bytes():
 
     b = pa.RecordBatch.from_arrays([pa.array([5, 5, 5, 6]), pa.array([1, 2, 3, 4]), pa.array([1, 1, 1, 1]), pa.array([1, 2, 3, 4]), pa.array([b"x", b"y", b"x", b"x"])], names=["tag", "entry", "n", "best_id", "text"])
     (out,) = exact_dedup._chains(iter([b]))
-    assert out.column(1).to_pylist() == [0, 1, 0, 0]
+    assert out.column(1).to_pylist() == [1, 2, 1, 4]
+
+
+def test_exact_dedup_of_a_million_empty_texts_and_a_long_repeated_one(spark):
+    from pyspark.sql import functions as F
+
+    long = prose(12, 20_000)
+    text = F.when(F.col("id") < 1_000_000, F.when(F.col("id") % 2 == 0, F.lit(""))).when(F.col("id") < 1_000_900, F.lit(long)).otherwise(F.concat(F.lit(long), F.col("id").cast("string")))
+    df = spark.range(0, 1_001_000, 1, 6).select(F.col("id").alias("doc_id"), text.alias("text"))
+    found = exact_dedup.exact_dedup(df).groupBy("keep_id", "group_size").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()
+    assert Counter((r.group_size, r.n, r.kept) for r in found) == {(1_000_000, 1_000_000, 1): 1, (900, 900, 1): 1, (1, 1, 1): 100}
+    assert {r.keep_id for r in found if r.group_size > 1} == {999_999, 1_000_899}
+
+
+def test_exact_dedup_hot_tags_are_chained_in_parts(spark, monkeypatch):
+    for name, value in (("HELD_ROWS", 3), ("SALTS", 5), ("HOT_SHARE", 0.05)):
+        monkeypatch.setattr(exact_dedup, name, value)
+    texts = ["hot"] * 300 + ["warm"] * 120 + [f"t{k % 40}" for k in range(100)]
+    random.Random(5).shuffle(texts)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    found = exact_dedup.exact_dedup(df).collect()
+    last, size = {t: k for k, t in enumerate(texts)}, Counter(texts)
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found) == [(k, last[t], size[t], last[t] == k) for k, t in enumerate(texts)]
+    assert exact_dedup.deduplicated(df).count() == len(size)
 
 
 # components, op10
@@ -157,6 +180,35 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, block):
     assert kept.count() == len(classes) and kept.columns == docs(spark, [], True).columns
 
 
+def test_linked_across_blocks_equals_within_one(monkeypatch):
+    monkeypatch.setattr(ngram_join, "STRIP", 3)
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 30, 25)).astype(np.uint64) for _ in range(23)]
+    whole = ngram_join.linked(sets, 0.55)
+    for i in range(23):
+        assert [j for j in range(23) if whole[i, j]] == [j for j in range(23) if j != i and len(np.intersect1d(sets[i], sets[j])) >= 0.55 * len(np.union1d(sets[i], sets[j])) - 1e-9]
+    part = ngram_join.linked(sets[:9], 0.55, sets[9:])
+    assert (part == whole[:9, 9:]).all() and part.any()
+    both = np.zeros((23, 23), bool)
+    both[:9, 9:], both[9:, :9] = part, part.T
+    assert (ngram_join._labels(part, True) == ngram_join._labels(both)).all()
+
+
+def test_ngram_join_loses_few_links_of_drifting_families(spark):
+    """Chains of texts, each a little further from the first: most pairs lie about the threshold."""
+    rng, texts = random.Random(21), []
+    for f in range(40):
+        w = [f"f{f}w{i}" for i in range(120)]
+        for _ in range(30):
+            w = list(w)
+            w[rng.randrange(len(w))] = f"r{rng.randrange(10**9)}"
+            texts.append(" ".join(w))
+    found = ngram_join.ngram_join(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()
+    sets = [grams(t) for t in texts]
+    want = sum(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for f in range(40) for i in range(30 * f, 30 * f + 30) for j in range(30 * f, 30 * f + 30) if i != j)
+    assert want > 5000 and sum(r.n_links for r in found) >= 0.9999 * want
+
+
 def test_shortest_prefix_reaches_recall():
     d = ngram_join.shortest_prefix(0.8)
     assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
@@ -239,6 +291,77 @@ def test_html_text_that_all_articles_share_stays(spark):
         assert r.text == f"Weekly letter\n\n{prose(r.page_id, 40)}"
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 9, 10, 12, 40])
+def test_html_says_the_same_for_any_number_of_pages(spark, n):
+    page = "<html><body><div class=top><p>Welcome</p></div><div class=x><h2>Intro.</h2><p>{}</p><p><a href=/>a link</a></p></div></body></html>"
+    rows = [(k, f"http://equal.example/{k}", page.format(prose(7, 60))) for k in range(n)] + [(100 + k, f"http://apart.example/{k}", page.format(prose(k, 60))) for k in range(n)]
+    for r in html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text == f"Intro.\n\n{prose(7 if r.page_id < 100 else r.page_id - 100, 60)}\n\na link"
+
+
+def test_html_branches_of_a_template_have_slots_of_their_own(spark):
+    story = "<body><div class=s><div class=t>Story</div><div class=u><p>{}</p><p>{}</p></div></div><div class=b><p>Imprint</p></div></body>"
+    shop = "<body><section class=g><div class=h>Offer</div><div class=i><p>{}</p><p>{}</p></div></section><div class=b><p>Imprint</p></div></body>"
+    rows = [(k, "http://two.example/", (story if k % 3 else shop).format(prose(k, 30), prose(50 + k, 30))) for k in range(18)]
+    for r in html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text == f"{prose(r.page_id, 30)}\n\n{prose(50 + r.page_id, 30)}"
+
+
+def test_html_very_long_pages_and_hot_hosts(spark):
+    long = [prose(k, 40) for k in range(2000)]
+    rows = [(0, "http://hot.example/0", "<body><div><p>" + "<p>".join(long) + "</div></body>")] + [(k, "http://hot.example/1", f"<body><div><p>{long[k]}<p>x</div></body>") for k in range(1, 300)]
+    rows += [(1000 + k, f"http://h{k}.example:80/?q", f"<body><div><p>{long[k]}</div></body>") for k in range(50)]
+    found = {r.page_id: r.text for r in html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[0] == "\n\n".join(long) and all(found[k] == f"{long[k]}\n\nx" for k in range(1, 300)) and all(found[1000 + k] == long[k] for k in range(50))
+
+
+def test_html_hosts():
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    urls = {"http://a.example/x": "a.example", "HTTPS://U:p@B.example:8/?q": "b.example:8", "//c.example#t": "c.example", "d.example/x": "d.example", "": "", "http://e.example?x@y": "e.example"}
+    spark = SparkSession.getActiveSession()
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r.url: r.h for r in df.select("url", F.regexp_extract(F.lower("url"), html_extract.HOST, 1).alias("h")).collect()} == urls
+
+
+def test_html_vectors_equal_brute_force(spark):
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.path, self.tokens = (), Counter()
+
+        def handle_starttag(self, tag, attrs):
+            self.path += ((tag, dict(attrs).get("class", "")),)
+            self.tokens[self.path] += 1
+
+        def handle_endtag(self, tag):
+            self.path = self.path[:-1]
+
+        def handle_data(self, data):
+            if data.strip():
+                self.tokens[self.path, " ".join(data.split())] += 1
+
+    rng, pages = random.Random(4), []
+    for k in range(30):
+        inner = "".join(f"<div class={rng.choice('abc')}><p>{rng.choice(['one', 'two', prose(k, 3)])}</p></div>" for _ in range(rng.randrange(4)))
+        pages.append(f"<html><body><div class=top><p>Hello</p></div>{inner}" + "<section><p>more</p></section>" * (k % 2) + "</body></html>")
+    counts = {}
+    for page in set(pages):
+        plain = Plain()
+        plain.feed(page)
+        counts[page] = plain.tokens
+    every = sorted(set().union(*counts.values()), key=str)
+    vector = {t: tuple(counts[p][t] for p in sorted(counts)) for t in every}
+    want = Counter(Counter(v for t, v in vector.items() if sum(map(bool, v)) > 1).values())  # sizes of classes on several pages
+    df = spark.createDataFrame([("h", p) for p in pages], "host string, html string")
+    rows = html_extract.vectors(df).filter("kind > 0 and pages > 1").collect()
+    assert Counter(Counter(r.vector for r in rows).values()) == want
+    assert sum(r.vector == r.root_vector for r in rows) == sum(set(v) == {1} for v in vector.values()) and {r.of_pages for r in rows} == {len(counts)}
+
+
 # op3
 
 
