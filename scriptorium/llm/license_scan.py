@@ -2,24 +2,30 @@
 
 Text is normalised to lower-case words of letters and digits, `licence` read as
 `license`. Compared are all runs of consecutive paragraphs (one, several, the whole
-text), the lines and their sentences, each as a set of word bigrams. A unit matches a template if
-2 |A and B| / (|A| + |B|) reaches the threshold. A unit of n bigrams can only reach it
-for templates of t/(2-t) n to (2-t)/t n bigrams, and must share one of the few
-rarest bigrams of such a template; other templates are not compared. Nor are those of
-which the whole text shares too little, and runs in a stretch that does. The bounds are
-exact, so no unit that matches is lost.
+text), the lines and their sentences, and windows of any other bounds, each as a set of
+word bigrams. A unit matches a template if 2 |A and B| / (|A| + |B|) reaches the
+threshold. A unit of n bigrams can only reach it for templates of t/(2-t) n to (2-t)/t n
+bigrams, and must share one of the few rarest bigrams of such a template; other templates
+are not compared. Nor are those of which the whole text shares too little, and runs in a
+stretch that does. The bounds are exact, so nothing that matches is lost.
+
+Windows go from the start of a stretch of a template's bigrams to the end of one: those
+are the best of all windows, since a bigram of the template beside a window can only
+raise its score. So a notice wrapped between lines of prose, or named within a sentence,
+is found. Of windows that overlap, or lie over a matching unit, the best stands.
 
 A row of the result is a document: its best licence (highest score, then the
 licence that sorts first), that score, all licences found, and the number of
-matching units, where a unit that holds or lies in another matching one counts too, so
-a long licence of many paragraphs counts for each of its runs that match. Null
-or empty text has none: null licence, score 0. Very long texts are scanned whole. An
-empty table gives an empty result.
+matching units and windows, where a unit that holds or lies in another matching one counts
+too, so a long licence of many paragraphs counts for each of its runs that match. Null
+or empty text has none: null licence, score 0. Very long texts are scanned whole. Other
+columns do not matter, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -106,6 +112,32 @@ class Scanner:
                     del inside[x]
                     shared -= x in known
 
+    def windows(self, bigrams: list[tuple[str, str]], k: int) -> Iterator[tuple[float, int, int]]:
+        """(score, first word, end) of the best window that matches a template, from each stretch of its bigrams."""
+        known, least = self.known[k][1], self.least[k]
+        hits = [i for i, x in enumerate(bigrams) if x in known]
+        if len(hits) < least:
+            return
+        starts = [i for j, i in enumerate(hits) if not j or hits[j - 1] != i - 1]
+        ends = {i for j, i in enumerate(hits) if j + 1 == len(hits) or hits[j + 1] != i + 1}
+        high, last, every = (2 - self.threshold) / self.threshold * len(known) + 1e-9, hits[-1], len({bigrams[i] for i in hits})
+        for i in starts:
+            if len(hits) - bisect_left(hits, i) < least:
+                return
+            found, both, best = set(), 0, None
+            for j in range(i, last + 1):
+                if (x := bigrams[j]) not in found:
+                    found.add(x)
+                    both += x in known
+                    if len(found) > high:
+                        break
+                if j in ends and both >= least and (best is None or 2 * both / (len(found) + len(known)) > best[0]):
+                    best = 2 * both / (len(found) + len(known)), i, j + 2
+                if both == every and j in ends:  # nothing more to share
+                    break
+            if best and best[0] >= self.threshold - 1e-12:
+                yield best
+
     def pieces(self, text: str) -> tuple[list[str], list[tuple[int, int]], list[int]]:
         """The words of a text, the runs of its sentences and lines, and where its paragraphs end."""
         pieces, ends = [], {1: [0], 2: [0], 3: [0]}
@@ -127,7 +159,7 @@ class Scanner:
             yield words[a:b]
 
     def scan(self, text: str) -> list[tuple[float, str]]:
-        """The best match of each matching unit."""
+        """The best match of each matching unit, then of each matching window beside them."""
         words = words_of(text)
         if self.rare.keys().isdisjoint(zip(words, words[1:])) or not (among := self.among(bigrams_of(words))):
             return []
@@ -139,7 +171,14 @@ class Scanner:
             for i, j, score in self.runs(pairs, k):
                 if (run := (at[i], at[j])) not in found:
                     large.setdefault(run, []).append((score, self.known[k][0]))
-        return [min(x, key=lambda y: (-y[0], y[1])) for x in [*found.values(), *(large[run] for run in sorted(large))] if x]
+        units = {x: y for x, y in [*found.items(), *((run, large[run]) for run in sorted(large))] if y}
+        taken, bigrams = sorted(units), list(zip(words, words[1:]))
+        beside = []
+        for score, name, i, j in sorted(((-score, self.known[k][0], i, j) for k in among for score, i, j in self.windows(bigrams, k))):
+            if not any(a < j and i < b for a, b in taken):
+                taken.append((i, j))
+                beside.append((-score, name))
+        return [min(x, key=lambda y: (-y[0], y[1])) for x in units.values()] + beside
 
 
 def _scanned(threshold: float):
