@@ -9,12 +9,13 @@ its content. A transition puts out the last token of the prefix; what all alive
 states build on is settled, so output lags behind by at most one longest token.
 Pieces met before are answered from a bounded table.
 
-Decoding. Ids become bytes, and a UTF-8 state machine holds back an unfinished
-sequence, so text can be read off a stream of ids at any point.
+Decoding. Ids become bytes, run by run, and a UTF-8 state machine holds back an unfinished
+sequence, so text can be read off a stream of ids at any point; what it puts out is
+what the query digests.
 
 Null text counts as empty and has no tokens. Very long texts, and very long pieces,
-take time in proportion to their length and bounded memory. An empty table gives an
-empty result.
+take time in proportion to their length and bounded memory. Other columns do not matter,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +37,7 @@ from .common import small_batches, table, worker_cache
 from .pieces import Cutter
 
 #: Bounds of what a worker keeps: pieces with their ids (and the generation before), states, pairs; bytes of a piece handled at a time.
-KEPT_PIECES, KEPT_STATES, KEPT_PAIRS, RUN_BYTES = 400_000, 200_000, 200_000, 1024
+KEPT_PIECES, KEPT_STATES, KEPT_PAIRS, RUN_BYTES = 400_000, 200_000, 200_000, 256
 
 
 class MergeTransducer:
@@ -253,10 +253,11 @@ class Codec:
     def decoded(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
-    def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
+    def decode_stream(self, runs: Iterable[bytes]) -> Iterator[str]:
+        """Text of runs of ids (little-endian 32-bit integers), as far as each run completes it."""
         machine = Utf8Machine()
-        for i in ids:
-            if text := machine.feed(self.bytes_of[i]):
+        for run in runs:
+            if text := machine.feed(self.decoded(run)):
                 yield text
         if text := machine.feed(b"", True):
             yield text
@@ -266,40 +267,53 @@ def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-def _codec(name: str, pattern: str) -> Codec:
-    """One codec a worker process, from the vocabulary that Spark has sent to it."""
-    held = worker_cache("byte_bpe")
-    if (name, pattern) not in held:
-        with open(SparkFiles.get(name), "rb") as file:
-            held[name, pattern] = Codec(read_ranks(file), pattern)
-    return held[name, pattern]
+def _codec(ranks: bytes, pattern: str) -> Codec:
+    """One codec a worker process for each vocabulary and pattern; ranks: the content of a file of ranks."""
+    held, key = worker_cache("byte_bpe"), (hashlib.sha256(ranks).digest(), pattern)
+    if key not in held:
+        held[key] = Codec(read_ranks(ranks.splitlines()), pattern)
+    return held[key]
 
 
-def _encoding(name: str, pattern: str, whole: bool):
+def _encoding(ranks, pattern: str, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(name, pattern)
+        codec = _codec(ranks.value, pattern)
         gc.disable()  # what is kept holds no cycles and would be walked again and again
-        for batch in (whole_batch.slice(i, 512) for whole_batch in batches for i in range(0, whole_batch.num_rows, 512)):
-            n, ids, back, all_ids = [], [], [], []
-            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                count, h, d, parts = 0, hashlib.sha256(), hashlib.sha256(), []
-                for part in codec.encoded(text or ""):
-                    count += len(part) // 4
-                    h.update(part)
-                    d.update(codec.decoded(part))
-                    if whole:
-                        parts.append(part)
-                n.append(count)
-                ids.append(h.hexdigest())
-                back.append(d.hexdigest())
-                all_ids.append(b"".join(parts))
-            row = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
-            out = [row, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(all_ids, pa.binary())] * whole, names=["row", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + whole])
+        try:
+            for batch in (whole_batch.slice(i, 512) for whole_batch in batches for i in range(0, whole_batch.num_rows, 512)):
+                yield encode_batch(codec, batch)
+        finally:
+            gc.enable()
+
+    def encode_batch(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, ids, back, all_ids = [], [], [], []
+        for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
+            h, d, parts, machine = hashlib.sha256(), hashlib.sha256(), [], Utf8Machine()
+            count = 0
+            for part in codec.encoded(text or ""):
+                count += len(part) // 4
+                h.update(part)
+                d.update(machine.feed(codec.decoded(part)).encode("utf-8"))
+                if whole:
+                    parts.append(part)
+            d.update(machine.feed(b"", True).encode("utf-8"))
+            n.append(count)
+            ids.append(h.hexdigest())
+            back.append(d.hexdigest())
+            all_ids.append(b"".join(parts))
+        row = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
+        out = [row, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
+        return pa.RecordBatch.from_arrays(out + [pa.array(all_ids, pa.binary())] * whole, names=["row", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + whole])
 
     return run
 
 
+def sent(spark: SparkSession, vocabulary: str):
+    """The content of a vocabulary file, broadcast; its size is that of the file."""
+    with open(vocabulary, "rb") as file:
+        return spark.sparkContext.broadcast(file.read())
+
+
 def encoded(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """(row, n_tokens, ids_sha256, decoded_sha256[, ids]) of each document.
 
@@ -307,9 +321,8 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = Fal
     ids: little-endian 32-bit integers.
     """
     small_batches(docs.sparkSession)
-    docs.sparkSession.sparkContext.addFile(vocabulary)
     schema = T.StructType([T.StructField("row", docs.schema), *T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids).fields])
-    return docs.mapInArrow(_encoding(vocabulary.rpartition("/")[2], pattern, with_ids), schema)
+    return docs.mapInArrow(_encoding(sent(docs.sparkSession, vocabulary), pattern, with_ids), schema)
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
