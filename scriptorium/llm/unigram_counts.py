@@ -1,8 +1,10 @@
 """Token counts of a unigram model, by dynamic programming over a trie of pre-tokens.
 
-Model: the tokens of a public vocabulary, with Zipf's law for probabilities: token of rank
-r costs ln(r + 2) + ln(sum of 1 / (r + 2)). A pre-token is cut into the tokens of least
-total cost, and among equals into the fewest. Costs are integers, so results are exact.
+Model: tokens with scores (log-probabilities), as an argument; without them, the tokens of
+a public vocabulary with Zipf's law: the token of rank r costs ln(r + 2) + ln(sum of
+1 / (r + 2)). A pre-token is cut into the tokens of least total cost, and among equals
+into the fewest. Costs are integers, so results are exact. A byte that no token covers
+costs more than any token and counts as one.
 
 Distinct pre-tokens go into a trie of bytes. A node's forward score (least cost and
 number of tokens up to it) is computed when the node is made, from the scores above it,
@@ -11,16 +13,18 @@ count is the sum over its pre-tokens.
 
 Null text counts as empty and has no tokens. Very long pre-tokens are scored without
 nodes, in time proportional to their length; very long texts are read in runs. The trie
-is emptied when it is full, which changes no result. An empty table gives an empty result.
+is emptied when it is full, which changes no result. Other columns do not matter, whatever
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -39,6 +43,14 @@ def zipf_costs(ranks: dict[bytes, int]) -> dict[bytes, int]:
     return {token: round(UNITS * (math.log(r + 2) + total)) for token, r in ranks.items()}
 
 
+def score_costs(scores: Mapping[bytes, float]) -> dict[bytes, int]:
+    """Costs of tokens with log-probabilities; single bytes without one get the largest cost and ten nats."""
+    top = max(scores.values(), default=0.0)  # costs must not be negative
+    costs = {token: round(UNITS * (max(top, 0.0) - score)) for token, score in scores.items()}
+    unknown = max(costs.values(), default=0) + 10 * UNITS
+    return {bytes([b]): unknown for b in range(256)} | costs
+
+
 class PretokenTrie(dict):
     """Maps a pre-token to its number of tokens; missing ones go into the trie."""
 
@@ -87,8 +99,8 @@ class PretokenTrie(dict):
         return count
 
 
-def counter(ranks: dict[bytes, int], pattern: str):
-    trie, cutter = PretokenTrie(zipf_costs(ranks)), Cutter(pattern)
+def counter(costs: dict[bytes, int], pattern: str):
+    trie, cutter = PretokenTrie(costs), Cutter(pattern)
 
     def count(text: str) -> tuple[int, int]:
         """Pre-tokens and tokens of a text."""
@@ -103,13 +115,12 @@ def counter(ranks: dict[bytes, int], pattern: str):
     return count
 
 
-def _counted(name: str, pattern: str):
+def _counted(model, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = worker_cache("unigram_counts")
-        if (name, pattern) not in held:
-            with open(SparkFiles.get(name), "rb") as file:
-                held[name, pattern] = counter(read_ranks(file), pattern)
-        count = held[name, pattern]
+        held, key = worker_cache("unigram_counts"), (hashlib.sha256(model.value).digest(), pattern)
+        if key not in held:
+            held[key] = counter(pickle.loads(model.value), pattern)
+        count = held[key]
         for batch in batches:
             found = [count(x or "") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in found], pa.int64()) for i in (0, 1))], names=["doc_id", "n_pretokens", "n_tokens"])
@@ -117,13 +128,21 @@ def _counted(name: str, pattern: str):
     return run
 
 
-def token_counts(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, n_pretokens, n_tokens of each document (doc_id, text)."""
+def token_counts(docs: DataFrame, vocabulary: str | None, pattern: str, scores: Mapping[bytes, float] | None = None) -> DataFrame:
+    """doc_id, n_pretokens, n_tokens of each document (doc_id, text).
+
+    scores: the model, token -> log-probability; without it, Zipf's law of a file of ranks.
+    """
     docs = docs.select("doc_id", "text")
     small_batches(docs.sparkSession)
-    docs.sparkSession.sparkContext.addFile(vocabulary)
+    if scores is None:
+        with open(vocabulary, "rb") as file:
+            costs = zipf_costs(read_ranks(file))
+    else:
+        costs = score_costs(scores)
+    model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(costs))  # as large as the vocabulary
     schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_pretokens long, n_tokens long").fields])
-    return docs.mapInArrow(_counted(vocabulary.rpartition("/")[2], pattern), schema)
+    return docs.mapInArrow(_counted(model, pattern), schema)
 
 
 def op9_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -386,6 +386,47 @@ def test_language_held_out_accuracy_and_cases(spark):
     assert len(held) > 50 and sum(a == b for a, b in held) >= 0.97 * len(held)
 
 
+def plain_grams(text):
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    whole = f" {' '.join(words)} " if words else ""
+    return [whole[i : i + n] for n in (3, 4, 5) for i in range(len(whole) - n + 1)]
+
+
+def test_language_equals_exact_sets(spark):
+    """The rule with Python sets in place of the filter; both count the same languages for almost every n-gram."""
+    rows = [(i, t, lang if i % 7 else None, s) for i, t, lang, s in lingual(spark)]
+    learned = [(t, lang) for i, t, lang, _ in rows if lang and zlib.crc32(str(i).encode()) % 3 != 1]
+    size, having = Counter(lang for _, lang in learned), defaultdict(Counter)
+    for t, lang in learned:
+        having[lang].update(set(plain_grams(t)))
+    known = {lang: {g for g, n in c.items() if n >= language_id.LEAST_SHARE * size[lang]} for lang, c in having.items()}
+    same, apart = 0, []
+    found = {r.doc_id: r for r in language_id.identified(docs(spark, rows)).select("row.doc_id", "lang_pred", "score").collect()}
+    for i, t, _, _ in rows:
+        hits = {lang: sum(g in known[lang] for g in plain_grams(t)) for lang in sorted(known)}
+        best, low = max(hits, key=hits.get), min(hits.values())
+        same += found[i].lang_pred == best
+        if len(plain_grams(t)) >= 100:  # in short texts one false positive shows in the score
+            apart.append(abs(found[i].score - (hits[best] - low) / max(1, sum(h - low for h in hits.values()))))
+    assert same == len(rows) and len(apart) > 100 and max(apart) < 0.05 and sum(apart) < 0.01 * len(apart)
+
+
+def test_language_blocks_change_nothing(monkeypatch):
+    text = " ".join(["ein", "Wörterbuch", "x" * 90, "12", "--", "d'un"] * 9)
+    whole = Counter(np.concatenate(list(language_id._grams(text))).tolist())
+    assert sum(whole.values()) == len(plain_grams(text)) and len(whole) == len(set(plain_grams(text)))
+    for block in (1, 5, 40, 300):
+        monkeypatch.setattr(language_id, "BLOCK_CHARS", block)
+        assert "".join(language_id._blocks(text)) == text
+        assert Counter(np.concatenate(list(language_id._grams(text))).tolist()) == whole
+
+
+def test_language_masks_have_all_languages_of_an_ngram():
+    grams = {x: np.array([g], np.uint64) for x, g in (("a", 1), ("b", 2))} | {"c": np.array([1, 2], np.uint64)}
+    f = language_id.BitSlicedFilter.of(grams, 16)
+    assert f.masks(np.array([1, 2, 3], np.uint64))[0].tolist() == [0b101, 0b110, 0]
+
+
 def test_language_without_labels_and_rows(spark):
     assert {r.lang_pred for r in language_id.identified(docs(spark, [(1, "some words", None, "s")])).collect()} == {"und"}
     assert language_id.identified(docs(spark, [])).count() == 0
@@ -394,7 +435,7 @@ def test_language_without_labels_and_rows(spark):
 def test_bit_sliced_filter_finds_all_and_corrects():
     rng = np.random.default_rng(3)
     own = {x: rng.integers(0, 1 << 63, 5000, dtype=np.uint64) for x in map(str, range(70))}  # two planes
-    f = language_id.BitSlicedFilter(sorted(own), own, [1] * 70)
+    f = language_id.BitSlicedFilter.of(own, 18)
     for k, name in enumerate(sorted(own)):
         if k % 13 == 0:
             counts = f.counts(own[name])
@@ -414,7 +455,7 @@ def vectors(spark, rows):
 def test_nearest_cases(spark):
     e = [[1.0, 0, 0, 0, 0], [0.9, 0.1, 0, 0, 0], [0, 1.0, 0, 0, 0]]
     rows = [(0, e[0], 0), (1, e[0], 0), (2, e[0], 0), (3, e[1], 0), (4, e[2], 1), (4, e[2], 1), (5, None, 0), (6, [0.0] * 5, 0), (7, [float("nan")] + [1.0] * 4, 0), (8, [None, 1.0, 1.0, 1.0, 1.0], 0), (9, [1.0, 2.0], 0), (None, e[0], 0), (10, [float("inf")] * 5, 0)]
-    v = vectors(spark, rows)
+    v = vectors(spark, rows).selectExpr("*", "1 AS code", "2 AS ids", "'x' AS vec")
     found = cross_polytope.nearest(v, v.filter("vec_id % 5 = 0"), 3).collect()
     assert [(r.rank, r.vec_id) for r in sorted(found, key=lambda r: r["rank"])] == [(1, 1), (2, 2), (3, 3)] and {r.query_id for r in found} == {0}
     assert all(abs(r.score - (0 if r.vec_id < 3 else math.dist(np.float32(e[0]).tolist(), np.float32(e[1]).tolist()))) < 1e-15 for r in found)
@@ -424,7 +465,7 @@ def test_nearest_cases(spark):
 
 
 def test_nearest_recall(spark, monkeypatch):
-    monkeypatch.setattr(cross_polytope, "BLOCK", 30)  # large buckets are dealt out in blocks
+    monkeypatch.setattr(cross_polytope, "CELL", 30)  # many cells; large buckets are dealt out in blocks
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(8, 48))
     x = (centres[np.arange(2000) % 8] + 0.8 * rng.normal(size=(2000, 48))).astype(np.float32)
@@ -443,6 +484,49 @@ def test_nearest_recall(spark, monkeypatch):
     assert hit / 200 >= 0.9
 
 
+def share_met(x, queries, k=10):
+    """(recall, share of candidates met) of the probes fitted to these queries, and whether buckets stay small."""
+    n = len(x)
+    hashing = cross_polytope.CrossPolytope(x.shape[1], n)
+    codes, needed, best = hashing.index(x), [], {}
+    for q in queries:
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        best[q] = np.argsort(d, kind="stable")[:k]
+        needed += hashing.needed(x[q], codes[best[q]])
+    share, hit, met = float(np.quantile(needed, cross_polytope.RECALL, method="higher")), 0, 0
+    for q in queries:
+        found = np.zeros(n, bool)
+        for t, c in enumerate(hashing.probes(x[q], share)):
+            found |= np.isin(codes[:, t], c)
+        hit += found[best[q]].sum()
+        met += found.sum() - found[q]
+    return hit / (k * len(queries)), met / (n * len(queries))
+
+
+def test_nearest_meets_a_falling_share_of_candidates():
+    rng, shares = np.random.default_rng(4), []
+    for n in (1000, 8000, 40_000):  # no structure at all: the hardest case
+        recall, share = share_met(rng.normal(size=(n, 32)), range(0, n, n // 20))
+        assert recall >= 0.9
+        shares.append(share)
+    assert shares[2] < shares[1] < shares[0]
+    centres = rng.normal(size=(200, 32))
+    recall, share = share_met(centres[np.arange(8000) % 200] + 0.2 * rng.normal(size=(8000, 32)), range(0, 8000, 400))
+    assert recall >= 0.9 and share < 0.05  # neighbours that stand out
+
+
+def test_cross_polytope_takes_a_third_rotation_when_buckets_fill():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8))
+    hashing = cross_polytope.CrossPolytope(8, 8 * 64 * 4)
+    assert hashing.axes == 4 and cross_polytope.CrossPolytope(8, 500).axes == 0
+    codes = hashing.index(x)
+    assert codes.shape == (300, cross_polytope.TABLES) and codes.max() < 16 * 16 * 8
+    for y, own in zip(x[:20], codes[:20], strict=True):
+        assert all(c in p for c, p in zip(own.tolist(), hashing.probes(y, 1.0), strict=True)) and max(hashing.needed(y, own[None])) < 0.01
+
+
 # op5
 
 
@@ -465,10 +549,51 @@ def test_license_scan_equals_brute_force(spark):
                 best = [(license_scan.dice(license_scan.bigrams_of(unit), b), name) for name, b in s.known]
                 best = [x for x in best if x[0] >= license_scan.DICE - 1e-12]
                 want += [min(best, key=lambda x: (-x[0], x[1]))] if best else []
-            assert s.scan(text) == want
+            got = s.scan(text)
+            assert got[: len(want)] == want
     assert license_scan.license_scan(docs(spark, [])).count() == 0
 
 
+def test_license_windows_find_what_no_line_or_paragraph_holds():
+    import textwrap
+
+    s = license_scan.Scanner()
+    for name in ("ISC", "BSL-1.0", "Zlib"):
+        notice = next(t for n, t in license_scan.templates() if n == name)
+        lines = textwrap.wrap(f"{prose(1, 20)} {notice} {prose(2, 20)}", 72)
+        assert name in {x[1] for x in s.scan("\n".join([*textwrap.wrap(prose(3, 90), 72), *lines, *textwrap.wrap(prose(4, 90), 72)]))}
+    assert s.scan("This tool, which we wrote last year, is released under the MIT License and comes with tests.") == [(1.0, "MIT")]
+    assert s.scan("We wrote it under pressure, and the license of our dog is new.") == []
+    assert len(s.scan("It is released under the MIT License and so on, " * 300)) >= 300  # a repeated text
+
+
+def plain_dice(words, i, j, template):
+    a, b = set(zip(words[i:j], words[i + 1 : j])), set(zip(template, template[1:]))
+    return 2 * len(a & b) / (len(a) + len(b))
+
+
+def test_license_windows_equal_brute_force():
+    """Over every window of short texts, with sets alone: a template is reported if and only if some window matches it, and none of higher score is missed."""
+    rng, known = random.Random(9), [("A", "a b c d e f g h"), ("B", "x a b y c d z"), ("C", "m n o p q r s t u v w")]
+    s = license_scan.Scanner(known=known)
+    hits = 0
+    for _ in range(400):
+        words = []
+        for _ in range(rng.randrange(1, 7)):
+            t = rng.choice(known)[1].split()
+            i = rng.randrange(len(t))
+            words += rng.choice((t[i : i + rng.randrange(1, 9)], t, list("kkj"), [rng.choice("abcdefg")]))
+        for k, (name, text) in enumerate(known):
+            best = max((plain_dice(words, i, j, text.split()) for i in range(len(words)) for j in range(i + 2, len(words) + 1)), default=0)
+            found = max((x[0] for x in s.windows(list(zip(words, words[1:])), k)), default=0)
+            assert found == (best if best >= license_scan.DICE - 1e-12 else 0), (words, name)
+            hits += found > 0
+        got = s.scan(" ".join(words))
+        top = max(((plain_dice(words, i, j, text.split()), name) for i in range(len(words)) for j in range(i + 2, len(words) + 1) for name, text in known), default=(0, ""))
+        assert bool(got) == (top[0] >= license_scan.DICE - 1e-12)
+    assert hits > 200
+
+
 def test_license_scan_finds_runs_of_paragraphs_and_full_texts():
     s = license_scan.Scanner()
     around = "\n\n".join(prose(k, 60) for k in range(30))
@@ -496,7 +621,7 @@ def test_license_scan_runs_equal_brute_force():
             best = [(license_scan.dice(license_scan.bigrams_of(unit), b), name) for name, b in s.known]
             best = [x for x in best if x[0] >= license_scan.DICE - 1e-12]
             want += [min(best, key=lambda x: (-x[0], x[1]))] if best else []
-        assert s.scan(text) == want
+        assert s.scan(text)[: len(want)] == want
 
 
 # op6
@@ -551,7 +676,7 @@ def test_bpe_equals_tiktoken(codecs, parts):
     text = "".join(parts)
     ids = b"".join(own.encoded(text))
     assert np.frombuffer(ids, "<u4").tolist() == other.encode_ordinary(text)
-    assert own.decoded(ids) == text.encode() and "".join(own.decode_stream(np.frombuffer(ids, "<u4").tolist())) == text
+    assert own.decoded(ids) == text.encode() and "".join(own.decode_stream(ids[i : i + 4] for i in range(0, len(ids), 4))) == text
 
 
 @settings(max_examples=150, deadline=None)
@@ -576,12 +701,12 @@ def test_utf8_machine_equals_decoder(data, step):
 
 
 def test_bpe_query_cases(spark, codecs):
-    rows = ODD_ROWS + [(99, "a" * 50_000, "en", "s")]
+    rows = ODD_ROWS + [(99, "a" * 50_000, "en", "s"), (100, "-=" * 9000 + "ab" * 9000, "en", "s")]
     found = byte_bpe.encoded(docs(spark, rows, True), *byte_bpe.public_vocabulary(), with_ids=True).collect()
     assert len(found) == len(rows)
     for r in found:
         text = r.row.text or ""
-        ids = codecs[1].encode_ordinary(text) if len(text) < 100_000 and r.row.doc_id != 99 else np.frombuffer(bytes(r.ids), "<u4").tolist()
+        ids = codecs[1].encode_ordinary(text)
         assert np.frombuffer(bytes(r.ids), "<u4").tolist() == ids and r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert byte_bpe.encoded(docs(spark, []), *byte_bpe.public_vocabulary()).count() == 0
@@ -602,23 +727,32 @@ def test_unigram_counts_equal_brute_force(vocabulary, parts):
     ranks, pattern = vocabulary
     costs, text = unigram_counts.zipf_costs(ranks), "".join(parts)
     pieces = regex.findall(pattern, text)
-    assert COUNTERS.setdefault(0, unigram_counts.counter(ranks, pattern))(text) == (len(pieces), sum(brute_tokens(costs, p.encode()) for p in pieces))
+    assert COUNTERS.setdefault(0, unigram_counts.counter(costs, pattern))(text) == (len(pieces), sum(brute_tokens(costs, p.encode()) for p in pieces))
 
 
 COUNTERS = {}
 
 
 def test_unigram_full_trie_and_cases(spark, vocabulary, monkeypatch):
-    want = unigram_counts.counter(*vocabulary)(BASE)
+    costs, pattern = unigram_counts.zipf_costs(vocabulary[0]), vocabulary[1]
+    want = unigram_counts.counter(costs, pattern)(BASE)
     found = {r.doc_id: r for r in unigram_counts.token_counts(docs(spark, ODD_ROWS, True), *byte_bpe.public_vocabulary()).collect()}
     assert (found[1].n_tokens, found[2].n_pretokens) == (0, 0) and (found[4].n_pretokens, found[4].n_tokens) == want and found[9].n_tokens > 60_000
     for name, value in (("KEPT_NODES", 50), ("KEPT_COUNTS", 10), ("LONGEST", 4)):
         monkeypatch.setattr(unigram_counts, name, value)
     monkeypatch.setattr(pieces, "RUN_PIECES", 30)
-    assert unigram_counts.counter(*vocabulary)(BASE) == want
+    assert unigram_counts.counter(costs, pattern)(BASE) == want
     assert unigram_counts.token_counts(docs(spark, []), *byte_bpe.public_vocabulary()).count() == 0
 
 
+def test_unigram_scores_are_an_argument(spark, vocabulary):
+    scores = {b"ab": -1.0, b"a": -3.0, b"b": -3.0, b"abab": -1.5, b" ": -2.0, b" ab": -9.0}
+    rows = [(1, "ab abab", "en", "s"), (2, "abababz", "en", "s"), (3, None, "en", "s")]
+    found = {r.doc_id: r.n_tokens for r in unigram_counts.token_counts(docs(spark, rows, True), None, vocabulary[1], scores).collect()}
+    costs = unigram_counts.score_costs(scores)
+    assert found == {1: brute_tokens(costs, b"ab") + brute_tokens(costs, b" abab"), 2: 3, 3: 0} and found[1] == 3
+
+
 # op8
 
 
