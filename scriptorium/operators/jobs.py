@@ -12,9 +12,10 @@ ACTIVE, TERMINAL, CLEARABLE = ("queued", "running", "retry_wait"), ("completed",
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Upsert as append and compaction: the last row of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """Upsert as append and compaction: the last row of each key, by partial aggregates before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(order).isNotNull(), order)).alias("_last"))
+    return last.select(*(c if c in keys else F.col(f"_last.`{c}`").alias(c) for c in rows.columns))
 
 
 def last_n(rows: DataFrame, key: str, order: list, n: int) -> DataFrame:
@@ -128,29 +129,40 @@ def resolution(conflicts: DataFrame, requests: DataFrame, live: DataFrame) -> Da
 
 
 def publish_action(meaningful: Column, checkpoint: Column, keep: Column, ours: Column) -> Column:
-    """How transcribed text is published. checkpoint: none, started, task, version_latest, version_newer, version_gone."""
-    c = F.when(checkpoint == "version_gone", "none").otherwise(checkpoint)
+    """How transcribed text is published. checkpoint: none, started, task, version_latest, version_newer, version_gone.
+
+    meaningful: the document has text of its own. A version is used if the preference is to
+    keep it, or if an upload has begun, whatever the preference says now. A version that is
+    gone counts as none from there on.
+    """
     return (
         F.when(~meaningful, "replace_in_place")
-        .when(c == "version_latest", "write_to_version")
-        .when(c == "version_newer", "retry_source_changed")
-        .when(keep & ours, "reuse_version")
-        .when(c == "started", "stop_ambiguous")
-        .when(c == "task", "poll_task")
-        .when(keep, "upload_version")
-        .otherwise("replace_existing")
+        .when(~keep & (checkpoint == "none"), "replace_existing")
+        .when(checkpoint == "version_latest", "write_to_version")
+        .when(checkpoint == "version_newer", "retry_source_changed")
+        .when(ours, "reuse_version")
+        .when(checkpoint == "started", "stop_ambiguous")
+        .when(checkpoint == "task", "poll_task")
+        .otherwise("upload_version")
     )
 
 
 def get_or_create(existing: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, name) of each requested name: by case-insensitive match, else with new ids after the largest."""
+    """(id, name) of each requested name: by case-insensitive match, else with new ids after the largest, in order of the names.
+
+    New names are numbered within ranges of names, on top of the number of names in the
+    ranges before; only these sums meet in one place.
+    """
     key = F.lower("name")
     wanted = names.select("name", key.alias("k")).groupBy("k").agg(F.min("name").alias("name"))
     have = existing.select("id", F.col("name").alias("old"), key.alias("k")).groupBy("k").agg(F.min("id").alias("id"), F.min_by("old", "id").alias("old"))
     both = wanted.join(have, "k", "left")
-    new = both.filter("id is null").withColumn("n", F.row_number().over(Window.orderBy("k")))
+    new = both.filter("id is null").withColumn("part", F.substring("k", 1, 2))
+    within = new.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("k")))
+    sums = new.groupBy("part").agg(F.count("*").alias("size"))
+    before = sums.withColumn("before", F.sum("size").over(Window.orderBy("part")) - F.col("size")).select("part", "before")  # one row a range
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    made = new.crossJoin(F.broadcast(top)).select((F.col("top") + F.col("n")).alias("id"), "name", F.lit(True).alias("created"))  # top is one row
+    made = within.join(before, "part").crossJoin(F.broadcast(top)).select((F.col("top") + F.col("before") + F.col("n")).alias("id"), "name", F.lit(True).alias("created"))  # top is one row
     return both.filter("id is not null").select("id", F.col("old").alias("name"), F.lit(False).alias("created")).union(made)
 
 

@@ -51,7 +51,7 @@ def boolean(v: Column) -> Column:
 def integer(v: Column) -> Column:
     plain = tx.strip(F.replace(v, F.lit(","), F.lit("")))
     well = plain.rlike(r"^[-+]?\d+$")
-    n = F.when(well, F.try_to_number(F.regexp_replace(plain, r"^\+", ""), F.lit("S" + "9" * 38)))
+    n = F.when(well, plain.try_cast("decimal(38,0)"))
     inside = (n >= -(2**31)) & (n < 2**31)
     error = F.when(~well, ERRORS["integer"]).otherwise(_unless(inside, "integer_range"))
     return _result(n.cast("decimal(38,0)"), error)

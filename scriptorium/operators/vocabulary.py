@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
 from scriptorium.operators import similarity
+from scriptorium.sources.tables import kept
 
 DUPLICATE = 0.86
 
@@ -46,19 +47,60 @@ def listing(vocabulary: DataFrame, limit: int = 400) -> DataFrame:
     return vocabulary.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
-def _pairs(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
-    condition = F.col("l.kind") == F.col("r.kind")
-    return left.alias("l").join(right.alias("r"), condition & (F.col("l.position") < F.col("r.position")) if ordered else condition).select(F.col("l.kind").alias("kind"), *(F.struct(*(F.col(f"{s}.{c}").alias(c) for c in ("id", "name", "document_count", "position", "tokens", "compact", "initials"))).alias(s) for s in "lr"))
+#: Below this score the bounds of _pairs do not hold.
+LEAST_BOUNDED = 0.7
+
+
+def _pairs(left: DataFrame, right: DataFrame, least: float, ordered: bool) -> DataFrame:
+    """Pairs of one kind that can score `least`, as structs l and r; they meet by keys, not all with all.
+
+    Two names can only score so much if (1) their compact forms are equal; (2) one is the
+    other's initials; (3) one's tokens lie within the other's, which then has the rarest
+    token of the first; (4) the Jaccard of their tokens is (least - 0.35) / 0.65, so one of
+    as many rarest tokens of each as may be missing, plus one, is shared; or (5) their
+    sequences agree to least: of the letter pairs of a form of n letters at most
+    4 n (1 - least) / (2 - least) differ, so one of that many rarest plus one is shared.
+    """
+    columns = ("id", "name", "document_count", "position", "tokens", "compact", "initials")
+    whole = lambda df, s: df.select("kind", F.struct(*(F.col(c) for c in columns)).alias(s))
+    l, r = whole(kept(left), "l"), whole(kept(right), "r")  # noqa: E741
+    if least < LEAST_BOUNDED:
+        found = l.join(r, "kind")
+        return found.filter("l.position < r.position") if ordered else found
+    names = l.select("kind", F.lit("l").alias("side"), F.col("l.*")).union(r.select("kind", F.lit("r").alias("side"), F.col("r.*")))
+    n = F.length("compact")
+    at = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: i < n)
+    letters = F.transform(at, lambda i: F.substring("compact", i, F.lit(2)))
+    # equal letter pairs of one form are told apart by their number
+    numbered = F.transform(at, lambda i: F.concat(F.element_at("letters", i), F.size(F.filter(F.slice("letters", F.lit(1), i), lambda x: x == F.element_at("letters", i))).cast("string")))
+    words, size = F.array_distinct("tokens"), F.size(F.array_distinct("tokens"))
+    of_words = size - F.ceil(size * ((least - 0.35) / 0.65) - 1e-9) + 1
+    of_letters = F.floor(n * (4 * (1 - least) / (2 - least)) + 1e-9) + 1
+    who = ["kind", "side", "id"]
+    each = names.withColumn("letters", letters).select(*who, F.explode(F.array(F.struct(F.lit("t").alias("mark"), words.alias("parts"), of_words.cast("long").alias("most")), F.struct(F.lit("g").alias("mark"), numbered.alias("parts"), of_letters.cast("long").alias("most")))).alias("x"))
+    each = each.select(*who, "x.mark", "x.most", F.explode("x.parts").alias("part"))
+    used = each.groupBy("kind", "mark", "part").agg(F.count("*").alias("used"))
+    rarest = Window.partitionBy(*who, "mark").orderBy("used", "part")
+    ranked = each.join(used, ["kind", "mark", "part"]).withColumn("rank", F.row_number().over(rarest))
+    word, first = F.col("mark") == "t", F.col("rank") == 1
+    shared = ranked.filter(F.col("rank") <= F.col("most")).select(*who, F.concat_ws(":", "mark", "part").alias("key"))
+    ends = lambda side, one, every: ranked.filter(word & (F.col("side") == side)).select(*who, F.explode(F.array(F.when(first, F.concat(F.lit(f"{one}:"), "part")), F.concat(F.lit(f"{every}:"), "part"))).alias("key"))
+    forms = lambda side, one, other: names.filter(F.col("side") == side).select(*who, F.explode(F.array(F.concat(F.lit("c:"), "compact"), F.when((n > 0) & (n <= 6), F.concat(F.lit(f"{one}:"), "compact")), F.when(n > 0, F.concat(F.lit(f"{other}:"), "initials")))).alias("key"))
+    keys = shared.union(ends("l", "sa", "sb")).union(ends("r", "sb", "sa")).union(forms("l", "ia", "ib")).union(forms("r", "ib", "ia")).filter("key is not null").distinct()
+    side = lambda s: keys.filter(F.col("side") == s).select("kind", "key", F.col("id").alias(f"{s}_id"))
+    met = side("l").join(side("r"), ["kind", "key"]).select("kind", "l_id", "r_id").distinct()
+    found = met.join(l.withColumn("l_id", F.col("l.id")), ["kind", "l_id"]).join(r.withColumn("r_id", F.col("r.id")), ["kind", "r_id"]).select("kind", "l", "r")
+    return found.filter("l.position < r.position") if ordered else found
 
 
 def duplicates(vocabulary: DataFrame, least: float = DUPLICATE) -> DataFrame:
     """Pairs of one kind that name the same thing: which to keep, which to merge, score and reason.
 
-    The join is on kind and order; names whose length and token bounds rule a match out
+    Names that can match meet by keys; those whose length and token bounds rule a match out
     are dropped in the JVM before the sequence ratio runs.
     """
     keyed = similarity.name_keys(vocabulary)
-    found = similarity.scored(_pairs(keyed, keyed, True), least).filter(F.col("score") >= least)
+    found = similarity.scored(_pairs(keyed, keyed, least, True), least).filter(F.col("score") >= least)
     better = lambda s: F.struct((-F.col(f"{s}.document_count")).alias("u"), (-F.length(f"{s}.name")).alias("n"), F.col(f"{s}.name").alias("name"))
     first = better("l") <= better("r")
     keep, merge = F.when(first, F.col("l")).otherwise(F.col("r")), F.when(first, F.col("r")).otherwise(F.col("l"))
@@ -73,7 +115,7 @@ def duplicates(vocabulary: DataFrame, least: float = DUPLICATE) -> DataFrame:
 def best_duplicate(proposed: DataFrame, vocabulary: DataFrame, least: float = DUPLICATE) -> DataFrame:
     """proposed (kind, id, name) -> the entry each repeats, if any: the highest score, the first among equals."""
     p = similarity.name_keys(proposed.withColumns({"document_count": F.lit(0), "position": F.lit(0)}))
-    found = similarity.scored(_pairs(p, similarity.name_keys(vocabulary), False), least).filter(F.col("score") >= least)
+    found = similarity.scored(_pairs(p, similarity.name_keys(vocabulary), least, False), least).filter(F.col("score") >= least)
     order = Window.partitionBy("kind", "l.id").orderBy(F.desc("score"), "r.position")
     best = found.withColumn("n", F.row_number().over(order)).filter("n = 1")
     return best.select("kind", F.col("l.id").alias("id"), F.col("l.name").alias("name"), F.col("r.id").alias("matched_id"), F.col("r.name").alias("matched_name"), F.round("score", 4).alias("score"), "reason")
@@ -89,29 +131,27 @@ def canonical_order(pairs: DataFrame) -> DataFrame:
 def rank_candidates(documents: DataFrame, vocabulary: DataFrame, kind: str, limit: int = 80) -> DataFrame:
     """Candidates of one kind for each document (document_id, text, current_ids array).
 
-    A vocabulary within the limit is returned whole, by usage and name. Else hits of
-    entity words and initials in the document's words come from one join on the word;
-    entities without a hit all rank alike for every document, so only the best `limit`
-    of them are attached, never the whole product.
+    A vocabulary within the limit is returned whole, by usage and name, all scores 0. Else
+    hits of entity words and initials in the document's words come from one join on the
+    word; entities without a hit all rank alike for every document, so only the best
+    `limit` of them are attached, never the whole product. The vocabulary is written once.
     """
     v = similarity.name_keys(vocabulary.filter(F.col("kind") == kind))
-    v = v.withColumns({"words": F.array_distinct("tokens"), "usage": F.least(F.lit(0.35), F.log1p("document_count") / 30), "folded": tx.casefold(F.col("name"))})
-    few = Window.orderBy(F.desc("document_count"), "folded", "id")
-    v = v.withColumn("by_usage", F.row_number().over(few))
-    if v.limit(limit + 1).count() <= limit:
-        return documents.select("document_id").crossJoin(F.broadcast(v.select("id", "name", F.lit(0.0).alias("score"), F.col("by_usage").alias("rank"))))
-    doc_words = documents.select("document_id", "current_ids", F.explode(F.array_distinct(tx.name_tokens(F.col("text"), kind))).alias("word"))
+    v = kept(v.withColumns({"words": F.array_distinct("tokens"), "usage": F.least(F.lit(0.35), F.log1p("document_count") / 30), "folded": tx.casefold(F.col("name"))}))
+    few = F.broadcast(v.agg((F.count("*") <= limit).alias("few")))  # one row
+    doc_words = documents.select("document_id", F.explode(F.array_distinct(tx.name_tokens(F.col("text"), kind))).alias("word"))
     keys = v.select("id", F.explode("words").alias("word"), F.lit(1).alias("h"), F.lit(0).alias("a")).union(v.filter(F.length("initials") >= 2).select("id", F.col("initials").alias("word"), F.lit(0), F.lit(1)))
-    hits = doc_words.join(keys, "word").groupBy("document_id", "id").agg(F.sum("h").alias("h"), F.max("a").alias("a"))
-    current = documents.select("document_id", F.explode("current_ids").alias("id"), F.lit(4.0).alias("current")).distinct()
-    first = v.filter(F.col("by_usage") <= limit).select("id")  # limit rows
-    base = documents.select("document_id").crossJoin(F.broadcast(first))
-    all_pairs = hits.select("document_id", "id").union(current.select("document_id", "id")).union(base).distinct()
-    rows = all_pairs.join(hits, ["document_id", "id"], "left").join(current, ["document_id", "id"], "left").join(v.select("id", "name", "document_count", "folded", "words", "usage"), "id")
-    n, h = F.size("words"), F.coalesce("h", F.lit(0))
-    score = F.coalesce("current", F.lit(0.0)) + F.when((n > 0) & (h == n), 2.0).otherwise(0.0) + 1.6 * F.coalesce("a", F.lit(0)) + 1.2 * (h / F.greatest(n, F.lit(1))) + F.col("usage")
+    hits = doc_words.join(keys, "word").select("document_id", "id", "h", "a", F.lit(0.0).alias("current"))
+    zero = F.lit(0)
+    current = documents.select("document_id", F.explode("current_ids").alias("id"), zero.alias("h"), zero.alias("a"), F.lit(4.0).alias("current"))
+    first = v.orderBy(F.desc("document_count"), "folded", "id").limit(limit).select("id")  # limit rows
+    base = documents.select("document_id").crossJoin(F.broadcast(first)).select("document_id", "id", zero.alias("h"), zero.alias("a"), F.lit(0.0).alias("current"))
+    rows = hits.union(current).union(base).groupBy("document_id", "id").agg(F.sum("h").alias("h"), F.max("a").alias("a"), F.max("current").alias("current"))
+    rows = rows.join(v.select("id", "name", "document_count", "folded", F.size("words").alias("n"), "usage"), "id").crossJoin(few)
+    score = F.col("current") + F.when((F.col("n") > 0) & (F.col("h") == F.col("n")), 2.0).otherwise(0.0) + 1.6 * F.col("a") + 1.2 * (F.col("h") / F.greatest("n", F.lit(1))) + F.col("usage")
     order = Window.partitionBy("document_id").orderBy(F.desc("score"), F.desc("document_count"), "folded", "id")
-    return rows.withColumn("score", score).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("document_id", "id", "name", "score", "rank")
+    rows = rows.withColumn("score", F.when(F.col("few"), 0.0).otherwise(score))
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("document_id", "id", "name", "score", "rank")
 
 
 def review(lexical: DataFrame, model: DataFrame, vocabulary: DataFrame) -> DataFrame:

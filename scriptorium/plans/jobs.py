@@ -148,7 +148,7 @@ def event_windows(spark, sf_dir):
 def publish_actions(spark, sf_dir):
     k = F.col("o_orderkey")
     names = F.array(*map(F.lit, ("none", "started", "task", "version_latest", "version_newer", "version_gone")))
-    o = table(spark, sf_dir, "orders").select(k.alias("job_id"), (k % 2 == 0).alias("m"), F.element_at(names, (k % 6 + 1).cast("int")).alias("c"), (k % 5 < 3).alias("keep"), (k % 7 == 0).alias("ours"))
+    o = table(spark, sf_dir, "orders").select(k.alias("job_id"), (F.floor(k / 6) % 2 == 0).alias("m"), F.element_at(names, (k % 6 + 1).cast("int")).alias("c"), (k % 5 < 3).alias("keep"), (k % 7 == 0).alias("ours"))
     return o.groupBy(ops.publish_action(F.col("m"), F.col("c"), F.col("keep"), F.col("ours")).alias("action")).agg(F.count("*").alias("n"))
 
 
@@ -211,9 +211,9 @@ ORACLES = {
     "discovery_changed_documents": """WITH d AS (SELECT doc_id AS id, CASE WHEN doc_id % 11 <> 0 THEN 'v' || (doc_id % 2) END AS modified FROM documents),
  s AS (SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN 'v' || quality END AS m FROM labels) SELECT id, modified FROM d LEFT JOIN s ON id = doc_id WHERE doc_id IS NULL OR modified IS DISTINCT FROM m""",
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
-    "publish_actions": """SELECT action, count(*) AS n FROM (SELECT CASE WHEN NOT m THEN 'replace_in_place' WHEN c = 3 THEN 'write_to_version' WHEN c = 4 THEN 'retry_source_changed' WHEN keep AND ours THEN 'reuse_version'
- WHEN c = 1 THEN 'stop_ambiguous' WHEN c = 2 THEN 'poll_task' WHEN keep THEN 'upload_version' ELSE 'replace_existing' END AS action
- FROM (SELECT o_orderkey % 2 = 0 AS m, o_orderkey % 6 AS c, o_orderkey % 5 < 3 AS keep, o_orderkey % 7 = 0 AS ours FROM orders)) GROUP BY action""",
+    "publish_actions": """SELECT action, count(*) AS n FROM (SELECT CASE WHEN NOT m THEN 'replace_in_place' WHEN NOT keep AND c = 0 THEN 'replace_existing' WHEN c = 3 THEN 'write_to_version' WHEN c = 4 THEN 'retry_source_changed'
+ WHEN ours THEN 'reuse_version' WHEN c = 1 THEN 'stop_ambiguous' WHEN c = 2 THEN 'poll_task' ELSE 'upload_version' END AS action
+ FROM (SELECT (o_orderkey // 6) % 2 = 0 AS m, o_orderkey % 6 AS c, o_orderkey % 5 < 3 AS keep, o_orderkey % 7 = 0 AS ours FROM orders)) GROUP BY action""",
     "get_or_create_names": """WITH n AS (SELECT n_nationkey AS id, n_name AS name, lower(n_name) AS k FROM nation),
  t AS (SELECT list_reduce(list_transform(string_split(lower(n_name), ' '), lambda x: upper(x[1]) || x[2:]), lambda a, b: a || ' ' || b) AS name, lower(n_name) AS k FROM nation)
  SELECT n.id::BIGINT AS id, n.name, false AS created FROM n JOIN t USING (k) WHERE id < 15

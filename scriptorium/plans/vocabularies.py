@@ -42,7 +42,7 @@ def hidden_vocabulary_filter(spark, sf_dir):
 
 def visible_document_tags(spark, sf_dir):
     n = _names(spark, sf_dir).withColumn("is_inbox_tag", F.col("id") % 5 == 0)
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0")
+    li = table(spark, sf_dir, "lineitem")
     d = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list("l_partkey")).alias("tags"))
     return ops.visible_tags(d, n, []).select("id", F.array_join("tags", ",").alias("tags"))
 
@@ -109,7 +109,7 @@ ORACLES = {
     "vocabulary_tokens": f"{VARIANTS} SELECT id, tokens, replace(tokens, ' ', '') AS compact, array_to_string(list_transform(string_split(tokens, ' '), lambda x: x[1]), '') AS initials FROM k",
     "vocabulary_listing": f"SELECT id, name, document_count, (row_number() OVER (ORDER BY document_count DESC, lower(name), id))::INTEGER AS rank FROM ({NAMES}) QUALIFY rank <= 20",
     "hidden_vocabulary_filter": f"SELECT id, name FROM ({NAMES}) WHERE id % 5 <> 0 AND lower(name) NOT IN ('cold x', 'old widget', 'hot bolt')",
-    "visible_document_tags": f"""SELECT l_orderkey AS id, coalesce(array_to_string(list(l_partkey ORDER BY l_partkey) FILTER (l_partkey NOT IN (SELECT id FROM ({NAMES}) WHERE id % 5 = 0)), ','), '') AS tags FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1""",
+    "visible_document_tags": f"""SELECT l_orderkey AS id, coalesce(array_to_string(list(l_partkey ORDER BY l_partkey) FILTER (l_partkey NOT IN (SELECT id FROM ({NAMES}) WHERE id % 5 = 0)), ','), '') AS tags FROM lineitem GROUP BY 1""",
     "lexical_duplicates": f"""WITH n AS ({NAMES}), k AS (SELECT *, replace(lower(name), ' ', '') AS c FROM n), p AS (
  SELECT a.id AS aid, b.id AS bid, a.name AS an, b.name AS bn, a.document_count AS au, b.document_count AS bu, greatest(2.0 * least(length(a.c), length(b.c)) / (length(a.c) + length(b.c)), 0.96 * least(length(a.c), length(b.c)) / greatest(length(a.c), length(b.c))) AS score
  FROM k a JOIN k b ON a.id < b.id AND (contains(a.c, b.c) OR contains(b.c, a.c))), f AS (SELECT *, (au > bu OR (au = bu AND (length(an) > length(bn) OR (length(an) = length(bn) AND an <= bn)))) AS first FROM p WHERE score >= 0.86)

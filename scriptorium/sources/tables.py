@@ -1,10 +1,28 @@
-"""Parquet sources of the document library."""
+"""Parquet sources of the document library, and tables kept in the shared folder."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; filters and columns reach the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, written once to the folder that driver and executors share and read from there.
+
+    For tables with several readers; it survives lost executors, and its size is known.
+    """
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file:///tmp/checkpoints"
+    path = f"{folder.rstrip('/')}/scriptorium-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

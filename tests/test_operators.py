@@ -406,3 +406,44 @@ def test_discovery(spark, tmp_path):
 def test_library_does_without_training_data():
     code = "import sys; sys.modules['corpus_pipeline'] = None; sys.modules['scriptorium.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not [n for n in q if n.startswith('op') or n == 'pipeline']"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def test_publication_truth_table(spark):
+    """All 48 cases, from the rules: an upload that has begun is finished whatever the preference."""
+    from itertools import product
+
+    def expected(meaningful, checkpoint, keep, ours):
+        if not meaningful:
+            return "replace_in_place"
+        if checkpoint == "none" and not keep:
+            return "replace_existing"
+        if checkpoint in ("version_latest", "version_newer"):
+            return {"version_latest": "write_to_version", "version_newer": "retry_source_changed"}[checkpoint]
+        if ours:
+            return "reuse_version"
+        return {"started": "stop_ambiguous", "task": "poll_task"}.get(checkpoint, "upload_version")
+
+    cases = list(product((True, False), ("none", "started", "task", "version_latest", "version_newer", "version_gone"), (True, False), (True, False)))
+    df = spark.createDataFrame(cases, "m boolean, c string, k boolean, o boolean")
+    found = {(r.m, r.c, r.k, r.o): r.a for r in df.select("*", jobs.publish_action(F.col("m"), F.col("c"), F.col("k"), F.col("o")).alias("a")).collect()}
+    assert len(found) == 48 and found == {c: expected(*c) for c in cases}
+    assert found[True, "started", False, True] == "reuse_version" and found[True, "version_gone", False, False] == "upload_version"
+
+
+def test_names_that_can_match_meet(spark, monkeypatch):
+    """Keys lose no pair: the same duplicates as from all pairs of a kind."""
+    import random
+
+    rng, base = random.Random(3), ["annual report", "tax return", "Tax Returns 2021", "National Broadcast Network", "NBN", "invoices", "invoice archive", "aaaa", "aaaab", "x", "water bill", "waterbill", "insurance policy", "police insurance"]
+    names = list(base)
+    for _ in range(120):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = rng.choice("abe rt")
+        names.append("".join(w) + rng.choice(["", " files", " new", "s"]))
+    v = spark.createDataFrame([(("tag", "correspondent")[i % 5 == 0], i, x, i % 4, i) for i, x in enumerate(names) if x.strip()], "kind string, id long, name string, document_count long, position long")
+    met = sorted(map(str, vocabulary.duplicates(v).collect()))
+    best = sorted(map(str, vocabulary.best_duplicate(v.select("kind", "id", F.concat("name", F.lit("e")).alias("name")), v).collect()))
+    monkeypatch.setattr(vocabulary, "LEAST_BOUNDED", 2.0)
+    assert met == sorted(map(str, vocabulary.duplicates(v).collect())) and len(met) > 100
+    assert best == sorted(map(str, vocabulary.best_duplicate(v.select("kind", "id", F.concat("name", F.lit("e")).alias("name")), v).collect())) and len(best) > 50
