@@ -38,8 +38,8 @@ def _stage(operator):
 
 @_stage
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those of which no n-gram is known in any language; lang becomes the recognised one."""
-    found = language_id.identified(docs).filter((F.col("lang_pred") != "und") & (F.col("score") > 0))
+    """Drops documents without letters, which are of no language; lang becomes the recognised one."""
+    found = language_id.identified(docs).filter(F.col("lang_pred") != "und")
     return found.select("row.*", "lang_pred").withColumn("lang", F.col("lang_pred")).drop("lang_pred")
 
 
