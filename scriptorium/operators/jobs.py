@@ -177,3 +177,16 @@ def bulk_edit(documents: DataFrame, ids: DataFrame, method: str, value: int) ->
         "set_document_type": ("document_type", F.lit(value).cast("long")),
     }[method]
     return d.withColumn(column, F.when(hit, new).otherwise(F.col(column))).select(documents.columns)
+
+
+def document_states(states: DataFrame, seen: DataFrame, now: float) -> DataFrame:
+    """states (document_id, modified, source_hash, last_job_id, last_status, processed_at) after rows seen (the same, without the time): each replaces the state of its document."""
+    new = seen.withColumn("processed_at", F.lit(now)).select(states.columns)
+    return states.join(new.select("document_id"), "document_id", "left_anti").select(states.columns).unionByName(new)
+
+
+def document_statuses(states: DataFrame, changes: DataFrame, now: float) -> DataFrame:
+    """states after changes (document_id, status); documents without state stay without."""
+    j = states.join(changes, "document_id", "left")
+    hit = F.col("status").isNotNull()
+    return j.withColumns({"last_status": F.coalesce("status", "last_status"), "processed_at": F.when(hit, F.lit(now)).otherwise(F.col("processed_at"))}).select(states.columns)

@@ -12,13 +12,35 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptorium.sources.tables import kept
+
 RETRYABLE = (408, 425, 429, 500, 502, 503, 504)
 
 
+#: Request profiles of transcription and whether each is held back by default (fixed values).
+PROFILES = {"generic": False, "deepseek_ocr": True, "deepseek_ocr_llamacpp": False, "glm_ocr": True}
+
+
+def profile_used(key: Column, held_back: bool = False) -> Column:
+    """The profile that a request runs with: unknown ones, and held back ones unless these are on, are generic."""
+    on = [name for name, held in PROFILES.items() if held_back or not held]
+    return F.when(key.isin(on), key).otherwise("generic")
+
+
+def store_attempt(status: Column, attempt: Column, retries: int, upload: Column) -> Column:
+    """What follows an answer of the document store: struct(action, wait). status: null where none came.
+
+    Attempts count from 0. An upload is sent once: where it may have arrived, its outcome is ambiguous.
+    """
+    passing = status.isNull() | status.isin(*RETRYABLE)
+    action = F.when(status < 400, "done").when(passing & upload, "ambiguous").when(passing & (attempt < retries), "retry").otherwise("fail")
+    return F.struct(action.alias("action"), F.when(action == "retry", F.least(F.lit(8.0), 0.5 * F.pow(F.lit(2.0), attempt))).alias("wait"))
+
+
 class ModelFailure(Exception):
     def __init__(self, status: int, wait: float | None = None):
         super().__init__(f"model answered {status}")
@@ -104,3 +126,29 @@ def map_reduce(chunks: DataFrame, combine: Callable[[list[str]], str], most_item
 def pending_pages(pages: DataFrame, results: DataFrame) -> DataFrame:
     """Pages of a job (job_id, page_number) that still need a transcription."""
     return pages.join(results.filter(F.col("status") == "complete").select("job_id", "page_number"), ["job_id", "page_number"], "left_anti")
+
+
+ANSWER = "assessment string, tags array<string>"
+
+
+def reviewed_tags(rows: DataFrame, client: Callable[[str], str], growth: bool) -> DataFrame:
+    """A second look at documents that have no tag and no usable proposal of one.
+
+    rows: document_id, current_tags, tags (proposed names), usable, prompt. A first answer
+    without tags is audited once more where new tags are allowed; a failed audit leaves the
+    abstention as it was. -> document_id, tags, status (not_needed, selected, abstained,
+    failed: no answer, or one without a list of tags), assessment, audit (overturned, confirmed_abstention, failed, null).
+    """
+    read = lambda df: df.withColumn("a", F.from_json("answer", ANSWER)).withColumn("failed", F.col("error").isNotNull() | F.col("a.tags").isNull())
+    found = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    need = rows.filter((F.coalesce(F.size("current_tags"), F.lit(0)) <= 0) & ~F.coalesce("usable", F.lit(False)))
+    first = kept(read(asked(need.select("document_id", "prompt"), client)).select("document_id", "prompt", "answer", "failed", found(F.col("a.tags")).alias("first_tags"), F.col("a.assessment").alias("first_said")))
+    again = first.filter(F.lit(growth) & ~F.col("failed") & (F.size("first_tags") == 0))
+    audit = read(asked(again.select("document_id", F.concat(F.lit("Audit and either overturn or confirm the prior empty tag decision.\n"), "prompt", F.lit("\n"), "answer").alias("prompt")), client))
+    audit = audit.select("document_id", F.lit(True).alias("audited"), F.col("failed").alias("audit_failed"), found(F.col("a.tags")).alias("audit_tags"), F.col("a.assessment").alias("audit_said"))
+    both = rows.select("document_id", "tags").join(first.drop("prompt", "answer"), "document_id", "left").join(audit, "document_id", "left")
+    ok = F.coalesce(F.col("audited") & ~F.col("audit_failed"), F.lit(False))
+    tags = F.when(F.col("failed").isNull() | F.col("failed"), F.col("tags")).when(ok, F.col("audit_tags")).otherwise(F.col("first_tags"))
+    status = F.when(F.col("failed").isNull(), "not_needed").when(F.col("failed"), "failed").when(F.size(tags) > 0, "selected").otherwise("abstained")
+    audited = F.when(F.col("audit_failed"), "failed").when(F.col("audited") & (F.size("audit_tags") > 0), "overturned").when(F.col("audited"), "confirmed_abstention")
+    return both.select("document_id", tags.alias("tags"), status.alias("status"), F.when(ok, F.col("audit_said")).otherwise(F.col("first_said")).alias("assessment"), audited.alias("audit"))

@@ -6,7 +6,7 @@ correspondent, document_type and custom_field, ids are unique within a kind.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
@@ -177,6 +177,12 @@ def without_dismissed(suggestions: DataFrame, dismissed: DataFrame, merged: Data
     return out
 
 
+def merge_error(keep: Column, merge: Column) -> Column:
+    """What is wrong with a request to merge one entry into another; null if nothing is."""
+    bad = lambda c, name: F.when(c.isNull() | (c < 1), F.lit(f"{name} must be 1 or more"))
+    return F.coalesce(bad(keep, "keep_id"), bad(merge, "merge_id"), F.when(keep == merge, "keep_id and merge_id must differ"))
+
+
 def merge_assignments(assignments: DataFrame, merges: DataFrame) -> DataFrame:
     """assignments (document_id, kind, id) after moving merge_id to keep_id (merges: kind, merge_id, keep_id)."""
     moved = assignments.join(merges.withColumnRenamed("merge_id", "id"), ["kind", "id"], "left")

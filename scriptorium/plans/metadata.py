@@ -51,7 +51,7 @@ def normalize_values_url(spark, sf_dir):
 
 
 def normalize_values_string(spark, sf_dir):
-    return _typed(spark, sf_dir, "string", F.concat(F.lit(" "), F.left("text", F.lit(100)), F.when(K("doc_id") % 3 == 0, F.left("text", F.lit(60))).otherwise("")), "documents", "doc_id")
+    return _typed(spark, sf_dir, "string", F.concat(F.lit(" "), F.col("text")), "documents", "doc_id")
 
 
 def normalize_values_select(spark, sf_dir):
@@ -145,7 +145,7 @@ ORACLES = {
     "normalize_values_boolean": "SELECT o_orderkey AS id, ['true', 'false', 'true', NULL, 'false', 'true'][o_orderkey % 6 + 1] AS value, CASE WHEN o_orderkey % 6 = 3 THEN 'invalid boolean value' END AS error FROM orders",
     "normalize_values_monetary": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'EUR' || o_totalprice::DECIMAL(18,2) WHEN o_orderkey % 7 <> 0 THEN 'USD' || o_totalprice::DECIMAL(18,2) END AS value, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 = 0 THEN 'invalid monetary value' END AS error FROM orders",
     "normalize_values_url": "SELECT page_id AS id, CASE WHEN page_id % 4 <> 0 THEN url END AS value, CASE WHEN page_id % 4 = 0 THEN 'URL must start with http:// or https://' END AS error FROM pages",
-    "normalize_values_string": r"SELECT id, CASE WHEN length(v) <= 128 THEN v END AS value, CASE WHEN length(v) > 128 THEN 'string value exceeds 128 characters' END AS error FROM (SELECT doc_id AS id, trim(regexp_replace(left(text, 100) || CASE WHEN doc_id % 3 = 0 THEN left(text, 60) ELSE '' END, '\s+', ' ', 'g')) AS v FROM documents)",
+    "normalize_values_string": r"SELECT id, CASE WHEN length(v) <= 128 THEN v END AS value, CASE WHEN length(v) > 128 THEN 'string value exceeds 128 characters' END AS error FROM (SELECT doc_id AS id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS v FROM documents)",
     "normalize_values_select": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 AND o_orderstatus = 'F' THEN 'F' WHEN o_orderkey % 4 <> 0 AND o_orderpriority = '1-URGENT' THEN 'u' WHEN o_orderkey % 4 <> 0 AND o_orderpriority = '2-HIGH' THEN 'h' END AS value, CASE WHEN value IS NULL THEN 'value is not an existing select option' END AS error FROM orders",
     "plan_validation": f"""WITH n AS (SELECT id, name, row_number() OVER (ORDER BY id) - 1 AS place FROM ({NAMES})), c AS (SELECT doc_id AS k, n.id AS e, n.name FROM (SELECT DISTINCT doc_id FROM labels) LEFT JOIN n ON place = doc_id % 64)
  SELECT k AS document_id, CASE WHEN 0.5 + (k % 10) / 20.0 < 0.68 OR k % 4 = 1 OR k % 8 IN (3, 6) OR k % 16 = 7 THEN 'reject' WHEN k % 8 = 7 THEN 'create' ELSE 'reuse' END AS action,

@@ -79,16 +79,16 @@ def reviewed_suggestions(spark, sf_dir):
     return ops.without_dismissed(found, dismissed).select("key", "keep_id", "merge_id", "reason", "source")
 
 
-def _top_words(spark, sf_dir, n=120):
-    """The words of five letters or more that most documents hold, as a vocabulary."""
+def _long_words(spark, sf_dir):
+    """The words of five letters or more, with the number of documents that hold each, as a vocabulary."""
     t = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("name")).filter(F.length("name") >= 5)
-    top = t.groupBy("name").agg(F.count("*").alias("document_count")).orderBy(F.desc("document_count"), "name").limit(n)
+    top = t.groupBy("name").agg(F.count("*").alias("document_count"))
     return top.select(F.lit("tag").alias("kind"), F.xxhash64("name").alias("id"), "name", "document_count", F.lit(0).alias("position"))
 
 
 def candidate_ranking(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text", F.array().cast("array<long>").alias("current_ids"))
-    r = ops.rank_candidates(docs, _top_words(spark, sf_dir), "tag", 20)
+    r = ops.rank_candidates(docs, _long_words(spark, sf_dir), "tag", 20)
     return r.select("document_id", "name", F.round("score", 4).alias("score"), "rank")
 
 
@@ -122,7 +122,7 @@ ORACLES = {
  FROM n a JOIN n b ON a.id % 8 = b.id % 8 AND a.id < b.id""",
     "merge_entities_effect": "SELECT id, count(DISTINCT d) AS n_documents FROM (SELECT l_orderkey AS d, CASE WHEN l_partkey % 2 = 1 AND l_partkey < 400 AND l_partkey IN (SELECT p_partkey FROM part) THEN l_partkey - 1 ELSE l_partkey END AS id FROM lineitem) GROUP BY id",
     "candidate_ranking": f"""WITH t AS (SELECT doc_id, unnest(list_distinct({duck_tokens('text')})) AS w FROM documents),
- top AS (SELECT w AS name, count(*) AS n FROM t WHERE length(w) >= 5 GROUP BY w ORDER BY n DESC, w LIMIT 120),
+ top AS (SELECT w AS name, count(*) AS n FROM t WHERE length(w) >= 5 GROUP BY w),
  one AS (SELECT name, n, CASE WHEN t LIKE '%ies' AND length(t) > 4 THEN left(t, length(t) - 3) || 'y' WHEN t LIKE '%s' AND length(t) > 3 AND t NOT LIKE '%ss' AND t NOT LIKE '%us' AND t NOT LIKE '%is' THEN left(t, length(t) - 1) ELSE t END AS key FROM (SELECT name, n, strip_accents(name) AS t FROM top)),
  d AS (SELECT DISTINCT doc_id, CASE WHEN t LIKE '%ies' AND length(t) > 4 THEN left(t, length(t) - 3) || 'y' WHEN t LIKE '%s' AND length(t) > 3 AND t NOT LIKE '%ss' AND t NOT LIKE '%us' AND t NOT LIKE '%is' THEN left(t, length(t) - 1) ELSE t END AS key FROM (SELECT doc_id, strip_accents(w) AS t FROM t)),
  s AS (SELECT documents.doc_id, one.name, n, (CASE WHEN d.key IS NOT NULL THEN 3.2::DOUBLE ELSE 0.0::DOUBLE END) + least(0.35::DOUBLE, ln(1 + n) / 30) AS score FROM documents CROSS JOIN one LEFT JOIN d ON d.doc_id = documents.doc_id AND d.key = one.key)
