@@ -68,3 +68,41 @@ def paged_resource(spark: SparkSession, fetch: Callable[[int], Iterable[tuple]],
 
     spark.dataSource.register(Paged)
     return spark.read.format("scriptorium_paged").load()
+
+
+def followed_resource(spark: SparkSession, fetch: Callable[[str | None], tuple[Iterable[tuple], str | None]], base: str, schema: str = "id long, name string, document_count long") -> DataFrame:
+    """A resource whose pages name the next one: fetch(address) gives rows and the next address or null; null asks for the first.
+
+    Pages are read one after another in one task, as each is only known from the one before.
+    An address that leaves scheme and host of the base is an error.
+    """
+
+    class Reader(DataSourceReader):
+        def partitions(self):
+            return [InputPartition(0)]
+
+        def read(self, partition):
+            from urllib.parse import urlparse
+
+            home, at = urlparse(base)[:2], None
+            while True:
+                rows, at = fetch(at)
+                yield from (tuple(r) for r in rows)
+                if not at:
+                    return
+                if at.startswith(("http://", "https://")) and urlparse(at)[:2] != home:
+                    raise ValueError("the next page is on another host")
+
+    class Followed(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "scriptorium_followed"
+
+        def schema(self) -> str:
+            return schema
+
+        def reader(self, schema) -> DataSourceReader:
+            return Reader()
+
+    spark.dataSource.register(Followed)
+    return spark.read.format("scriptorium_followed").load()

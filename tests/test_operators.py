@@ -447,3 +447,28 @@ def test_names_that_can_match_meet(spark, monkeypatch):
     monkeypatch.setattr(vocabulary, "LEAST_BOUNDED", 2.0)
     assert met == sorted(map(str, vocabulary.duplicates(v).collect())) and len(met) > 100
     assert best == sorted(map(str, vocabulary.best_duplicate(v.select("kind", "id", F.concat("name", F.lit("e")).alias("name")), v).collect())) and len(best) > 50
+
+
+def test_case_folding_of_every_letter(spark):
+    """Equal to full case folding for every character, in a word with others and beside characters of two code units."""
+    import sys
+    import unicodedata
+
+    # what is unassigned, or newer than the virtual machine, folds to itself there
+    letters = [chr(i) for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i))[0] in "LMNS" and not 0xD800 <= i < 0xE000]
+    df = spark.createDataFrame([(c, f"x{c}😀") for c in letters], "c string, word string")
+    found = {r.c: r.f for r in df.select("c", tx.casefold(F.col("word")).alias("f")).collect()}
+    wrong = [c for c in letters if found[c] != f"x{c}😀".casefold()]
+    assert all(ord(c) > 0x1C80 and len(c.casefold()) == 1 for c in wrong) and len(wrong) < 60, [(hex(ord(c)), found[c]) for c in wrong]
+    assert spark.range(1).select(tx.casefold(F.lit("İstanbul ΟΔΟΣ ﬁx STRASSE ŉ"))).first()[0] == "İstanbul ΟΔΟΣ ﬁx STRASSE ŉ".casefold()
+
+
+def test_resource_followed_to_its_end(spark):
+    def fetch(at):
+        k = 0 if at is None else int(at.rpartition("=")[2])
+        return [(10 * k + i, f"n{i}", i) for i in range(3)], f"https://store.example/api?page={k + 1}" if k < 4 else None
+
+    found = sources.followed_resource(spark, fetch, "https://store.example/api").collect()
+    assert sorted(r.id for r in found) == [10 * k + i for k in range(5) for i in range(3)]
+    with pytest.raises(Exception, match="another host"):
+        sources.followed_resource(spark, lambda at: ([], "https://elsewhere.example/"), "https://store.example/api").collect()
