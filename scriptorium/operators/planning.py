@@ -169,13 +169,53 @@ def usable_tag(tags: DataFrame, candidate_ids: Column, growth: bool, watch: str
     return (F.col("confidence") >= min_confidence) & (F.coalesce(F.array_contains(candidate_ids, F.col("existing_id")), F.lit(False)) | F.coalesce(new, F.lit(False)))
 
 
+FIELDS, PLANNED = "array<struct<field:bigint,value:string>>", "array<struct<field:bigint,value:string,defined:boolean>>"
+
+
+def _with_custom_fields(documents: DataFrame) -> DataFrame:
+    """documents with the two columns of custom fields, in the types of FIELDS and PLANNED; missing or null ones are empty."""
+    kinds = {"custom_fields": FIELDS, "new_custom_fields": PLANNED}
+    given = {c: F.coalesce(F.col(c).cast(kind), F.array().cast(kind)) if c in documents.columns else F.array().cast(kind) for c, kind in kinds.items()}
+    return documents.withColumns(given)
+
+
+def _custom_fields(overwrite: bool) -> Column:
+    """(fields, changed, withheld): custom_fields after new_custom_fields, one after the other.
+
+    Of current values of one field the last counts. An array is folded within its row, so
+    the patch needs no shuffle.
+    """
+
+    def put(fields: Column, item: Column) -> Column:
+        other = F.struct(item.field.alias("field"), item.value.alias("value"))
+        return F.when(F.exists(fields, lambda f: f.field == item.field), F.transform(fields, lambda f: F.when(f.field == item.field, other).otherwise(f))).otherwise(F.concat(fields, F.array(other)))
+
+    def step(done: Column, item: Column) -> Column:
+        there = F.exists(done.fields, lambda f: f.field == item.field)
+        full = F.exists(done.fields, lambda f: (f.field == item.field) & (F.coalesce(f.value, F.lit("")) != ""))
+        defined = F.coalesce(item.defined, F.lit(False))
+        take = F.lit(overwrite) | F.when(defined, ~there).otherwise(~full)
+        return F.struct(
+            F.when(take, put(done.fields, item)).otherwise(done.fields).alias("fields"),
+            (done.changed | take).alias("changed"),
+            F.when(take | defined, done.withheld).otherwise(F.concat(done.withheld, F.array(item.field))).alias("withheld"),
+        )
+
+    current = F.aggregate(F.filter("custom_fields", lambda f: f.field.isNotNull()), F.array().cast(FIELDS), put)
+    start = F.struct(current.alias("fields"), F.lit(False).alias("changed"), F.array().cast("array<bigint>").alias("withheld"))
+    return F.aggregate(F.filter("new_custom_fields", lambda f: f.field.isNotNull()), start, step)
+
+
 def patch(documents: DataFrame, overwrite: bool = False) -> DataFrame:
     """One conservative patch a document; null fields are not changed.
 
     documents: id, tags, correspondent, document_type, title, original_file_name, created, added
     (texts) and the plan as new_tags (array), watch_tag, new_correspondent,
-    new_document_type, new_title, new_date.
+    new_document_type, new_title, new_date. Optional: custom_fields, an array of (field,
+    value), and new_custom_fields, of (field, value, defined), in the order of the plan, where
+    `defined` marks values of new definitions, which fill absent fields but not empty ones.
     """
+    documents = _with_custom_fields(documents)
     left = F.filter("tags", lambda t: ~F.coalesce(t == F.col("watch_tag"), F.lit(False)))
     tags = F.array_sort(F.array_distinct(F.concat(left, F.coalesce("new_tags", F.array().cast("array<long>")))))
     old = F.array_sort(F.array_distinct("tags"))
@@ -185,23 +225,28 @@ def patch(documents: DataFrame, overwrite: bool = False) -> DataFrame:
     generic = tx.generic_title(F.col("title"), F.col("original_file_name"))
     day = F.left(F.coalesce("created", F.lit("")), F.lit(10))
     undated = (day == "") | (day == F.left(F.coalesce("added", F.lit("")), F.lit(10)))
-    out = documents.select(
+    custom = _custom_fields(overwrite)
+    out = documents.withColumn("custom", custom).select(
         "id",
         F.when(tags != old, tags).alias("tags"),
         single("new_correspondent", "correspondent").alias("correspondent"),
         single("new_document_type", "document_type").alias("document_type"),
         F.when(F.col("new_title").isNotNull() & (F.lit(overwrite) | generic), F.left("new_title", F.lit(128))).alias("title"),
         F.when(F.col("new_date").isNotNull() & (F.lit(overwrite) | undated), F.col("new_date")).alias("created"),
-        F.array_compact(
-            F.array(
-                held("correspondent", "new_correspondent", missing("correspondent"), "existing value preserved"),
-                held("document_type", "new_document_type", missing("document_type"), "existing value preserved"),
-                held("title", "new_title", generic, "non-generic existing title preserved"),
-                held("created", "new_date", undated, "existing intrinsic date preserved"),
-            )
+        F.when(F.col("custom.changed"), F.col("custom.fields")).alias("custom_fields"),
+        F.concat(
+            F.array_compact(
+                F.array(
+                    held("correspondent", "new_correspondent", missing("correspondent"), "existing value preserved"),
+                    held("document_type", "new_document_type", missing("document_type"), "existing value preserved"),
+                    held("title", "new_title", generic, "non-generic existing title preserved"),
+                    held("created", "new_date", undated, "existing intrinsic date preserved"),
+                )
+            ),
+            F.transform("custom.withheld", lambda f: F.concat(F.lit("custom_field:"), f.cast("string"), F.lit(": existing value preserved"))),
         ).alias("withheld"),
     )
-    named = [F.when(F.col(c).isNotNull(), F.lit(c)) for c in ("correspondent", "created", "document_type", "tags", "title")]
+    named = [F.when(F.col(c).isNotNull(), F.lit(c)) for c in ("correspondent", "created", "custom_fields", "document_type", "tags", "title")]
     return out.withColumn("patch_fields", F.array_compact(F.array(*named)))
 
 

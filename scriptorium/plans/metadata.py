@@ -107,6 +107,21 @@ def apply_patch(spark, sf_dir):
     return p.select("id", F.array_join("tags", ",").alias("tags"), "correspondent", "document_type", "title", "created", F.array_join("withheld", "; ").alias("withheld"), F.array_join("patch_fields", ",").alias("patch_fields"))
 
 
+def patched_custom_fields(spark, sf_dir):
+    """Patches of orders with custom fields: field 1 is filled or held, fields 1 and 2 come from new definitions."""
+    k, none = K("o_orderkey"), F.lit(None)
+    field = lambda when, n, value, *more: F.when(when, F.struct(F.lit(n).alias("field"), value.alias("value"), *more))
+    defined = lambda x: F.lit(x).alias("defined")
+    planned = F.array(field(k % 5 != 0, 1, K("o_orderpriority"), defined(False)), field(k % 7 == 0, 1, K("o_orderstatus"), defined(True)), field(k % 4 == 0, 2, K("o_custkey").cast("string"), defined(True)))
+    d = table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.array().cast("array<long>").alias("tags"), none.cast("array<long>").alias("new_tags"), *[none.cast("long").alias(c) for c in ("correspondent", "document_type", "watch_tag", "new_correspondent", "new_document_type")],
+        *[none.cast("string").alias(c) for c in ("title", "original_file_name", "created", "added", "new_title", "new_date")],
+        F.array_compact(F.array(field(k % 3 != 0, 1, F.when(k % 2 == 0, "").otherwise(K("o_orderstatus"))))).alias("custom_fields"), F.array_compact(planned).alias("new_custom_fields"),
+    )
+    shown = F.transform("custom_fields", lambda f: F.concat(f.field.cast("string"), F.lit("="), f.value))
+    return planning.patch(d).select("id", F.array_join(shown, ";").alias("custom_fields"), F.array_join("withheld", "; ").alias("withheld"), F.array_join("patch_fields", ",").alias("patch_fields"))
+
+
 def decision_summary(spark, sf_dir):
     """Status of each decision and what kinds there are, from the patch."""
     p = apply_patch(spark, sf_dir)
@@ -162,6 +177,10 @@ ORACLES = {
     "vocabulary_gate": """WITH p AS (SELECT s_suppkey % 10 AS document_id, 'tag' AS kind, s_suppkey::INTEGER AS pos, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey % 2 END AS existing_id,
    CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 2 = 1 THEN 'N' || s_suppkey ELSE lower(s_name) END AS new_name FROM supplier WHERE s_suppkey % 3 <> 0)
  SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY document_id, coalesce(existing_id::VARCHAR, 'new ' || pos) ORDER BY pos) = 1""",
+    "patched_custom_fields": """WITH c AS (SELECT *, o_orderkey AS k, CASE WHEN o_orderkey % 3 <> 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE o_orderstatus END END AS old FROM orders),
+ p AS (SELECT *, coalesce(CASE WHEN k % 5 <> 0 AND coalesce(old, '') = '' THEN o_orderpriority ELSE old END, CASE WHEN k % 7 = 0 THEN o_orderstatus END) AS one, CASE WHEN k % 4 = 0 THEN o_custkey::VARCHAR END AS two FROM c),
+ q AS (SELECT *, one IS DISTINCT FROM old OR two IS NOT NULL AS changed FROM p)
+ SELECT k AS id, CASE WHEN changed THEN concat_ws(';', '1=' || one, '2=' || two) END AS custom_fields, CASE WHEN k % 5 <> 0 AND old <> '' THEN 'custom_field:1: existing value preserved' ELSE '' END AS withheld, CASE WHEN changed THEN 'custom_fields' ELSE '' END AS patch_fields FROM q""",
     "filled_custom_values": """SELECT o_orderkey AS document_id, 1 AS field_id, CASE WHEN o_orderkey % 5 <> 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 2 = 0) THEN o_orderpriority WHEN o_orderkey % 2 = 0 THEN '' ELSE o_orderstatus END AS value FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 5 <> 0""",
 }
 ORACLES["decision_summary"] = f"SELECT CASE WHEN patch_fields <> '' THEN 'applied' ELSE 'no_change' END AS status, patch_fields, count(*) AS n FROM ({ORACLES['apply_patch']}) GROUP BY 1, 2"

@@ -16,22 +16,45 @@ def changed(documents: DataFrame, state: DataFrame) -> DataFrame:
     return both.filter(F.col("seen").isNull() | ~F.col("modified").eqNullSafe(F.col("seen_modified"))).drop("seen", "seen_modified")
 
 
-def discover(spark: SparkSession, folder: str, schema: StructType, state_path: str, checkpoint: str, enqueue: Callable[[DataFrame, int], None]) -> None:
-    """Runs all files of a change feed through changed(), newest first, and appends the new state.
+STATE = "document_id long, modified string, batch long"
+#: After so many batches the state is written whole, one row a document.
+COMPACT_EVERY = 50
+
+
+def _last_whole(spark: SparkSession, state_path: str, number: int) -> int:
+    """Number of the last batch before this one that the whole state was written for; -1: none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/whole")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    named = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+    return max((n for n in (int(x.removeprefix("batch=")) for x in named if x.startswith("batch=")) if n < number), default=-1)
+
+
+def state_before(spark: SparkSession, state_path: str, number: int) -> DataFrame:
+    """(document_id, modified, batch) as it was before a batch: the last whole state and the changes since."""
+    whole = _last_whole(spark, state_path, number)
+    changes = [f"{state_path}/changes/batch={n}" for n in range(whole + 1, number)]
+    folders = ([f"{state_path}/whole/batch={whole}"] if whole >= 0 else []) + changes
+    rows = spark.read.schema(STATE).parquet(*folders) if folders else spark.createDataFrame([], STATE)
+    return rows.groupBy("document_id").agg(F.max_by("modified", "batch").alias("modified"), F.max("batch").alias("batch"))
+
+
+def discover(spark: SparkSession, folder: str, schema: StructType, state_path: str, checkpoint: str, enqueue: Callable[[DataFrame, int], None], compact_every: int = COMPACT_EVERY) -> None:
+    """Runs all files of a change feed through changed(), newest first, and keeps the new state.
 
     State is written for what was enqueued, so a document that keeps failing is not
-    enqueued at every run. Batches are numbered; a repeated batch appends the same rows,
-    and readers take the last state of a document.
+    enqueued at every run. Batches are numbered and each has a folder of its own, so a
+    repeated batch replaces what it wrote before. Every `compact_every` batches the state
+    is written whole, so a batch reads one whole state and fewer changes than that; folders
+    of earlier batches are not read any more and can be removed.
     """
-    spark.createDataFrame([], "document_id long, modified string, batch long").write.mode("append").parquet(state_path)
 
     def batch(rows: DataFrame, number: int) -> None:
-        state = spark.read.schema("document_id long, modified string, batch long").parquet(state_path).filter(F.col("batch") < number)
-        state = state.groupBy("document_id").agg(F.max_by("modified", "batch").alias("modified"))
         newest = rows.groupBy("id").agg(F.max("modified").alias("modified"))
-        found = changed(newest, state).withColumn("batch", F.lit(number).cast("long"))
+        found = changed(newest, state_before(spark, state_path, number)).withColumn("batch", F.lit(number).cast("long"))
         enqueue(found.orderBy(F.desc("modified"), "id"), number)
-        found.select(F.col("id").alias("document_id"), "modified", "batch").write.mode("append").parquet(state_path)
+        found.select(F.col("id").alias("document_id"), "modified", "batch").write.mode("overwrite").parquet(f"{state_path}/changes/batch={number}")
+        if number % compact_every == compact_every - 1:
+            state_before(spark, state_path, number + 1).write.mode("overwrite").parquet(f"{state_path}/whole/batch={number}")
 
     feed = spark.readStream.schema(schema).parquet(folder)
     feed.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(batch).start().awaitTermination()

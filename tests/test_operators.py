@@ -1,6 +1,7 @@
 """Operators on literal rows."""
 
 import json
+import shutil
 import subprocess
 import sys
 
@@ -253,6 +254,27 @@ def test_patch(spark):
     assert planning.patch(spark.createDataFrame(rows[:1], kinds), overwrite=True).first().document_type == 8
 
 
+def test_patch_custom_fields(spark):
+    plain = "id long, tags array<long>, correspondent long, document_type long, title string, original_file_name string, created string, added string, new_tags array<long>, watch_tag long, new_correspondent long, new_document_type long, new_title string, new_date string"
+    kinds = plain + ", custom_fields array<struct<field:long,value:string>>, new_custom_fields array<struct<field:long,value:string,defined:boolean>>"
+    none = [[], *[None] * 12]
+    rows = [
+        (1, *none, [(4, "a"), (5, ""), (6, None)], [(4, "x", False), (5, "y", False), (6, "z", False), (7, "w", False)]),
+        (2, *none, [(4, "a"), (5, "")], [(4, "x", True), (5, "y", True), (8, "n", True)]),
+        (3, *none, [(4, "a"), (4, "b"), (None, "c")], [(4, "x", False)]),
+        (4, *none, None, [(9, "", False), (9, "p", False), (9, "q", True)]),
+        (5, *none, [(4, "a")], None),
+    ]
+    found = {r.id: ([tuple(f) for f in r.custom_fields] if r.custom_fields is not None else None, r.withheld, r.patch_fields) for r in planning.patch(spark.createDataFrame(rows, kinds)).collect()}
+    assert found[1] == ([(4, "a"), (5, "y"), (6, "z"), (7, "w")], ["custom_field:4: existing value preserved"], ["custom_fields"])
+    assert found[2] == ([(4, "a"), (5, ""), (8, "n")], [], ["custom_fields"])
+    assert found[3] == (None, ["custom_field:4: existing value preserved"], [])
+    assert found[4] == ([(9, "p")], [], ["custom_fields"])
+    assert found[5] == (None, [], [])
+    over = {r.id: r.custom_fields for r in planning.patch(spark.createDataFrame(rows, kinds), overwrite=True).collect()}
+    assert [tuple(f) for f in over[1]] == [(4, "x"), (5, "y"), (6, "z"), (7, "w")] and [tuple(f) for f in over[3]] == [(4, "x")] and [tuple(f) for f in over[4]] == [(9, "q")] and over[5] is None
+
+
 def test_custom_values_and_verdicts(spark):
     p = spark.createDataFrame([(1, 0, 5, "1", 0.9), (1, 1, 5, "2", 0.9), (1, 2, 9, "x", 0.9), (1, 3, 5, "no", 0.9), (1, 4, 5, "3", 0.1)], "document_id long, pos int, field_id int, value string, confidence double")
     d = spark.createDataFrame([(5, "n", "integer", None)], "field_id int, name string, data_type string, currency string")
@@ -403,6 +425,20 @@ def test_discovery(spark, tmp_path):
     assert out == [[(2, "b"), (1, "a")], [(3, "d"), (2, "c")]]
 
 
+def test_discovery_compacts_its_state(spark, tmp_path):
+    feed, state, out = str(tmp_path / "feed"), tmp_path / "state", []
+    schema = spark.createDataFrame([], "id long, modified string").schema
+    for n in range(5):
+        spark.createDataFrame([(0, "same"), (1, f"v{n // 2}"), (10 + n, None)], schema).write.mode("append").parquet(feed)
+        discovery.discover(spark, feed, schema, str(state), str(tmp_path / "cp"), lambda df, n: out.append(sorted(r.id for r in df.collect())), compact_every=2)
+    assert out == [[0, 1, 10], [11], [1, 12], [13], [1, 14]]
+    assert sorted(x.name for x in (state / "whole").iterdir()) == ["batch=1", "batch=3"]
+    for old in ("changes/batch=0", "changes/batch=1", "whole/batch=1", "changes/batch=2", "changes/batch=3"):
+        shutil.rmtree(state / old)  # nothing before the last whole state is read
+    kept = {r.document_id: (r.modified, r.batch) for r in discovery.state_before(spark, str(state), 5).collect()}
+    assert kept == {0: ("same", 0), 1: ("v2", 4), 10: (None, 0), 11: (None, 1), 12: (None, 2), 13: (None, 3), 14: (None, 4)}
+
+
 def test_library_does_without_training_data():
     code = "import sys; sys.modules['corpus_pipeline'] = None; sys.modules['scriptorium.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not [n for n in q if n.startswith('op') or n == 'pipeline']"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
