@@ -1,6 +1,6 @@
 """The opN queries of this subpackage and the SQL that checks them."""
 
-from . import byte_bpe, chat_format, cross_polytope, exact_dedup, html_extract, language_id, license_scan, mixing, ngram_join, unigram_counts
+from . import byte_bpe, chat_format, cross_polytope, exact_dedup, html_extract, importance, language_id, license_scan, mixing, ngram_join, unigram_counts
 
 _QUERIES = [
     exact_dedup.op1_exact_dedup,
@@ -13,6 +13,7 @@ _QUERIES = [
     mixing.op8_mixing,
     unigram_counts.op9_unigram_counts,
     ngram_join.op10_ngram_join,
+    importance.op12_importance_resampling,
 ]
 
 
@@ -21,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op6_chat_format": chat_format.ORACLE, "op8_mixing": mixing.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op6_chat_format": chat_format.ORACLE, "op8_mixing": mixing.ORACLE, "op12_importance_resampling": importance.ORACLE}
