@@ -89,10 +89,9 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT) -> Dat
             break
         starts.append((score, ahead))
         ahead += n
-    spark = docs.sparkSession
-    starts = spark.createDataFrame(starts, "_score long, _ahead long")
-    lowest = F.broadcast(starts.agg(F.min("_score").alias("_lowest")))
-    rows = rows.join(lowest, how="left").withColumn("_in", F.coalesce(able & (F.col("score") >= F.col("_lowest")), F.lit(False))).drop("_lowest")
+    lowest = starts[-1][0] if starts else None
+    starts = docs.sparkSession.createDataFrame(starts, "_score long, _ahead long")
+    rows = rows.withColumn("_in", F.coalesce(able & (F.col("score") >= F.lit(lowest)), F.lit(False)))
     order = Window.partitionBy("score").orderBy(F.col("doc_id").asc_nulls_last(), "n_features")
     drawn = rows.filter("_in").join(F.broadcast(starts), F.col("score") == F.col("_score")).withColumn("rank", F.col("_ahead") + F.row_number().over(order))
     drawn = drawn.withColumn("rank", F.when(F.col("rank") <= left, F.col("rank"))).select("doc_id", "n_words", "n_features", "weight", "score", "rank")

@@ -1,6 +1,6 @@
 """The opN queries of this subpackage and the SQL that checks them."""
 
-from . import byte_bpe, chat_format, cross_polytope, exact_dedup, html_extract, importance, language_id, license_scan, mixing, ngram_join, unigram_counts
+from . import byte_bpe, chat_format, conversation_repair, cross_polytope, exact_dedup, html_extract, importance, language_id, license_scan, mixing, ngram_join, pitman_yor, unigram_counts
 
 _QUERIES = [
     exact_dedup.op1_exact_dedup,
@@ -13,7 +13,9 @@ _QUERIES = [
     mixing.op8_mixing,
     unigram_counts.op9_unigram_counts,
     ngram_join.op10_ngram_join,
+    conversation_repair.op11_conversation_repair,
     importance.op12_importance_resampling,
+    pitman_yor.op13_lm_scoring,
 ]
 
 
@@ -22,4 +24,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op6_chat_format": chat_format.ORACLE, "op8_mixing": mixing.ORACLE, "op12_importance_resampling": importance.ORACLE}
+    return {
+        "op1_exact_dedup": exact_dedup.ORACLE,
+        "op6_chat_format": chat_format.ORACLE,
+        "op8_mixing": mixing.ORACLE,
+        "op11_conversation_repair": conversation_repair.ORACLE,
+        "op12_importance_resampling": importance.ORACLE,
+    }
