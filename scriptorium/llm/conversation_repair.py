@@ -124,14 +124,14 @@ def damaged(conversations: DataFrame) -> DataFrame:
 def marked(rows: DataFrame) -> DataFrame:
     """conv_id, turn, role, text plus place (from 1), initial and fault."""
     rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
-    alike = Window.partitionBy("conv_id", "role", F.sha2(F.col("text").cast("binary"), 256)).orderBy(F.col("turn").asc_nulls_first())
+    alike = Window.partitionBy("conv_id", "role", F.sha2(F.col("text").cast("binary"), 256)).orderBy("place")
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     fault = (
         F.when(~F.col("text").rlike(f"[^{SPACE}]"), "blank")
         .when(F.row_number().over(alike) > 1, "duplicate")
         .when(~F.col("text").rlike(rf"[.!?][{SPACE}]*\z"), "truncated")
     )
-    return rows.withColumns({"fault": fault, "initial": F.substring("role", 1, 1)}).withColumn("place", F.row_number().over(order))
+    return rows.withColumn("place", F.row_number().over(order)).withColumns({"fault": fault, "initial": F.substring("role", 1, 1)})
 
 
 AUDIT = "conv_id {}, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, edits array<struct<at int, place int, edit string, role string>>"
@@ -250,11 +250,13 @@ c AS (
 ), d AS (
   SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
   FROM (SELECT *, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c)
+), w AS (
+  SELECT *, substr(role, 1, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM d
 ), m AS (
-  SELECT *, substr(role, 1, 1) AS initial, row_number() OVER w AS place, lag(substr(role, 1, 1)) OVER w AS before,
-    CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 THEN 'duplicate'
+  SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY place) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
       WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault
-  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+  FROM w
 ), g AS (
   SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
     count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (place > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
@@ -266,11 +268,11 @@ c AS (
   SELECT * EXCLUDE (s), least(s[1], s[4], {_add("s[3]", "3", "I")}, {_add(_add("least(s[1], s[2], s[4])", "3", "I"), "3", "I")}) AS weight FROM f
 ), a AS (SELECT * EXCLUDE (weight), substr(weight, 1, 9)::BIGINT AS cost, substr(weight, 10) AS audit FROM e),
 l AS (
-  SELECT conv_id, audit, length(replace(audit, 'D', '')) % 2 AS odd, unnest(range(1, length(audit) + 1)) AS at FROM a
+  SELECT conv_id, audit, length(replace(audit, 'D', '')) % 2 AS odd, unnest(range(1, length(audit) + 1)) AS nth FROM a
 ), o AS (
-  SELECT conv_id, at, substr(audit, at, 1) AS edit, length(replace(substr(audit, 1, at), 'I', '')) AS place, (length(replace(substr(audit, 1, at), 'D', '')) + odd) % 2 AS even FROM l
+  SELECT conv_id, nth, substr(audit, nth, 1) AS edit, length(replace(substr(audit, 1, nth), 'I', '')) AS place, (length(replace(substr(audit, 1, nth), 'D', '')) + odd) % 2 AS even FROM l
 ), p AS (
-  SELECT o.conv_id, sha256(string_agg(CASE edit WHEN 'K' THEN m.role ELSE CASE even WHEN 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE edit WHEN 'I' THEN '' ELSE m.text END, chr(10) ORDER BY at)) AS sha
+  SELECT o.conv_id, sha256(string_agg(CASE edit WHEN 'K' THEN m.role ELSE CASE even WHEN 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE edit WHEN 'I' THEN '' ELSE m.text END, chr(10) ORDER BY nth)) AS sha
   FROM o JOIN m ON o.conv_id IS NOT DISTINCT FROM m.conv_id AND m.place = greatest(o.place, 1) WHERE edit <> 'D' GROUP BY o.conv_id
 )
 SELECT n.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
