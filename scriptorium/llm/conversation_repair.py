@@ -19,7 +19,7 @@ anyway); texts meet their edits by conversation and place.
 
 Cases: null role or text is one space; a null conversation is a conversation; a null turn counts as
 one space in the damage and comes first; repeated rows are duplicates. A role that is none of the
-grammar's is reroled or deleted. A conversation without rows keeps zeros and an empty
+grammar's, or empty, is reroled or deleted. A conversation without rows keeps zeros and an empty
 audit. No rows give no result. Other columns do not matter, whatever their names.
 """
 
