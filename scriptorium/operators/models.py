@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,21 +106,33 @@ def asked(rows: DataFrame, client: Callable[[str], str] = stub) -> DataFrame:
 def map_reduce(chunks: DataFrame, combine: Callable[[list[str]], str], most_items: int = 16, budget: int = 24_000) -> DataFrame:
     """chunks (document_id, chunk_index, finding) -> (document_id, finding, levels).
 
-    A document's findings are combined in groups, level by level, until one is left.
+    A document's findings are combined in groups, level by level, until one is left. A level is
+    a packing and one call of combine a group, which holds most_items findings at most (where
+    nothing fits together, pairs), so a document's findings are never in one task together.
     """
-    from scriptorium.operators.pages import budgeted_groups
-
-    def of_document(pdf: pd.DataFrame) -> pd.DataFrame:
-        found, levels = pdf.sort_values("chunk_index").finding.tolist(), 0
-        while len(found) > 1:
-            groups = budgeted_groups((len(json.dumps(x, ensure_ascii=False)) for x in found), most_items, budget)
-            if groups[-1] == len(found) - 1:  # nothing fits together; pairs do
-                groups = [i // 2 for i in range(len(found))]
-            found = [combine([x for x, g in zip(found, groups, strict=True) if g == k]) for k in range(groups[-1] + 1)]
-            levels += 1
-        return pd.DataFrame({"document_id": [pdf.document_id.iloc[0]], "finding": found, "levels": [levels]})
-
-    return chunks.select("document_id", "chunk_index", "finding").groupBy("document_id").applyInPandas(of_document, "document_id long, finding string, levels int")
+    from scriptorium.operators.packing import packed
+
+    def of_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = pdf.sort_values("chunk_index").finding.tolist()
+        return pd.DataFrame({"document_id": [pdf.document_id.iloc[0]], "chunk_index": [pdf.group.iloc[0]], "finding": [combine(found)]})
+
+    rows = kept(chunks.select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "finding"))
+    done, level = None, 0
+    while True:
+        counts = rows.groupBy("document_id").count()
+        whole = rows.join(counts.filter("count = 1"), "document_id", "left_semi").select("document_id", "finding", F.lit(level).alias("levels"))
+        done = whole if done is None else done.unionByName(whole)
+        rows = rows.join(counts.filter("count > 1"), "document_id", "left_semi")
+        if rows.isEmpty():
+            return done
+        sized = rows.withColumn("_chars", F.length(F.to_json(F.struct(F.coalesce("finding", F.lit("")).alias("f")))) - len('{"f":}'))
+        groups = kept(packed(sized, ["document_id"], ["chunk_index"], "_chars", budget, gap=1, first_gap=3, most_items=most_items))
+        stuck = groups.groupBy("document_id").agg((F.max("group") + 1 == F.count("*")).alias("_stuck"))
+        place = F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index")) - 1
+        groups = groups.join(stuck, "document_id").withColumn("group", F.when(F.col("_stuck"), F.floor(place / 2)).otherwise(F.col("group")))
+        rows = kept(groups.select("document_id", "chunk_index", "finding", "group").groupBy("document_id", "group").applyInPandas(of_group, "document_id long, chunk_index long, finding string"))
+        level += 1
+
 
 
 def pending_pages(pages: DataFrame, results: DataFrame) -> DataFrame:

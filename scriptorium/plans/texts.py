@@ -35,8 +35,8 @@ def meaningful_text(spark, sf_dir):
 
 
 def token_counts(spark, sf_dir):
-    """How often each word of four letters or more occurs, and in how many documents."""
-    t = _documents(spark, sf_dir).select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token")).filter(F.length("token") >= 4)
+    """How often each word occurs, and in how many documents."""
+    t = _documents(spark, sf_dir).select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token"))
     return t.groupBy("token", "doc_id").count().groupBy("token").agg(F.sum("count").alias("n"), F.count("*").alias("n_documents"))
 
 
@@ -116,6 +116,13 @@ def pages_typed_text(spark, sf_dir):
     return p.select("page_id", has.alias("marked"), F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
 
 
+def budgeted_groups(spark, sf_dir):
+    """The names of each brand's parts in groups of at most 16 and 300 characters of JSON."""
+    p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.length("p_name") + 2).alias("chars"))
+    groups = pages.budgeted_groups(p, ["p_brand"], ["p_partkey"], "chars", 16, 300)
+    return groups.select("p_brand", "p_partkey", F.col("group").alias("group_no"))
+
+
 def map_reduce_stub(spark, sf_dir):
     c = chunk_documents(spark, sf_dir)
     asked = models.asked(c.select("document_id", "chunk_index", F.col("text").alias("prompt")))
@@ -124,10 +131,59 @@ def map_reduce_stub(spark, sf_dir):
 
 
 T = duck_tokens("text")
+_WS = "' ' || chr(9) || chr(10) || chr(13)"
+_FILLED = f"list_filter(list_transform({{}}, lambda p: trim(p, {_WS})), lambda p: p <> '')"
+_CUT = "list_transform(range(0, length({0}), 968), lambda i: substr({0}, i + 1, 968))"
+#: Pieces of pages, then greedy runs of them one by one; limit 1000, so 968 for a piece.
+_CHUNKS = f"""
+WITH RECURSIVE t AS (SELECT conv_id AS document_id, turn + 1 AS page, trim(text, {_WS}) AS t FROM conversations),
+k AS (SELECT *, {_FILLED.format("regexp_split_to_array(t, '\\n\\s*\\n')")} AS paragraphs, {_FILLED.format("string_split(t, chr(10))")} AS lines FROM t),
+c AS (SELECT document_id, page, CASE WHEN t = '' THEN [] WHEN length(t) <= 968 THEN [t] ELSE
+    list_reduce(list_transform(CASE WHEN len(paragraphs) > 1 THEN paragraphs WHEN len(lines) > 1 THEN lines ELSE [t] END, lambda p: [p]), lambda acc, x:
+      CASE WHEN length(x[1]) > 968 THEN acc || {_CUT.format("x[1]")} || ['']
+        WHEN acc[len(acc)] = '' THEN acc[1:len(acc) - 1] || x
+        WHEN length(acc[len(acc)]) + 2 + length(x[1]) <= 968 THEN acc[1:len(acc) - 1] || [acc[len(acc)] || chr(10) || chr(10) || x[1]]
+        ELSE acc || x END, ['']::VARCHAR[]) END AS pieces FROM k),
+u AS (SELECT document_id, page, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS nth FROM c),
+i AS (SELECT document_id, page, '[Page ' || page || ']' || chr(10) || piece AS x, row_number() OVER (PARTITION BY document_id ORDER BY page, nth) AS k FROM u WHERE piece <> ''),
+r AS (
+  SELECT document_id, page, x, k, 0 AS g, length(x) + 2 AS used FROM i WHERE k = 1
+  UNION ALL SELECT i.document_id, i.page, i.x, i.k, CASE WHEN used + 2 + length(i.x) > 1000 THEN g + 1 ELSE g END, CASE WHEN used + 2 + length(i.x) > 1000 THEN 2 ELSE used + 2 END + length(i.x)
+  FROM r JOIN i ON i.document_id = r.document_id AND i.k = r.k + 1
+), chunk AS (
+  SELECT document_id, g::INTEGER AS chunk_index, min(page)::INTEGER AS page_start, max(page)::INTEGER AS page_end, string_agg(x, chr(10) || chr(10) ORDER BY k) AS text FROM r GROUP BY document_id, g
+)"""
+_LOOP = "CASE WHEN len({u}) >= 3 THEN list_filter(range(1, least({most}, len({u}) // 3) + 1), lambda p: {u}[len({u}) - 2 * p + 1:len({u})] = {u}[len({u}) - 3 * p + 1:len({u}) - p])[1] END"
+_KEPT = f"rtrim(array_to_string({{u}}[1:len({{u}}) - (len({{u}}) - {{p}} - coalesce(list_max(list_filter(range(1, len({{u}}) - {{p}} + 1), lambda k: {{u}}[k] <> {{u}}[k + {{p}}])), 0)) // {{p}} * {{p}}], {{glue}}), {_WS})"
 ORACLES = {
+    "chunk_documents": f"{_CHUNKS} SELECT * FROM chunk",
+    "map_reduce_stub": f"""{_CHUNKS}
+SELECT document_id, sum(len(regexp_extract_all(text, '\\S+')))::BIGINT::VARCHAR AS finding, CASE WHEN count(*) = 1 THEN 0 WHEN count(*) <= 4 THEN 1 WHEN count(*) <= 16 THEN 2 WHEN count(*) <= 64 THEN 3 ELSE 4 END::INTEGER AS levels
+FROM chunk GROUP BY document_id""",
+    "budgeted_groups": """
+WITH RECURSIVE i AS (SELECT p_brand, p_partkey, length(p_name) + 3 AS s, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part),
+r AS (
+  SELECT p_brand, p_partkey, k, 0 AS g, 2 + s AS used, 1 AS n FROM i WHERE k = 1
+  UNION ALL SELECT i.p_brand, i.p_partkey, i.k, CASE WHEN n = 16 OR used + s > 300 THEN g + 1 ELSE g END, CASE WHEN n = 16 OR used + s > 300 THEN 2 ELSE used END + s, CASE WHEN n = 16 OR used + s > 300 THEN 1 ELSE n + 1 END
+  FROM r JOIN i ON i.p_brand = r.p_brand AND i.k = r.k + 1
+) SELECT p_brand, p_partkey, g::BIGINT AS group_no FROM r""",
+    "representative_text": f"""
+WITH t AS (SELECT conv_id AS document_id, turn + 1 AS page, trim(text, {_WS}) AS t FROM conversations),
+f AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY document_id) AS n, sum(length('[Page ' || page || ']') + 3 + length(t)) OVER (PARTITION BY document_id) - 2 <= 2000 AS whole
+  FROM t WHERE t <> '' WINDOW w AS (PARTITION BY document_id ORDER BY page)),
+r AS (SELECT *, greatest(128, 2000 // least(n, 8) - 24) AS room FROM f
+  WHERE whole OR k IN (SELECT round_even(i * (n - 1)::DOUBLE / greatest(least(n, 8) - 1, 1), 0)::BIGINT FROM range(8) x(i) WHERE i < least(n, 8))),
+s AS (SELECT document_id, k, '[Page ' || page || ']' || chr(10) || CASE WHEN whole OR length(t) <= room THEN t ELSE substr(t, 1, room - greatest(32, room // 4) - 5) || ' [...] ' || right(t, greatest(32, room // 4)) END AS x FROM r)
+SELECT document_id, substr(coalesce(string_agg(x, chr(10) || chr(10) ORDER BY k), ''), 1, 2000) AS text FROM (SELECT DISTINCT document_id FROM t) LEFT JOIN s USING (document_id) GROUP BY document_id""",
+    "trim_runaway": f"""
+WITH t AS (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN repeat(chr(10) || 'Page 1 of 1', 40) ELSE '' END AS x FROM documents),
+u AS (SELECT *, trim(x, {_WS}) AS w, string_split(trim(x, {_WS}), chr(10)) AS l, string_split(trim(x, {_WS}), ' ') AS v FROM t),
+p AS (SELECT *, {_LOOP.format(u="l", most=40)} AS pl, {_LOOP.format(u="v", most=60)} AS pv FROM u),
+k AS (SELECT *, CASE WHEN pl IS NOT NULL THEN {_KEPT.format(u="l", p="pl", glue="chr(10)")} END AS kl, CASE WHEN pv IS NOT NULL THEN {_KEPT.format(u="v", p="pv", glue="' '")} END AS kv FROM p)
+SELECT doc_id, CASE WHEN 2 * length(kl) <= length(w) THEN kl WHEN 2 * length(kv) <= length(w) THEN kv ELSE x END AS text FROM k""",
     "token_stats": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, coalesce(list_sum(list_transform(t, lambda x: length(x))), 0)::BIGINT AS n_chars FROM (SELECT doc_id, {T} AS t FROM documents)",
     "meaningful_text": f"SELECT doc_id, coalesce(list_sum(list_transform(t, lambda x: length(x))), 0) >= 24 AND len(list_distinct(t)) >= 5 AS meaningful FROM (SELECT doc_id, {T} AS t FROM documents)",
-    "token_counts": f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_documents FROM (SELECT doc_id, unnest({T}) AS token FROM documents) WHERE length(token) >= 4 GROUP BY token",
+    "token_counts": f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_documents FROM (SELECT doc_id, unnest({T}) AS token FROM documents) GROUP BY token",
     "numeric_terms": f"SELECT doc_id, len(t) AS n_terms, array_to_string(t, ' ') AS terms FROM (SELECT doc_id, list_filter({T}, lambda x: regexp_matches(x, '[1-9]')) AS t FROM documents) WHERE len(t) > 0",
     "assembled_documents": "SELECT conv_id AS document_id, string_agg('--- Page ' || (turn + 1) || ' ---' || chr(10) || trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10) || chr(10) ORDER BY turn) || chr(10) AS text FROM conversations GROUP BY conv_id",
     "page_round_trip": "SELECT conv_id AS document_id, (turn + 1)::INTEGER AS page_number, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations",
@@ -178,4 +234,4 @@ d AS (SELECT doc_id, trim(regexp_replace(x, '\n(?:[ \t]*\n){2,}', chr(10) || chr
 SELECT doc_id, text, regexp_matches(lower(text), '^(i cannot|i can''t|i am unable|i''m unable|sorry, i)') AS refusal FROM d""",
 }
 
-QUERIES = {f.__name__: f for f in (token_stats, meaningful_text, token_counts, numeric_terms, ocr_compare_pairs, mismatch_snippets, assembled_documents, page_round_trip, chunk_documents, chunk_page_ranges, representative_text, clean_ocr, trim_runaway, pages_typed_text, map_reduce_stub)}
+QUERIES = {f.__name__: f for f in (token_stats, meaningful_text, token_counts, numeric_terms, ocr_compare_pairs, mismatch_snippets, assembled_documents, page_round_trip, chunk_documents, chunk_page_ranges, representative_text, clean_ocr, trim_runaway, pages_typed_text, budgeted_groups, map_reduce_stub)}

@@ -1,18 +1,19 @@
 """Operators on literal rows."""
 
 import json
+import random
 import shutil
 import subprocess
 import sys
 
 import pytest
-from hypothesis import given
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scriptorium import settings as config
 from scriptorium.functions import text as tx
-from scriptorium.operators import jobs, models, pages, planning, records, similarity, values, vocabulary
+from scriptorium.operators import jobs, models, packing, pages, planning, records, similarity, values, vocabulary
 from scriptorium.sources import documents as sources
 from scriptorium.streaming import discovery
 
@@ -77,10 +78,13 @@ def test_trim_loop(spark):
 
 
 @given(st.lists(st.sampled_from("ab"), max_size=12), st.lists(st.sampled_from("abc"), min_size=1, max_size=4), st.integers(3, 9))
-def test_loop_end_finds_a_repeated_tail(head, block, n):
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_loop_end_is_that_of_the_smallest_period(spark, head, block, n):
     units = head + block * n
-    end = tx.loop_end(units, 40)
-    assert end is not None and end <= len(units) - 2
+    found = spark.createDataFrame([(units,)], "u array<string>").select(tx.loop_end(F.col("u"), 40).alias("e")).first().e
+    p = next(p for p in range(1, len(units)) if units[-2 * p :] == units[-3 * p : -p] and len(units) >= 3 * p)
+    k = max(k for k in range(2, len(units) // p + 1) if units[len(units) - k * p :] == units[-p:] * k)
+    assert found == len(units) - (k - 1) * p
 
 
 def test_refusal_title_and_names(spark):
@@ -171,18 +175,61 @@ def test_candidates(spark):
 # pages
 
 
-def test_chunks_keep_pages():
+PAGES = "document_id long, page_number int, text string"
+
+
+def greedy(sizes, limit, gap, first_gap=0, most=None):
+    """Group of each item, one by one."""
+    out, used, n = [], 0, 0
+    for size in sizes:
+        if n and (used + gap + size > limit or n == most):
+            out.append(out[-1] + 1)
+            used, n = 0, 0
+        else:
+            out.append(out[-1] if out else 0)
+        used += size + (gap if n else first_gap)
+        n += 1
+    return out
+
+
+@pytest.mark.parametrize(("limit", "gap", "first_gap", "most"), [(50, 2, 2, None), (50, 1, 3, 4), (1, 1, 0, None), (10**6, 0, 0, 3)])
+def test_packing_equals_one_by_one(spark, limit, gap, first_gap, most):
+    rng = random.Random(limit)
+    keys = {1: 700, 2: 1, 3: 40}
+    rows = [(k, "x", i, rng.choice([1, 5, 20, 60, 200])) for k, n in keys.items() for i in range(n)]
+    items = spark.createDataFrame(rng.sample(rows, len(rows)), "k long, l string, i int, size int").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keys over several shares
+    try:
+        found = packing.packed(items, ["k", "l"], ["i"], "size", limit, gap, first_gap, most).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for k in keys:
+        assert [r.group for r in sorted((r for r in found if r.k == k), key=lambda r: r.i)] == greedy([r[3] for r in rows if r[0] == k], limit, gap, first_gap, most)
+
+
+def test_packing_of_nothing(spark):
+    assert packing.packed(spark.createDataFrame([], "k long, i int, size int"), ["k"], ["i"], "size", 5, 1).count() == 0
+
+
+def test_chunks_keep_pages(spark):
     rows = [(n, f"Page-specific token-{n} " + "account statement text " * 180) for n in range(1, 121)]
-    found = pages.chunk_pages(rows, 2200)
+    found = sorted(tuple(r)[1:] for r in pages.chunks(spark.createDataFrame([(1, *r) for r in rows], PAGES), 2200).collect())
     assert len(found) > 120 and max(len(t) for *_, t in found) <= 2200 and found[0][1] == 1 and found[-1][2] == 120
     assert all(any(f"token-{n} " in t for *_, t in found) for n in range(1, 121))
 
 
-@given(st.lists(st.text(alphabet="ab \n", max_size=400), max_size=6), st.integers(288, 500))
-def test_chunk_bound(texts, limit):
-    found = pages.chunk_pages(list(enumerate(texts, 1)), limit)
-    assert all(len(t) <= limit for *_, t in found) and [k for k, *_ in found] == list(range(len(found)))
-    assert "".join("".join(texts).split()) == "".join("".join(x for x in t.split("\n") if not x.startswith("[Page ")) for *_, t in found).replace(" ", "")
+def test_chunk_bound(spark):
+    rng = random.Random(2)
+    limit = 300
+    texts = {d: ["".join(rng.choice("ab \n\n") for _ in range(rng.choice([0, 30, 400, 900]))) for _ in range(rng.randrange(1, 6))] for d in range(30)}
+    rows = [(d, n, t) for d, own in texts.items() for n, t in enumerate(own, 1)] + [(99, 1, None)]
+    found = {}
+    for r in sorted(pages.chunks(spark.createDataFrame(rows, PAGES), limit).collect()):
+        found.setdefault(r.document_id, []).append(r)
+    assert 99 not in found
+    for d, own in found.items():
+        assert all(len(r.text) <= limit for r in own) and [r.chunk_index for r in own] == list(range(len(own)))
+        assert "".join("".join(texts[d]).split()) == "".join("".join(x for x in r.text.split("\n") if not x.startswith("[Page ")) for r in own).replace(" ", "")
 
 
 def test_page_round_trip(spark):
@@ -193,12 +240,18 @@ def test_page_round_trip(spark):
     assert [tuple(r) for r in pages.disassemble(spark.createDataFrame([(3, "no marker")], "document_id long, text string")).collect()] == [(3, 1, "no marker")]
 
 
-def test_representative_and_groups():
-    rows = [(n, f"page {n} " + "x" * 900) for n in range(1, 101)]
-    text = pages.representative(rows, 2000)
+def test_representative(spark):
+    rows = [(1, n, f"page {n} " + "x" * 900) for n in range(1, 101)] + [(2, 1, " short "), (2, 2, " "), (3, 1, None)]
+    found = {r.document_id: r.text for r in pages.representative_texts(spark.createDataFrame(rows, PAGES), 2000).collect()}
+    text = found[1]
     assert len(text) <= 2000 and text.count("[Page ") == 8 and "[Page 1]" in text and "[Page 100]" in text
-    assert pages.representative([(1, "short")], 2000) == "[Page 1]\nshort" and pages.representative([], 10) == ""
-    assert pages.budgeted_groups([10, 10, 10, 50, 5], 2, 60) == [0, 0, 1, 2, 2]
+    assert found[2] == "[Page 1]\nshort" and found[3] == ""
+    assert {r.text for r in pages.representative_texts(spark.createDataFrame(rows, PAGES), 0).collect()} == {""}
+
+
+def test_budgeted_groups(spark):
+    items = spark.createDataFrame([(1, k, n) for k, n in enumerate([10, 10, 10, 50, 5])], "k long, i int, size int")
+    assert [r.group for r in sorted(pages.budgeted_groups(items, ["k"], ["i"], "size", 2, 60).collect(), key=lambda r: r.i)] == [0, 0, 1, 2, 2]
     assert pages.input_budget() == 33_864
 
 
@@ -366,6 +419,9 @@ def test_models(spark):
     c = spark.createDataFrame([(1, k, "1") for k in range(100)] + [(2, 0, "7")], "document_id long, chunk_index int, finding string")
     found = {r.document_id: (r.finding, r.levels) for r in models.map_reduce(c, lambda xs: str(sum(map(int, xs))), 4).collect()}
     assert found == {1: ("100", 4), 2: ("7", 0)}
+    c = spark.createDataFrame([(1, k, chr(97 + k) * 30) for k in range(5)], "document_id long, chunk_index int, finding string")
+    (r,) = models.map_reduce(c, lambda xs: "".join(x[0] for x in xs), 16, 40).collect()  # at first nothing fits together: pairs
+    assert (r.finding, r.levels) == ("ace", 2)
 
 
 # sources and discovery
