@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scriptorium import settings as config
 from scriptorium.functions import text as tx
-from scriptorium.operators import jobs, models, packing, pages, planning, records, similarity, values, vocabulary
+from scriptorium.operators import answers, jobs, models, packing, pages, planning, records, similarity, values, vocabulary
 from scriptorium.sources import documents as sources
 from scriptorium.streaming import discovery
 
@@ -564,3 +564,31 @@ def test_resource_followed_to_its_end(spark):
     assert sorted(r.id for r in found) == [10 * k + i for k in range(5) for i in range(3)]
     with pytest.raises(Exception, match="another host"):
         sources.followed_resource(spark, lambda at: ([], "https://elsewhere.example/"), "https://store.example/api").collect()
+
+
+# structured answers
+
+
+def read_answer(spark, text, schema):
+    r = spark.createDataFrame([(text,)], "a string").select(answers.read(F.col("a"), schema).alias("x")).first().x
+    return r["value"], [(e.path, e.type) for e in r.errors]
+
+
+def test_answers_of_one_choice(spark):
+    value, errors = read_answer(spark, '```json\n{"existing_id": "7", "new_name": null, "confidence": true, "reason": "r", "source_pages": [3, 1, "2", 3.0]}\n```', "MetadataChoice")
+    assert not errors and (value.existing_id, value.new_name, value.confidence, value.evidence, value.source_pages) == (7, None, 1.0, "", [1, 2, 3])
+    bad = '{"new_name": 5, "confidence": 1.5, "source_pages": [1, "x", 2.5], "b": 1, "a": null}'
+    assert read_answer(spark, bad, "MetadataChoice") == (None, [("new_name", "string_type"), ("confidence", "less_than_equal"), ("reason", "missing"), ("source_pages.1", "int_type"), ("source_pages.2", "int_type"), ("a", "extra_forbidden"), ("b", "extra_forbidden")])
+    for text, error in ((None, "json_invalid"), ("{", "json_invalid"), ('{"a": 1, "a": 2}', "json_invalid"), ("[]", "model_type"), ('{"confidence": 1, "reason": "r"}', "value_error"), ('{"existing_id": 1, "new_name": "x", "confidence": 1, "reason": "r"}', "value_error")):
+        assert read_answer(spark, text, "MetadataChoice") == (None, [("", error)])
+
+
+def test_answers_with_nested_lists(spark):
+    choice = {"new_name": " A  b ", "confidence": 0.5, "reason": "r"}
+    value, errors = read_answer(spark, json.dumps({"tags": [choice] * 12, "assessment": " long  word" * 100}), "TagReview")
+    assert not errors and value.tags[11].new_name == "A b" and len(value.assessment) == 700 - (value.assessment[-4] == " ") and value.assessment.endswith("...")
+    assert read_answer(spark, json.dumps({"tags": [choice] * 13, "assessment": "x"}), "TagReview") == (None, [("tags", "too_long")])
+    _, errors = read_answer(spark, json.dumps({"tags": [{"confidence": 2, "reason": ""}] * 9, "title": None, "custom_fields": None}), "MetadataProposal")
+    assert len(errors) == answers.MOST_ERRORS and errors[:3] == [("tags.0.confidence", "less_than_equal"), ("tags.0.reason", "string_too_short"), ("tags.1.confidence", "less_than_equal")]
+    _, errors = read_answer(spark, '{"verdicts": [{"kind": "tag", "proposed_name": "x", "decision": "keep", "reason": "r"}, 5]}', "VocabularyReview")
+    assert errors == [("verdicts.0.decision", "literal_error"), ("verdicts.1", "model_type")]
