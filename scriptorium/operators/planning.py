@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
 from scriptorium.operators import values, vocabulary
+from scriptorium.sources.tables import kept
 
 # Reasons and phrases that results depend on.
 CONTRASTS = ["distinct from", "different from", "separate from", "whereas", "not covered by", "broader than", "narrower than"]
@@ -87,7 +87,7 @@ def collapse_within_proposal(plan: DataFrame, collapse_creates: bool = False) ->
 
     By default pairs in which both ids, or an id and a stated distinction, are equal or
     both missing are not compared; that leaves most pairs with a creation alone.
-    collapse_creates compares those too. The fold depends on order: a document is a group.
+    collapse_creates compares those too.
     """
     from scriptorium.operators.similarity import name_keys, scored
 
@@ -100,19 +100,26 @@ def collapse_within_proposal(plan: DataFrame, collapse_creates: bool = False) ->
         skipped = F.coalesce((F.col("l.distinct_from") == F.col("r.id")) | (F.col("r.distinct_from") == F.col("l.id")), F.lit(False))
     near = scored(pairs.filter(~skipped), vocabulary.DUPLICATE).filter(F.col("score") >= vocabulary.DUPLICATE)
     near = near.select("document_id", "kind", F.col("l.pos").alias("pos"), F.col("r.pos").alias("earlier"))
-    links = near.groupBy("document_id", "kind", "pos").agg(F.collect_set("earlier").alias("earlier"))
-    rows = plan.filter("action <> 'reject'").join(links, ["document_id", "kind", "pos"], "left")
-
-    def of_document(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept = pdf.sort_values("pos"), set()
-        stays = []
-        for pos, earlier in zip(pdf.pos, pdf.earlier, strict=True):
-            stays.append(earlier is None or kept.isdisjoint(earlier))
-            if stays[-1]:
-                kept.add(pos)
-        return pdf[stays].drop(columns="earlier")
-
-    return rows.groupBy("document_id", "kind").applyInPandas(of_document, rows.drop("earlier").schema).select(plan.columns)
+    return first_wins(plan.filter("action <> 'reject'"), near, ["document_id", "kind"])
+
+
+def first_wins(rows: DataFrame, links: DataFrame, key: list[str]) -> DataFrame:
+    """Rows (key, pos, ...) that stay if each in turn goes when an earlier one that stays is linked to it.
+
+    links: key, pos, earlier. The rows that stay are a fixpoint, found in rounds of joins: what
+    waits for no earlier row stays, what is linked to it goes, and links of rows that went are void.
+    Every round settles the first row of each chain at least; nothing is gathered by key.
+    """
+    live = kept(links.select(*key, "pos", "earlier").filter("earlier < pos").distinct())
+    gone = None
+    while not live.isEmpty():
+        waiting = live.select(*key, "pos").distinct()
+        free = live.select(*key, F.col("earlier").alias("pos")).distinct().join(waiting, [*key, "pos"], "left_anti")
+        out = kept(live.join(free.withColumnRenamed("pos", "earlier"), [*key, "earlier"], "left_semi").select(*key, "pos").distinct())
+        gone = out if gone is None else gone.unionByName(out)
+        live = live.join(out, [*key, "pos"], "left_anti").join(out.withColumnRenamed("pos", "earlier"), [*key, "earlier"], "left_anti")
+        live = kept(live.select(*key, "pos", "earlier"))
+    return rows if gone is None else rows.join(gone, [*key, "pos"], "left_anti").select(rows.columns)
 
 
 def gate_scalar(rows: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators import jobs as ops
@@ -63,8 +64,11 @@ def page_failure_summary(spark, sf_dir):
     """Per user: failed pages, the first twenty of them, whether any can be tried again."""
     e = table(spark, sf_dir, "events")
     failed = e.filter(F.col("event_id") % 5 == 0).select("user_id", "event_id", (F.col("event_id") % 2 == 0).alias("retryable"))
-    first = F.slice(F.sort_array(F.collect_list("event_id")), 1, 20)
-    return failed.groupBy("user_id").agg(F.count("*").alias("n_failed"), F.array_join(first, ",").alias("pages"), F.bool_or("retryable").alias("retryable"))
+    counts = failed.groupBy("user_id").agg(F.count("*").alias("n_failed"), F.bool_or("retryable").alias("retryable"))
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    least = failed.select("user_id", "event_id").withColumn("_n", F.row_number().over(order)).filter("_n <= 20")  # tasks keep twenty a user before the shuffle
+    first = least.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list("event_id")), ",").alias("pages"))
+    return counts.join(first, "user_id").select("user_id", "n_failed", "pages", "retryable")
 
 
 def retry_backoff_schedule(spark, sf_dir):

@@ -18,6 +18,15 @@ def _typed(spark, sf_dir, data_type, value, source="orders", key="o_orderkey", c
 K = F.col
 
 
+def first_wins(spark, sf_dir):
+    """The parts of each brand and type that share neither word of their name with an earlier one that stays."""
+    word = lambda k: F.element_at(F.split("p_name", " "), k)
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_type", F.col("p_partkey").alias("pos"), F.explode(F.array(F.concat(F.lit("1 "), word(1)), F.concat(F.lit("2 "), word(2)))).alias("word"))
+    earlier = rows.withColumnRenamed("pos", "earlier")
+    links = rows.join(earlier, ["p_brand", "p_type", "word"]).filter("earlier < pos")
+    return planning.first_wins(rows.select("p_brand", "p_type", "pos").distinct(), links, ["p_brand", "p_type"])
+
+
 def normalize_values_integer(spark, sf_dir):
     v = F.concat(F.when(K("o_orderkey") % 3 == 0, " ").otherwise(""), F.format_number(K("o_orderkey") * 40000, 0), F.when(K("o_orderkey") % 7 == 0, " pcs").otherwise(""))
     return _typed(spark, sf_dir, "integer", v)
@@ -154,6 +163,14 @@ def filled_custom_values(spark, sf_dir):
 
 INT_MAX = "2147483648"
 ORACLES = {
+    "first_wins": """
+WITH RECURSIVE i AS (SELECT p_brand, p_type, p_partkey AS pos, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS k FROM part),
+r AS (
+  SELECT p_brand, p_type, pos, k, true AS stays, [a] AS firsts, [b] AS seconds FROM i WHERE k = 1
+  UNION ALL SELECT i.p_brand, i.p_type, i.pos, i.k, NOT (list_contains(firsts, a) OR list_contains(seconds, b)),
+    CASE WHEN list_contains(firsts, a) OR list_contains(seconds, b) THEN firsts ELSE firsts || [a] END, CASE WHEN list_contains(firsts, a) OR list_contains(seconds, b) THEN seconds ELSE seconds || [b] END
+  FROM r JOIN i ON i.p_brand = r.p_brand AND i.p_type = r.p_type AND i.k = r.k + 1
+) SELECT p_brand, p_type, pos FROM r WHERE stays""",
     "normalize_values_integer": f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey * 40000 < {INT_MAX} THEN (o_orderkey * 40000)::VARCHAR END AS value, CASE WHEN o_orderkey % 7 = 0 THEN 'invalid integer value' WHEN o_orderkey * 40000 >= {INT_MAX} THEN 'integer value is out of range' END AS error FROM orders",
     "normalize_values_float": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 <> 0 AND o_orderkey % 11 <> 0 THEN (o_orderkey * 2 + 1) || '.5' END AS value, CASE WHEN o_orderkey % 9 = 0 THEN 'floating-point value must be finite' WHEN o_orderkey % 11 = 0 THEN 'invalid floating-point value' END AS error FROM orders",
     "normalize_values_date": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS value, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN 'invalid ISO date value' END AS error FROM orders",

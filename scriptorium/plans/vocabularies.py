@@ -64,9 +64,9 @@ def canonical_pair_order(spark, sf_dir):
 
 
 def merge_entities_effect(spark, sf_dir):
-    """Assignments of parts to orders after merging each odd key below 400 into the even one before it."""
+    """Assignments of parts to orders after merging each odd key into the even one before it."""
     a = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.lit("tag").alias("kind"), F.col("l_partkey").alias("id"))
-    m = table(spark, sf_dir, "part").filter("p_partkey % 2 = 1 AND p_partkey < 400").select(F.lit("tag").alias("kind"), F.col("p_partkey").alias("merge_id"), (F.col("p_partkey") - 1).alias("keep_id"))
+    m = table(spark, sf_dir, "part").filter("p_partkey % 2 = 1").select(F.lit("tag").alias("kind"), F.col("p_partkey").alias("merge_id"), (F.col("p_partkey") - 1).alias("keep_id"))
     return ops.merge_assignments(a, m).groupBy("id").agg(F.count("*").alias("n_documents"))
 
 
@@ -120,7 +120,7 @@ ORACLES = {
  SELECT 'tag:' || aid || ':' || bid AS key, CASE WHEN first THEN aid ELSE bid END AS keep_id, CASE WHEN first THEN bid ELSE aid END AS merge_id, 'same normalized name (100% similar)' AS reason FROM f""",
     "canonical_pair_order": f"""WITH n AS ({NAMES}) SELECT a.id AS a_id, b.id AS b_id, CASE WHEN a.document_count > b.document_count OR (a.document_count = b.document_count AND (length(a.name) > length(b.name) OR (length(a.name) = length(b.name) AND a.name <= b.name))) THEN a.id ELSE b.id END AS keep_id
  FROM n a JOIN n b ON a.id % 8 = b.id % 8 AND a.id < b.id""",
-    "merge_entities_effect": "SELECT id, count(DISTINCT d) AS n_documents FROM (SELECT l_orderkey AS d, CASE WHEN l_partkey % 2 = 1 AND l_partkey < 400 AND l_partkey IN (SELECT p_partkey FROM part) THEN l_partkey - 1 ELSE l_partkey END AS id FROM lineitem) GROUP BY id",
+    "merge_entities_effect": "SELECT id, count(DISTINCT d) AS n_documents FROM (SELECT l_orderkey AS d, CASE WHEN l_partkey % 2 = 1 AND l_partkey IN (SELECT p_partkey FROM part) THEN l_partkey - 1 ELSE l_partkey END AS id FROM lineitem) GROUP BY id",
     "candidate_ranking": f"""WITH t AS (SELECT doc_id, unnest(list_distinct({duck_tokens('text')})) AS w FROM documents),
  top AS (SELECT w AS name, count(*) AS n FROM t WHERE length(w) >= 5 GROUP BY w),
  one AS (SELECT name, n, CASE WHEN t LIKE '%ies' AND length(t) > 4 THEN left(t, length(t) - 3) || 'y' WHEN t LIKE '%s' AND length(t) > 3 AND t NOT LIKE '%ss' AND t NOT LIKE '%us' AND t NOT LIKE '%is' THEN left(t, length(t) - 1) ELSE t END AS key FROM (SELECT name, n, strip_accents(name) AS t FROM top)),

@@ -298,6 +298,19 @@ def test_plan_rules(spark):
     assert planning.collapse_within_proposal(made).count() == 2 and planning.collapse_within_proposal(made, True).count() == 1
 
 
+def test_first_wins_equals_one_by_one(spark):
+    rng = random.Random(4)
+    rows = [(d, k) for d in range(6) for k in range(40)]
+    links = [(d, k, j) for d, k in rows for j in range(k) if rng.random() < d * 0.02] + [(9, k, k - 1) for k in range(1, 12)]  # a chain: every other one stays
+    rows += [(9, k) for k in range(12)]
+    stay = set()
+    for d, k in sorted(rows):
+        if not any((d, j) in stay for a, b, j in links if (a, b) == (d, k)):
+            stay.add((d, k))
+    found = planning.first_wins(spark.createDataFrame(rows, "d long, pos long"), spark.createDataFrame(links, "d long, pos long, earlier long"), ["d"])
+    assert {tuple(r) for r in found.collect()} == stay
+
+
 def test_patch(spark):
     kinds = "id long, tags array<long>, correspondent long, document_type long, title string, original_file_name string, created string, added string, new_tags array<long>, watch_tag long, new_correspondent long, new_document_type long, new_title string, new_date string"
     rows = [(1, [1], 0, 5, "Scan", None, "2024-01-01", "2024-01-01T10", [1, 99], None, 7, 8, "t" * 200, "2020-01-01"), (2, [7, 55], None, None, "Own", None, None, None, None, 55, None, None, "New", None), (3, [2, 1, 2], 3, None, "Own", None, None, None, [1], None, None, None, None, None)]
