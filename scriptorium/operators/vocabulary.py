@@ -139,15 +139,16 @@ def rank_candidates(documents: DataFrame, vocabulary: DataFrame, kind: str, limi
     v = similarity.name_keys(vocabulary.filter(F.col("kind") == kind))
     v = kept(v.withColumns({"words": F.array_distinct("tokens"), "usage": F.least(F.lit(0.35), F.log1p("document_count") / 30), "folded": tx.casefold(F.col("name"))}))
     few = F.broadcast(v.agg((F.count("*") <= limit).alias("few")))  # one row
+    e = F.struct("name", "document_count", "folded", F.size("words").alias("n"), "usage").alias("e")  # travels with the id, so that no later join meets the ids of `first` once a document
     doc_words = documents.select("document_id", F.explode(F.array_distinct(tx.name_tokens(F.col("text"), kind))).alias("word"))
-    keys = v.select("id", F.explode("words").alias("word"), F.lit(1).alias("h"), F.lit(0).alias("a")).union(v.filter(F.length("initials") >= 2).select("id", F.col("initials").alias("word"), F.lit(0), F.lit(1)))
-    hits = doc_words.join(keys, "word").select("document_id", "id", "h", "a", F.lit(0.0).alias("current"))
+    keys = v.select("id", e, F.explode("words").alias("word"), F.lit(1).alias("h"), F.lit(0).alias("a")).union(v.filter(F.length("initials") >= 2).select("id", e, F.col("initials").alias("word"), F.lit(0), F.lit(1)))
+    hits = doc_words.join(keys, "word").select("document_id", "id", "e", "h", "a", F.lit(0.0).alias("current"))
     zero = F.lit(0)
-    current = documents.select("document_id", F.explode("current_ids").alias("id"), zero.alias("h"), zero.alias("a"), F.lit(4.0).alias("current"))
-    first = v.orderBy(F.desc("document_count"), "folded", "id").limit(limit).select("id")  # limit rows
-    base = documents.select("document_id").crossJoin(F.broadcast(first)).select("document_id", "id", zero.alias("h"), zero.alias("a"), F.lit(0.0).alias("current"))
-    rows = hits.union(current).union(base).groupBy("document_id", "id").agg(F.sum("h").alias("h"), F.max("a").alias("a"), F.max("current").alias("current"))
-    rows = rows.join(v.select("id", "name", "document_count", "folded", F.size("words").alias("n"), "usage"), "id").crossJoin(few)
+    current = documents.select("document_id", F.explode("current_ids").alias("id")).join(v.select("id", e), "id").select("document_id", "id", "e", zero.alias("h"), zero.alias("a"), F.lit(4.0).alias("current"))
+    first = v.orderBy(F.desc("document_count"), "folded", "id").limit(limit).select("id", e)  # limit rows
+    base = documents.select("document_id").crossJoin(F.broadcast(first)).select("document_id", "id", "e", zero.alias("h"), zero.alias("a"), F.lit(0.0).alias("current"))
+    rows = hits.union(current).union(base).groupBy("document_id", "id").agg(F.first("e").alias("e"), F.sum("h").alias("h"), F.max("a").alias("a"), F.max("current").alias("current"))
+    rows = rows.select("document_id", "id", "e.*", "h", "a", "current").crossJoin(few)
     score = F.col("current") + F.when((F.col("n") > 0) & (F.col("h") == F.col("n")), 2.0).otherwise(0.0) + 1.6 * F.col("a") + 1.2 * (F.col("h") / F.greatest("n", F.lit(1))) + F.col("usage")
     order = Window.partitionBy("document_id").orderBy(F.desc("score"), F.desc("document_count"), "folded", "id")
     rows = rows.withColumn("score", F.when(F.col("few"), 0.0).otherwise(score))
