@@ -12,6 +12,7 @@ from scriptorium.operators import jobs, models, pages, planning, records, vocabu
 from scriptorium.plans.jobs import NOW, STATE_SQL, _state
 from scriptorium.sources import documents as sources
 from scriptorium.sources.tables import table
+from scriptorium.streaming import checkpoints
 
 
 def heartbeat_leases(spark, sf_dir):
@@ -19,6 +20,20 @@ def heartbeat_leases(spark, sf_dir):
     return jobs.heartbeat(s, s.filter(F.col("job_id") % 3 == 0), NOW).select("job_id", "lease_until")
 
 
+#: Kinds of job events by their number; every 97th is the end of a job.
+KINDS = ("claim", "heartbeat", "upload_started", "heartbeat", "upload_task", "claim", "heartbeat", "version_created", "claim", "heartbeat", "failed", "retried", "checkpoint_cleared")
+HOURS_20 = 72_000_000_000
+
+
+def job_checkpoints(spark, sf_dir):
+    """Lease, attempts and upload checkpoint of each job after all its events."""
+    k = F.col("event_id")
+    kind = F.when(k % 97 == 0, "completed").otherwise(F.element_at(F.array(*map(F.lit, KINDS)), (k % len(KINDS) + 1).cast("int")))
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), at.alias("at"), k.alias("seq"), kind.alias("kind"), k.cast("string").alias("value"))
+    return checkpoints.job_states(events, HOURS_20)
+
+
 def review_transitions(spark, sf_dir):
     s = _state(spark, sf_dir)
     return jobs.ended(s, s.filter(F.col("job_id") % 4 == 0), "needs_review", NOW, phase="metadata_review").select("job_id", "status", "phase", "lease_until", "completed_at")
@@ -197,6 +212,19 @@ S = STATE_SQL
 C = "SELECT c_custkey AS id, c_custkey * 2 AS document_id, CASE WHEN c_custkey % 3 = 0 THEN 'resolved' ELSE 'open' END AS status, CASE WHEN c_custkey % 7 = 0 THEN 'use_generated' END AS resolution, 'text ' || c_custkey AS existing_text, 4 AS conflict_tag_id FROM customer"
 STEPS = [80, 40, 20, 10, 5]
 ORACLES = {
+    "job_checkpoints": f"""WITH RECURSIVE e AS (SELECT user_id AS job_id, epoch_us(ts) AS t, event_id::VARCHAR AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
+ CASE WHEN event_id % 97 = 0 THEN 'completed' ELSE {list(KINDS)}[event_id % {len(KINDS)} + 1] END AS kind FROM events),
+ s AS (SELECT DISTINCT job_id, 0::BIGINT AS rn, 'queued' AS status, NULL::VARCHAR AS error_code, 0::BIGINT AS attempt, NULL::BIGINT AS lease_until, NULL::VARCHAR AS task_id, NULL::VARCHAR AS version_id, 0::BIGINT AS recovered FROM e
+ UNION ALL SELECT job_id, rn,
+ CASE WHEN kind = 'claim' AND st = 'queued' THEN 'running' WHEN st = 'running' AND kind = 'upload_started' AND task_id = 'started' THEN 'failed' WHEN st = 'running' AND kind IN ('completed', 'failed') THEN kind WHEN st = 'failed' AND kind = 'retried' THEN 'queued' ELSE st END,
+ CASE WHEN kind = 'claim' AND st = 'queued' OR st = 'failed' AND kind = 'retried' OR st = 'running' AND kind = 'completed' THEN NULL WHEN st = 'running' AND kind = 'upload_started' AND task_id = 'started' THEN 'ambiguous' WHEN st = 'running' AND kind = 'failed' THEN 'failed' ELSE error_code END,
+ attempt + (kind = 'claim' AND st = 'queued')::BIGINT,
+ CASE WHEN kind = 'claim' AND st = 'queued' OR kind = 'heartbeat' AND st = 'running' THEN t + {HOURS_20} WHEN st = 'running' AND (kind IN ('completed', 'failed') OR kind = 'upload_started' AND task_id = 'started') THEN NULL WHEN lost THEN NULL ELSE lease_until END,
+ CASE WHEN kind = 'upload_task' THEN value WHEN kind = 'checkpoint_cleared' THEN NULL WHEN kind = 'upload_started' AND st = 'running' AND task_id IS NULL THEN 'started' ELSE task_id END,
+ CASE WHEN kind = 'version_created' THEN value WHEN kind = 'checkpoint_cleared' THEN NULL ELSE version_id END, recovered + lost::BIGINT
+ FROM (SELECT e.job_id, e.rn, e.t, e.kind, e.value, error_code, attempt, lease_until, task_id, version_id, recovered, status = 'running' AND coalesce(lease_until < t, false) AS lost, CASE WHEN status = 'running' AND lease_until < t THEN 'queued' ELSE status END AS st
+ FROM s JOIN e ON e.job_id = s.job_id AND e.rn = s.rn + 1))
+ SELECT job_id, status, error_code, attempt, lease_until, task_id, version_id, recovered, rn AS n_events FROM s QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY rn DESC) = 1""",
     "heartbeat_leases": f"SELECT job_id, CASE WHEN job_id % 3 = 0 AND status = 'running' THEN 900000900.0::DOUBLE ELSE lease_until END AS lease_until FROM ({S})",
     "review_transitions": f"SELECT job_id, CASE WHEN job_id % 4 = 0 THEN 'needs_review' ELSE status END AS status, CASE WHEN job_id % 4 = 0 THEN 'metadata_review' ELSE phase END AS phase, CASE WHEN job_id % 4 <> 0 THEN lease_until END AS lease_until, CASE WHEN job_id % 4 = 0 THEN 900000000.0::DOUBLE ELSE completed_at END AS completed_at FROM ({S})",
     "finished_jobs": f"SELECT job_id, CASE WHEN job_id % 5 = 0 THEN 'completed' ELSE status END AS status, CASE WHEN job_id % 5 = 0 THEN 'complete' ELSE phase END AS phase, CASE WHEN job_id % 5 <> 0 THEN lease_until END AS lease_until, CASE WHEN job_id % 5 = 0 THEN 900000000.0::DOUBLE ELSE completed_at END AS completed_at FROM ({S})",

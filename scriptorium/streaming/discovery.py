@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
@@ -38,6 +39,17 @@ def state_before(spark: SparkSession, state_path: str, number: int) -> DataFrame
     return rows.groupBy("document_id").agg(F.max_by("modified", "batch").alias("modified"), F.max("batch").alias("batch"))
 
 
+def _enqueued(rows: DataFrame, number: int, state_path: str, enqueue: Callable[[DataFrame, int], None], compact_every: int) -> None:
+    """One batch of listed documents (id, modified and more): enqueues those that changed() leaves and keeps their state."""
+    spark = rows.sparkSession
+    newest = rows.groupBy("id").agg(F.max("modified").alias("modified"))
+    found = changed(newest, state_before(spark, state_path, number)).withColumn("batch", F.lit(number).cast("long"))
+    enqueue(found.orderBy(F.desc("modified"), "id"), number)
+    found.select(F.col("id").alias("document_id"), "modified", "batch").write.mode("overwrite").parquet(f"{state_path}/changes/batch={number}")
+    if number % compact_every == compact_every - 1:
+        state_before(spark, state_path, number + 1).write.mode("overwrite").parquet(f"{state_path}/whole/batch={number}")
+
+
 def discover(spark: SparkSession, folder: str, schema: StructType, state_path: str, checkpoint: str, enqueue: Callable[[DataFrame, int], None], compact_every: int = COMPACT_EVERY) -> None:
     """Runs all files of a change feed through changed(), newest first, and keeps the new state.
 
@@ -49,17 +61,38 @@ def discover(spark: SparkSession, folder: str, schema: StructType, state_path: s
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        newest = rows.groupBy("id").agg(F.max("modified").alias("modified"))
-        found = changed(newest, state_before(spark, state_path, number)).withColumn("batch", F.lit(number).cast("long"))
-        enqueue(found.orderBy(F.desc("modified"), "id"), number)
-        found.select(F.col("id").alias("document_id"), "modified", "batch").write.mode("overwrite").parquet(f"{state_path}/changes/batch={number}")
-        if number % compact_every == compact_every - 1:
-            state_before(spark, state_path, number + 1).write.mode("overwrite").parquet(f"{state_path}/whole/batch={number}")
+        _enqueued(rows, number, state_path, enqueue, compact_every)
 
     feed = spark.readStream.schema(schema).parquet(folder)
     feed.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(batch).start().awaitTermination()
 
 
+def follow(
+    polls: DataFrame, state_path: str, checkpoint: str, enqueue: Callable[[DataFrame, int], None], failed: Callable[[DataFrame, int], None], interval: str = "60 seconds", compact_every: int = COMPACT_EVERY, once: bool = False
+) -> StreamingQuery:
+    """Runs a stream of polls (sources.polling) through changed(), as discover() does, and gives its failures to failed().
+
+    failed gets (poll, page, error) of each batch with an error, for a notice of the outage. The query polls
+    every `interval`; with once, it polls a single time and ends.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows = rows.persist()  # a page at most, read once
+        try:
+            errors = rows.filter("error is not null").select("poll", "page", "error")
+            if not errors.isEmpty():
+                failed(errors, number)
+            _enqueued(rows.filter("error is null"), number, state_path, enqueue, compact_every)
+        finally:
+            rows.unpersist()
+
+    stream = polls.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
+    query = (stream.trigger(once=True) if once else stream.trigger(processingTime=interval)).start()
+    if once:
+        query.awaitTermination()
+    return query
+
+
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts of job events by type and window of event time; works on streams and tables."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
