@@ -624,6 +624,23 @@ def test_license_scan_runs_equal_brute_force():
         assert s.scan(text)[: len(want)] == want
 
 
+def test_license_scan_is_linear_in_repeats_and_fragments():
+    import time
+
+    s, rng = license_scan.Scanner(), random.Random(3)
+    notice = next(t for name, t in license_scan.templates() if name == "CC0-1.0" and len(t) < 100)
+    runs = lambda n: {name: sum(m for _, x, m in s.matches("\n\n".join([notice] * n)) if x == name) for name in ("CC0-1.0",)}
+    began = time.perf_counter()
+    assert runs(1) == {"CC0-1.0": 1} and runs(50) == {"CC0-1.0": 50 * 51 // 2} and runs(20_000) == {"CC0-1.0": 20_000 * 20_001 // 2}
+    words = [w for name, t in license_scan.templates() if len(t) < 2000 for w in license_scan.words_of(t)]
+    text: list[str] = []
+    while len(text) < 40_000:
+        i = rng.randrange(len(words))
+        text += words[i : i + rng.randrange(2, 30)]
+    assert list(s.matches(" ".join(text)))
+    assert time.perf_counter() - began < 120
+
+
 # op6
 
 
