@@ -57,13 +57,34 @@ def integer(v: Column) -> Column:
     return _result(n.cast("decimal(38,0)"), error)
 
 
+def plain_double(x: Column) -> Column:
+    """A finite double as Python prints it: plain from 1e-4 to below 1e16, else with an exponent.
+
+    Java's digits always read back as x but are not always the fewest, so long ones are tried with 15 and 16, the least of all numbers with one.
+    """
+    as_java = x.cast("string")
+    fewer = [F.when(t.cast("double") == x, t) for t in (F.format_string("%.0e", x), F.format_string("%.14e", x), F.format_string("%.15e", x))]
+    digits = F.when((x != 0) & ((F.length(as_java) > 16) | (F.abs(x) < 1e-322)), F.coalesce(*fewer, as_java)).otherwise(as_java)
+
+    def shown(d: Column) -> Column:
+        short = F.rtrim(d.try_cast("decimal(38,21)").cast("string"), F.lit("0"))
+        plain = F.when(~F.contains(F.upper(d), F.lit("E")), d).otherwise(tx.bound(short, lambda s: F.when(s.endswith("."), F.concat(s, F.lit("0"))).otherwise(s)))
+        parts = r"^(-?\d(?:\.\d*?[1-9])?)\.?0*[eE]\+?(-?)0*(\d+)$"
+        part = lambda k: F.regexp_extract(d, parts, k)
+        power = F.when(F.length(part(3)) < 2, F.lpad(part(3), 2, "0")).otherwise(part(3))
+        raised = F.concat(part(1), F.lit("e"), F.when(part(2) == "-", "-").otherwise("+"), power)
+        return F.when(x == 0, d).when((F.abs(x) >= 1e-4) & (F.abs(x) < 1e16), plain).otherwise(raised)
+
+    return tx.bound(digits, shown)
+
+
 def floating(v: Column) -> Column:
     plain = F.lower(tx.strip(F.replace(v, F.lit(","), F.lit(""))))
     special = plain.rlike(r"^[-+]?(nan|inf|infinity)$")
     well = plain.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)(e[-+]?\d+)?$")
     x = F.when(well, plain.try_cast("double"))
     error = F.when(special, ERRORS["float_finite"]).when(~well, ERRORS["float"]).otherwise(_unless(F.abs(x) < float("inf"), "float_finite"))
-    return _result(x, error)
+    return _result(tx.bound(x, lambda y: F.when(F.abs(y) < float("inf"), plain_double(y))), error)
 
 
 def date(v: Column) -> Column:

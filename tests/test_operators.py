@@ -274,6 +274,14 @@ def test_values(spark, kind, value, want, error):
     assert (r.value, r.error) == (want, error)
 
 
+def test_floats_print_as_python_prints_them(spark):
+    rng = random.Random(5)
+    given = ["10000001.5", "18000001.5", "-12345678", "0", "-0", "1e7", "1e15", "9007199254740993", "9999999999999998", "1e16", "1.5e16", "1.05e22", "1e23", "2e23", "8.41e21", "1e100", "0.001", "0.0001", "0.00012345678901234567", "0.00001", "-1.5e-7", "2e-3", "4.9e-324", "1.7976931348623157e308", "2.2250738585072014e-308", "123456789.123456789"]
+    given += [repr(m * 10.0**e) for e in range(-12, 25) for m in (1, rng.random(), rng.randrange(1, 1000) / 8, -rng.randrange(10**6, 10**9))]
+    rows = spark.createDataFrame([(x,) for x in given], "v string").select("v", values.normalized(F.col("v"), F.lit("float")).alias("n")).collect()
+    assert {r.v: (r.n.value, r.n.error) for r in rows} == {x: (repr(float(x)), None) for x in given}
+
+
 # plans
 
 
