@@ -122,6 +122,29 @@ def first_wins(rows: DataFrame, links: DataFrame, key: list[str]) -> DataFrame:
     return rows if gone is None else rows.join(gone, [*key, "pos"], "left_anti").select(rows.columns)
 
 
+def first_without_shared(rows: DataFrame, key: list[str]) -> DataFrame:
+    """first_wins for rows (key, pos, words array) that are linked when they share a word: (key, pos) of those that stay.
+
+    Pairs are never made. Of rows with the same words only the first can stay, and a round takes two
+    groupings by word: what is the first of each of its words stays, and what shares a word with it
+    goes. Null words are shared with none; rows without a word, or with a null in key or pos, stay.
+    """
+    found = rows.select(*key, "pos", F.array_sort(F.array_distinct(F.array_compact("words"))).alias("words"))
+    whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in [*key, "pos"])) & (F.size("words") > 0)
+    stays = found.filter(~F.coalesce(whole, F.lit(False))).select(*key, "pos")
+    live = kept(found.filter(whole).groupBy(*key, "words").agg(F.min("pos").alias("pos")))
+    while not live.isEmpty():
+        each = live.select(*key, "pos", F.explode("words").alias("word"))
+        first = each.groupBy(*key, "word").agg(F.min("pos").alias("first"))
+        free = each.join(first, [*key, "word"]).groupBy(*key, "pos").agg(F.every(F.col("pos") == F.col("first")).alias("free")).filter("free").select(*key, "pos")
+        out = kept(free)
+        stays = stays.unionByName(out)
+        taken = each.join(out, [*key, "pos"], "left_semi").select(*key, "word").distinct()
+        gone = each.join(taken, [*key, "word"], "left_semi").select(*key, "pos").distinct()
+        live = kept(live.join(gone, [*key, "pos"], "left_anti"))
+    return stays
+
+
 def gate_scalar(rows: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     return rows.withColumn("note", F.when(F.col("confidence") < min_confidence, LOW))
 

@@ -20,11 +20,9 @@ K = F.col
 
 def first_wins(spark, sf_dir):
     """The parts of each brand and type that share neither word of their name with an earlier one that stays."""
-    word = lambda k: F.element_at(F.split("p_name", " "), k)
-    rows = table(spark, sf_dir, "part").select("p_brand", "p_type", F.col("p_partkey").alias("pos"), F.explode(F.array(F.concat(F.lit("1 "), word(1)), F.concat(F.lit("2 "), word(2)))).alias("word"))
-    earlier = rows.withColumnRenamed("pos", "earlier")
-    links = rows.join(earlier, ["p_brand", "p_type", "word"]).filter("earlier < pos")
-    return planning.first_wins(rows.select("p_brand", "p_type", "pos").distinct(), links, ["p_brand", "p_type"])
+    word = lambda k: F.concat(F.lit(f"{k} "), F.split_part("p_name", F.lit(" "), F.lit(k)))
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_type", F.col("p_partkey").alias("pos"), F.array(word(1), word(2)).alias("words"))
+    return planning.first_without_shared(rows, ["p_brand", "p_type"])
 
 
 def normalize_values_integer(spark, sf_dir):

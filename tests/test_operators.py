@@ -613,3 +613,29 @@ def test_answers_with_nested_lists(spark):
     assert len(errors) == answers.MOST_ERRORS and errors[:3] == [("tags.0.confidence", "less_than_equal"), ("tags.0.reason", "string_too_short"), ("tags.1.confidence", "less_than_equal")]
     _, errors = read_answer(spark, '{"verdicts": [{"kind": "tag", "proposed_name": "x", "decision": "keep", "reason": "r"}, 5]}', "VocabularyReview")
     assert errors == [("verdicts.0.decision", "literal_error"), ("verdicts.1", "model_type")]
+
+
+def test_first_without_shared_equals_one_by_one_and_makes_no_pairs(spark):
+    rng = random.Random(6)
+    rows = [(d, k, [f"w{rng.randrange(3 + 4 * d)}" for _ in range(rng.randrange(4))]) for d in range(5) for k in range(60)]
+    rows += [(9, k, [f"c{k}", f"c{k + 1}"]) for k in range(12)]  # a chain: every other one stays
+    rows += [(10, k, [None, "x"][k % 2 :]) for k in range(4)] + [(None, 1, ["x"]), (None, 2, ["x"]), (11, 1, None), (11, 2, None)]
+    stay, taken = set(), set()
+    for d, k, words in rows:
+        shared = {(d, w) for w in words or () if w is not None and d is not None}
+        if not shared & taken:
+            stay.add((d, k))
+            taken |= shared
+    found = planning.first_without_shared(spark.createDataFrame(rows, "d long, pos long, words array<string>"), ["d"])
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, stay))
+
+
+def test_first_wins_of_many_copies_keeps_no_pairs(spark, tmp_path, monkeypatch):
+    from scriptorium.plans import metadata
+
+    n = 3000  # parts of one brand and type that all share a word: 4498500 pairs
+    spark.range(n).selectExpr("id AS p_partkey", "'cold w' || id % 50 AS p_name", "'b' AS p_brand", "'t' AS p_type").write.parquet(f"{tmp_path}/part.parquet")
+    sizes = []
+    monkeypatch.setattr(planning, "kept", lambda df, keep=planning.kept: sizes.append((out := keep(df)).count()) or out)
+    assert [tuple(r) for r in metadata.first_wins(spark, str(tmp_path)).collect()] == [("b", "t", 0)]
+    assert max(sizes) <= n
