@@ -158,6 +158,28 @@ def test_counts_equal_brute_force_with_small_runs_and_windows(spark, monkeypatch
     assert all(r.score < 0 for r in rows)
 
 
+def test_frequent_words_are_exact_however_they_are_spread(spark, monkeypatch):
+    """Of 10 runs of 1000 tokens one holds most of a word; the others hold one of it each, too few to matter in a run."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(pitman_yor, "CHUNK_TOKENS", 1000)
+    monkeypatch.setattr(pitman_yor, "CONTEXT_SHARE", 1 / 50)
+    monkeypatch.setattr(pitman_yor, "HOT", 60)
+    monkeypatch.setattr(pitman_yor, "WINDOW", 256)
+    rng, docs = random.Random(9), []
+    for run in range(10):
+        spread = {"just": 191 if run == 0 else 1, "nearly": 190 if run == 0 else 1, "even": 20, "less": 19}
+        words = [w for w, n in spread.items() for _ in range(n)]
+        words += [f"r{run}_{k}" for k in range(990 - len(words))]
+        rng.shuffle(words)
+        docs += [(" ".join(words[k * 99 : k * 99 + 99]), False) for k in range(10)]
+    frame = pitman_yor.frame_of(spark.createDataFrame(docs, "text string, held_out boolean").coalesce(1))
+    c = Counter(w for t, _ in docs for w in tokens(t))
+    hashed = lambda least: {int(pitman_yor._tokens(pa.array([w])).__next__()[0][0]) for w, n in c.items() if n >= least and w != "</s>"}
+    assert set(map(int, frame.contexts)) == hashed(200) and len(frame.contexts) == 2
+    assert set(map(int, frame.hot)) == hashed(10000 / 60 + 1e-9) | ({int(pitman_yor.END)} if c["</s>"] > 10000 / 60 else set())
+
+
 def test_scores_of_nothing_and_of_held_out_rows_alone(spark):
     assert pitman_yor.scored(spark.createDataFrame([], DOCS)).count() == 0
     only = next(k for k in range(100) if held(k))
