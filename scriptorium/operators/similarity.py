@@ -12,27 +12,39 @@ from pyspark.sql import types as T
 from scriptorium.functions import text as tx
 
 
+def _shared(left: Column, right: Column) -> Column:
+    """struct of l and r (sizes of two arrays), both (items they share, repeats counted), common and distinct (different items in both, in any)."""
+    tagged = lambda c, n: F.transform(c, lambda x: F.struct(x.alias("item"), F.lit(n).alias("right")))
+    ends = F.array(F.struct(F.lit(None).cast("string").alias("item"), F.lit(0).alias("right")))  # closes the last run
+    state = lambda item, l, r, both, common, distinct: F.struct(item.alias("item"), l.alias("l"), r.alias("r"), both.alias("both"), common.alias("common"), distinct.alias("distinct"))  # noqa: E731, E741
+
+    def step(s: Column, x: Column) -> Column:
+        on = s["item"] == x["item"]
+        more = state(s["item"], s["l"] + 1 - x["right"], s["r"] + x["right"], s["both"], s["common"], s["distinct"])
+        low = F.least(s["l"], s["r"])
+        begun = state(x["item"], F.lit(1) - x["right"], x["right"], s["both"] + low, s["common"] + F.least(low, F.lit(1)), s["distinct"] + F.least(s["l"] + s["r"], F.lit(1)))
+        return F.when(on, more).otherwise(begun)
+
+    zero = F.lit(0)
+    every = F.concat(F.sort_array(F.concat(tagged(left, 0), tagged(right, 1))), ends)
+    out = F.aggregate(every, state(F.lit(None).cast("string"), zero, zero, zero, zero, zero), step)
+    long = lambda c: c.cast("long")
+    done = lambda s: F.struct(long(F.size(left)).alias("l"), long(F.size(right)).alias("r"), long(s["both"]).alias("both"), long(s["common"]).alias("common"), long(s["distinct"]).alias("distinct"))
+    return tx.bound(out, done)
+
+
 def compare_pairs(pairs: DataFrame, threshold: float = 0.82, normalize: bool = True) -> DataFrame:
     """Scores of (pair_id, existing, generated): one row a pair.
 
-    All four overlaps come from one pass: tokens, shingles and numeric terms of both sides
-    are counted per pair and item. The texts are dealt by pair once; exploded
-    tokens and their counts then stay where they are.
+    All four overlaps are counted within the pair's row, so nothing but the texts is ever shuffled:
+    items of both sides are sorted together, and one fold over equal neighbours adds up what they share.
     """
     side = lambda c: tx.tokens(F.col(c), normalize)
-    dealt = pairs.repartition("pair_id").select("pair_id", side("existing").alias("l"), side("generated").alias("r"))
+    words = pairs.select("pair_id", side("existing").alias("l"), side("generated").alias("r"))
     kinds = {"t": lambda t: t, "s": tx.shingles, "n": tx.numeric_terms}
-    item = lambda k, c: lambda x: F.struct(F.lit(k).alias("kind"), x.alias("item"), F.lit(int(c == "l")).alias("l"), F.lit(int(c == "r")).alias("r"))
-    items = [F.transform(f(F.col(c)), item(k, c)) for k, f in kinds.items() for c in ("l", "r")]
-    each = dealt.select("pair_id", F.explode_outer(F.concat(*items)).alias("x")).select("pair_id", "x.*")
-    counts = each.groupBy("pair_id", "kind", "item").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    of = lambda k, c: F.coalesce(F.sum(F.when(F.col("kind") == k, c)), F.lit(0))
-    low = F.least("l", "r")
-    sums = counts.groupBy("pair_id").agg(
-        *(f.alias(f"{k}_{n}") for k in "tsn" for n, f in (("both", of(k, low)), ("l", of(k, F.col("l"))), ("r", of(k, F.col("r"))))),
-        of("t", ((F.col("l") > 0) & (F.col("r") > 0)).cast("int")).alias("common"),
-        of("t", F.lit(1)).alias("distinct"),
-    )
+    words = words.select("pair_id", *(f(F.col(c)).alias(f"{k}_{c}") for k, f in kinds.items() for c in ("l", "r")))
+    sums = words.select("pair_id", *(_shared(F.col(f"{k}_l"), F.col(f"{k}_r")).alias(k) for k in kinds))
+    sums = sums.select("pair_id", *(F.col(f"{k}.{n}").alias(f"{k}_{n}") for k in "tsn" for n in ("both", "l", "r")), F.col("t.common").alias("common"), F.col("t.distinct").alias("distinct"))
     ratio = lambda a, b: F.when(b == 0, 1.0).otherwise(a / F.when(b != 0, b))
     dice = lambda k: ratio(2.0 * F.col(f"{k}_both"), F.col(f"{k}_l") + F.col(f"{k}_r"))
     length = F.least("t_l", "t_r") / F.greatest(F.lit(1), F.col("t_l"), F.col("t_r"))

@@ -5,6 +5,7 @@ import random
 import shutil
 import subprocess
 import sys
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -639,3 +640,23 @@ def test_first_wins_of_many_copies_keeps_no_pairs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(planning, "kept", lambda df, keep=planning.kept: sizes.append((out := keep(df)).count()) or out)
     assert [tuple(r) for r in metadata.first_wins(spark, str(tmp_path)).collect()] == [("b", "t", 0)]
     assert max(sizes) <= n
+
+
+def test_pairs_are_compared_within_their_rows(spark):
+    rng = random.Random(7)
+    text = lambda: " ".join(rng.choice("abcdé") + str(rng.randrange(4)) for _ in range(rng.choice([0, 1, 2, 3, 40])))
+    pairs = [(k, text() or None, text()) for k in range(60)]
+    found = similarity.compare_pairs(spark.createDataFrame(pairs, "pair_id long, existing string, generated string"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()  # words and shingles are never shuffled
+
+    def shared(a, b):
+        a, b = Counter(a), Counter(b)
+        return round(2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values())), 4) if a or b else 1.0, round(len(a.keys() & b.keys()) / len(a.keys() | b.keys()), 4) if a or b else 1.0
+
+    runs = lambda t: list(zip(t, t[1:], t[2:])) if len(t) > 2 else t
+    number = lambda t: [x for x in t if set(x) & set("123456789")]
+    want = {}
+    for k, a, b in pairs:
+        a, b = (a or "").split(), b.split()
+        want[k] = (*shared(a, b), shared(runs(a), runs(b))[0], shared(number(a), number(b))[0], len(a), len(b))
+    assert {r.pair_id: (r.token_overlap, r.vocabulary_overlap, r.shingle_overlap, r.numeric_overlap, r.existing_tokens, r.generated_tokens) for r in found.collect()} == want
